@@ -91,9 +91,10 @@ class FMIndex:
 
         A pattern that no other suffix shares any more is not followed further: its interval is its own suffix.
         """
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text), np.int64)
-        live = np.arange(len(starts))
-        for k in range(length - 1, -1, -1):
+        c = self.text[starts + length - 1]
+        lo, hi = self.less[c], self.less[c + 1]
+        live = np.flatnonzero(hi - lo > 1)
+        for k in range(length - 2, -1, -1):
             a, b = self.extend(lo[live], hi[live], self.text[starts[live] + k])
             lo[live], hi[live] = a, b
             live = live[b - a > 1]
@@ -152,8 +153,10 @@ def repeated_anchors(docs: DataFrame, id_col: str, text: str, window: int, ancho
 def segments(docs: DataFrame, id_col: str, text: str, window: int, anchor: int, known: np.ndarray) -> tuple[DataFrame, str]:
     """(g, key, id, seq, first, words) for the runs of windows whose anchor is in the bitmap.
 
-    key is a hash of the run's words, seq one of the document's; words are 8-byte hashes, given once for each key and
-    task, with the smallest id of that key so far. Written to the shared folder.
+    key is a hash of the run's words, seq one of the document's; words are 4-byte codes, given once for each key and block
+    of documents, with the smallest id of that key in it. Written to the shared folder. Windows are compared within equal
+    8-byte anchors, so windows that differ in a word are taken for equal only if they have the same anchor and equal
+    codes for all their different words: once in 2**32 such near misses at most.
     """
     held = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -175,8 +178,8 @@ def segments(docs: DataFrame, id_col: str, text: str, window: int, anchor: int,
                 lead = np.zeros(len(key), bool)
                 lead[order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]] = True
                 offs = np.concatenate([[0], np.cumsum(n)]).tolist()
-                raw = words.tobytes()
-                payload = [raw[8 * a : 8 * z] if w else None for a, z, w in zip(offs[:-1], offs[1:], lead.tolist(), strict=True)]
+                raw = (words >> np.uint64(32)).astype(np.uint32).tobytes()
+                payload = [raw[4 * a : 4 * z] if w else None for a, z, w in zip(offs[:-1], offs[1:], lead.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(key.view(np.int64)), ids, pa.array(seq.view(np.int64)), pa.array(first - begin), pa.array(payload, pa.binary())], names=["g", "key", "id", "seq", "first", "words"])
 
     df = _texts(docs, id_col, text).where("id IS NOT NULL").mapInArrow(run, "g long, key long, id long, seq long, first long, words binary")
@@ -196,7 +199,7 @@ def first_holders(rows: DataFrame, window: int) -> DataFrame:
         order = np.lexsort((ids, keys))
         lead = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])]
         keys, low = keys[lead], ids[lead]
-        text = [np.frombuffer(words[i], np.uint64) for i in lead]
+        text = [np.frombuffer(words[i], np.uint32) for i in lead]
         lengths = np.array([len(x) for x in text], np.int64)
         fm = FMIndex(np.concatenate(text), lengths, window)
         r = lengths - window + 1
@@ -223,7 +226,7 @@ def first_holders(rows: DataFrame, window: int) -> DataFrame:
         for b in batches:
             w = b.column(3).to_pylist()
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), w))
-            size += sum(map(len, w)) // 8
+            size += sum(map(len, w)) // 4
             if size >= INDEX_WORDS:
                 g, key, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
                 every = [y for x in held for y in x[3]]
@@ -231,7 +234,7 @@ def first_holders(rows: DataFrame, window: int) -> DataFrame:
                 if at:
                     yield block(key[:at], ids[:at], every[:at])
                 held = [(g[at:], key[at:], ids[at:], every[at:])]
-                size = sum(map(len, every[at:])) // 8
+                size = sum(map(len, every[at:])) // 4
         if held and sum(len(x[0]) for x in held):
             g, key, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
             yield block(key, ids, [y for x in held for y in x[3]])
@@ -243,7 +246,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     """(id, seq, spans): for each document with words to remove, [start, end) word intervals, in no order.
 
     A word is in a span if a window of `window` consecutive words covers it whose words also start in a document with a
-    smaller id. Words are runs of non-space bytes, unchanged, compared by 64-bit hashes. Rows without an id neither lose
+    smaller id. Words are runs of non-space bytes, unchanged, compared by hashes (see segments()). Rows without an id neither lose
     nor claim words; rows with equal ids do not claim from each other. seq tells texts of equal ids apart.
     """
     spark = docs.sparkSession
@@ -295,9 +298,9 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
                 part = b.slice(lo, hi - lo)
                 ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 may = common.in_bitmap(held.value, ids) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
-                texts = part.column(1)
-                done = [None if m else final((t.as_py() or "").encode().split()) for m, t in zip(may.tolist(), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(textnum.sequence_hash(h, counts).view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(done, pa.string()), pa.array([t.as_py() if m else None for m, t in zip(may.tolist(), texts, strict=True)], pa.string())], names=["id", "seq", "n_words", "kept", "t"])
+                texts = part.column(1).cast(pa.binary())
+                done = [None if m else final((t.as_py() or b"").split()) for m, t in zip(may.tolist(), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(textnum.sequence_hash(h, counts).view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(done, pa.string()), pa.array([t.as_py() if m else None for m, t in zip(may.tolist(), texts, strict=True)], pa.binary())], names=["id", "seq", "n_words", "kept", "t"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,7 +310,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
                     removed.append(0)
                     done.append(k.as_py())
                     continue
-                words = (t.as_py() or "").encode().split()
+                words = (t.as_py() or b"").split()
                 stay = np.ones(len(words), bool)
                 for x in s or ():
                     stay[x["start"] : x["end"]] = False
@@ -315,7 +318,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
                 done.append(final([w for w, y in zip(words, stay.tolist(), strict=True) if y]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(done, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    d = _texts(docs, id_col, text).mapInArrow(first, "id long, seq long, n_words long, kept string, t string")
+    d = _texts(docs, id_col, text).mapInArrow(first, "id long, seq long, n_words long, kept string, t binary")
     whole, part = d.where("kept IS NOT NULL"), d.where("kept IS NULL")
     joined = part.join(found, ["id", "seq"], "left").select("id", "n_words", "kept", "t", "spans").mapInArrow(second, "id long, n_words long, n_removed long, kept string")
     return whole.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(joined)
