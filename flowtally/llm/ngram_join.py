@@ -20,6 +20,8 @@ LEVELS = 6
 #: Buckets of the frequency sketch (one count array of 4 * 2**18 bytes for each task and for the driver).
 SKETCH_LOG2, SKETCH_BLOCKS = 18, 32
 KEYS, AGREE = 8, 5
+#: Live shingles that a posting carries along, so that two documents meet once and not at each shingle they share.
+HEAD = 12
 
 _SALTS = np.random.default_rng(7).integers(1, 1 << 63, KEYS + 2, dtype=np.uint64) | np.uint64(1)
 
@@ -161,17 +163,19 @@ def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     """(x, y) that may be similar and are in different components so far; prefix: (id, n, level, tokens, c).
 
-    A shingle that one component alone has is dropped. For the others, pairs of components are formed first and then
+    A shingle that one component alone has is dropped; a document with more of these than a partner may lack, or whose
+    other shingles all come after so many, has no partner outside its component and goes too; with fewer, `top` is the size
+    that a partner may have at most, as what is shared is bounded. For the others, pairs of components are formed first and then
     the documents of each that have the shingle, so documents of one component never meet. The larger of two documents
-    says how many shared shingles, within its own level, it takes (`level`); what stands behind the last shared one
-    bounds the rest of the overlap.
+    says how many shared shingles of the prefixes it takes (`level`); what stands behind the last shared one bounds the
+    rest of the overlap.
     """
     spark = prefix.sparkSession
     spread = prefix.select(F.explode("tokens").alias("token"), "c").groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("token")
     spread, at_spread = common.write_table(spread, "tokens")
     held = spark.sparkContext.broadcast(common.bitmap(spread, "token"))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         words = held.value
         for b in batches:
             lists = b.column(4)
@@ -179,28 +183,57 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
             lengths = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            keep = np.flatnonzero(common.in_bitmap(words, flat))
-            which = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([b.column(k).take(which) for k in range(4)] + [pa.array(flat[keep]), pa.array(place[keep].astype(np.int64))], names=["id", "n", "level", "c", "token", "p"])
-
-    rows = prefix.select("id", "n", "level", "c", "tokens").mapInArrow(sift, "id long, n long, level int, c long, token long, p long")
-    base = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
-    rows = rows.join(spread, "token", "left_semi").withColumn("at_level", F.greatest(F.lit(1), F.col("p") - base + 1).cast("int"))
-    rows, at_rows = common.write_table(rows, "postings")
-    per = rows.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = per.select("token", *[F.col(k).alias(k + "1") for k in ("c", "lo", "hi")]), per.select("token", *[F.col(k).alias(k + "2") for k in ("c", "lo", "hi")])
-    met = a.join(b, "token").where(f"c1 < c2 AND 100 * hi2 >= {percent} * lo1 AND 100 * hi1 >= {percent} * lo2").select("token", "c1", "c2")
-    side = lambda k: rows.select("token", F.col("c").alias(f"c{k}"), *[F.col(v).alias(f"{v}{k}") for v in ("id", "n", "level", "p", "at_level")])
-    m = met.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"]).where(f"100 * n2 >= {percent} * n1 AND 100 * n1 >= {percent} * n2")
-    larger = F.expr("n1 > n2 OR (n1 = n2 AND id1 > id2)")
-    m = m.withColumn("need", F.when(larger, F.col("level1")).otherwise(F.col("level2"))).where("at_level1 <= need AND at_level2 <= need")
-    got = m.groupBy(F.greatest("id1", "id2").alias("x"), F.least("id1", "id2").alias("y"), "need", F.greatest("n1", "n2").alias("n1"), F.least("n1", "n2").alias("n2")).agg(
-        F.count("*").alias("k"), F.min(F.col("n1") - F.col("p1")).alias("r1"), F.min(F.col("n2") - F.col("p2")).alias("r2")
-    )
-    enough = (100 + percent) * (F.col("k") - 1 + F.least("r1", "r2")) >= percent * (F.col("n1") + F.col("n2"))
-    out, _ = common.write_table(got.where((F.col("k") >= F.col("need")) & enough).select("x", "y").distinct(), "candidates")
+            alive = common.in_bitmap(words, flat)
+            size = b.column(1).to_numpy()
+            spare = size - -(-percent * size // 100)
+            dead = np.cumsum(~alive)
+            before = dead - np.repeat(np.concatenate([[0], dead])[np.cumsum(lengths) - lengths], lengths)
+            gone = np.bincount(row, ~alive, len(lengths)).astype(np.int64)
+            keep = np.flatnonzero(alive & (before <= spare[row]) & (gone <= spare)[row])
+            yield b, flat[keep], row[keep], place[keep], np.bincount(row[keep], minlength=len(lengths)), (100 + percent) * (size - gone) // percent - size
+
+    def by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, token, row, _, k, top in live(batches):
+            which = pa.array(row)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+            heads = common.long_lists(token[nth < HEAD], np.minimum(k, HEAD))
+            yield pa.RecordBatch.from_arrays([b.column(j).take(which) for j in range(4)] + [pa.array(token), pa.array(top).take(which), pa.array(k).take(which), heads.take(which)], names=["id", "n", "level", "c", "token", "top", "k", "head"])
+
+    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, token, _, place, k, _ in live(batches):
+            some = pa.array(k > 0)
+            yield pa.RecordBatch.from_arrays([b.column(j).filter(some) for j in range(3)] + [common.long_lists(token, k).filter(some), common.long_lists(place.astype(np.int64), k).filter(some)], names=["id", "n", "level", "live", "places"])
+
+    source = prefix.select("id", "n", "level", "c", "tokens")
+    rows = source.mapInArrow(by_shingle, "id long, n long, level int, c long, token long, top long, k long, head array<long>")
+    rows, at_rows = common.write_table(rows.join(spread, "token", "left_semi"), "postings")
+    per = rows.groupBy("token", "c").agg(F.count("*").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("top").alias("top"))
+    names = ("c", "d", "lo", "hi", "top")
+    a, b = (per.select("token", *[F.col(v).alias(f"{v}{j}") for v in names]) for j in (1, 2))
+    # The component with fewer documents on the left: that many rows per pair of components are made, not their product.
+    fewer = F.expr("d1 < d2 OR (d1 = d2 AND c1 < c2)")
+    met = a.join(b, "token").where(fewer & F.expr(f"100 * hi2 >= {percent} * lo1 AND 100 * hi1 >= {percent} * lo2 AND lo2 <= top1 AND lo1 <= top2")).select("token", "c1", "c2")
+    side = lambda j: rows.select("token", F.col("c").alias(f"c{j}"), *[F.col(v).alias(f"{v}{j}") for v in ("id", "n", "level", "top", "k", "head")])
+    need = F.when(F.expr("n1 > n2 OR (n1 = n2 AND id1 > id2)"), F.col("level1")).otherwise(F.col("level2"))
+    fits = F.expr(f"100 * n2 >= {percent} * n1 AND 100 * n1 >= {percent} * n2 AND n2 <= top1 AND n1 <= top2")
+    heads = F.array_intersect("head1", "head2")
+    # Of the shingles that both documents have among their first HEAD, one alone makes the pair; if these are all their
+    # live shingles, so many as are needed must be shared.
+    once = (F.size(heads) == 0) | (F.element_at(heads, 1) == F.col("token"))
+    enough = (F.greatest("k1", "k2") > HEAD) | (F.size(heads) >= need)
+    m = met.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"]).where(fits & once & enough).select(F.greatest("id1", "id2").alias("x"), F.least("id1", "id2").alias("y")).distinct()
+    m, at_met = common.write_table(m, "met")
+    whole = source.mapInArrow(by_document, "id long, n long, level int, live array<long>, places array<long>")
+    of = lambda v, j: whole.select(F.col("id").alias(v), *[F.col(w).alias(f"{w}{j}") for w in ("n", "level", "live", "places")])
+    shared = F.array_intersect("live1", "live2")
+    left = lambda j: F.col(f"n{j}") - F.element_at(f"places{j}", F.array_position(f"live{j}", F.element_at("shared", -1)).cast("int"))
+    need = F.when(F.expr("n1 >= n2"), F.col("level1")).otherwise(F.col("level2"))
+    got = m.join(of("x", 1), "x").join(of("y", 2), "y").withColumn("shared", shared).where(F.size("shared") >= need)
+    got = got.where((100 + percent) * (F.size("shared") - 1 + F.least(left(1), left(2))) >= percent * (F.col("n1") + F.col("n2"))).select("x", "y")
+    out, _ = common.write_table(got.distinct(), "candidates")
     common.drop_table(spark, at_spread)
     common.drop_table(spark, at_rows)
+    common.drop_table(spark, at_met)
     return out
 
 
