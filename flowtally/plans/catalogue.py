@@ -1,10 +1,547 @@
-"""Queries over the driver's tables, with their DuckDB equivalents."""
+"""Queries over the driver's tables, with their DuckDB equivalents.
+
+A site is a supplier (or a user of the events), a reading its quantity with 49 and 50 as sentinels, a channel a line
+number. In a query's column list, ~ marks numbers that both engines round to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import changes, context, detectors, graph, normalize, panels, profiles, quality, shape
+from ..sources import records, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+YEAR, DAYS, TEMPORAL, DETECTOR = 1997, 1, 0.2, 0.9497
+SIDE = {"south": (1, 2), "west": (3, 4), "north": (5, 6), "east": (7,)}
+
+
+def query(columns: str, sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name; sql defines r, from which the oracle selects the columns."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        names = columns.split()
+        QUERIES[name or f.__name__] = lambda spark, d: f(spark, d).select(*[F.round(F.col(c[1:]).cast("double"), 6).alias(c[1:]) if c[0] == "~" else F.col(c) for c in names])
+        if sql:
+            ORACLE_SQL[name or f.__name__] = "WITH " + sql.strip().rstrip(",") + "\nSELECT " + ", ".join(f"round(({c[1:]})::DOUBLE, 6) AS {c[1:]}" if c[0] == "~" else c for c in names) + " FROM r"
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- facts -----------------------------------------------------------------------------------------------------------
+
+
+def fact(spark: SparkSession, d: str) -> DataFrame:
+    """(site, ts, channel, value, coverage)."""
+    q = F.col("l_quantity")
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("channel"), F.when(~q.isin(49, 50), q).alias("value"), (1 - F.col("l_discount")).alias("coverage"))
+
+
+def monthly(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.monthly(fact(spark, d), per_day=DAYS)
+
+
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    return panels.trusted(monthly(spark, d), TEMPORAL, DETECTOR)
+
+
+FACT = "fact AS (SELECT l_suppkey AS site, l_shipdate AS ts, l_linenumber AS channel, CASE WHEN l_quantity NOT IN (49, 50) THEN l_quantity END AS value, 1 - l_discount AS coverage FROM lineitem),\n"
+MONTHLY = FACT + f"""m AS (SELECT strftime(ts, '%Y-%m') AS year_month, site, count(*) AS source_observations, count(value) AS valid_observations, avg(value) AS mean_volume,
+  median(value) AS median_volume, sum(value) AS total_volume, avg(CASE WHEN value IS NOT NULL THEN coverage END) AS detector_coverage,
+  (day(last_day(max(ts)::DATE)) * {DAYS})::INT AS expected_observations, count(value)::DOUBLE / (day(last_day(max(ts)::DATE)) * {DAYS}) AS temporal_coverage FROM fact GROUP BY ALL),
+"""
+PANEL = MONTHLY + f"p AS (SELECT * FROM m WHERE temporal_coverage >= {TEMPORAL} AND detector_coverage >= {DETECTOR}),\n"
+
+
+@query("year_month site source_observations valid_observations ~mean_volume ~median_volume ~total_volume ~detector_coverage expected_observations ~temporal_coverage", MONTHLY + "r AS (SELECT * FROM m)")
+def site_month_volume(spark, d):
+    return monthly(spark, d)
+
+
+def order_records(spark: SparkSession, d: str) -> DataFrame:
+    """A record per order: its lines as a channel map; of repeated channels the last by value order counts."""
+    q = F.col("l_quantity").cast("int")
+    last = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by(F.when(~q.isin(49, 50), q), F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("v"))
+    return last.groupBy(F.col("l_orderkey").alias("record")).agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "v"))).alias("channels")).withColumn("site_id", (F.col("record") % 10).cast("int"))
+
+
+def channel_config(spark: SparkSession) -> DataFrame:
+    rows = [(s, c, side, "true" if s else "0") for s in range(9) for side, cs in SIDE.items() for c in cs]  # site 9 has no configuration, site 0 none that operates
+    return normalize.channel_map(spark.createDataFrame(rows, "site_id int, channel_id int, approach string, operational string"))
+
+
+RECORDS = """l AS (SELECT l_orderkey AS record, l_linenumber AS c, arg_max(CASE WHEN l_quantity NOT IN (49, 50) THEN l_quantity::INT ELSE -1 END, row(l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS x FROM lineitem GROUP BY ALL),
+v AS (SELECT record, c, CASE WHEN x >= 0 THEN x END AS v, record % 10 IN (0, 9) AS bare, CASE WHEN c <= 2 THEN 'south' WHEN c <= 4 THEN 'west' WHEN c <= 6 THEN 'north' ELSE 'east' END AS side FROM l WHERE c <= 7),
+"""
+
+
+@query("record detectors_expected detectors_valid volume_observed ~detector_coverage ~volume_normalized", RECORDS + """
+g AS (SELECT record, CASE WHEN bare THEN count(*) ELSE 7 END::INT AS detectors_expected, count(v)::INT AS detectors_valid, sum(v)::BIGINT AS volume_observed FROM v GROUP BY record, bare),
+r AS (SELECT *, detectors_valid / detectors_expected::DOUBLE AS detector_coverage, CASE WHEN detectors_valid / detectors_expected::DOUBLE >= 0.5 THEN volume_observed / (detectors_valid / detectors_expected::DOUBLE) END AS volume_normalized FROM g)""")
+def coverage_normalize(spark, d):
+    return normalize.coverage(order_records(spark, d), channel_config(spark))
+
+
+@query("record approach ~volume ~coverage", RECORDS + """
+s AS (SELECT * FROM (VALUES ('south', 2), ('west', 2), ('north', 2), ('east', 1)) t(approach, n)),
+k AS (SELECT DISTINCT record, bare FROM v),
+g AS (SELECT k.record, k.bare, s.approach, s.n, count(v.v) AS valid, sum(v.v) AS total FROM k CROSS JOIN s LEFT JOIN v ON v.record = k.record AND v.side = s.approach GROUP BY ALL),
+r AS (SELECT record, approach, CASE WHEN NOT bare AND valid / n::DOUBLE >= 0.5 THEN total / (valid / n::DOUBLE) END AS volume, CASE WHEN NOT bare THEN valid / n::DOUBLE END AS coverage FROM g)""")
+def approach_volume(spark, d):
+    wide = normalize.coverage(order_records(spark, d), channel_config(spark))
+    return wide.select("record", F.expr("stack(4, " + ", ".join(f"'{s}', {s}_volume, {s}_coverage" for s in normalize.SIDES) + ") AS (approach, volume, coverage)"))
+
+
+CHANNELS = FACT + """c AS (SELECT site, channel, count(*) AS observations, count(value) AS finite, count(*) - count(value) AS invalid, count(*) FILTER (value = 0) AS zero, count(*) FILTER (value > 0) AS positive,
+  coalesce(sum(value), 0)::BIGINT AS volume, count(value) / count(*)::DOUBLE AS finite_rate, count(*) FILTER (value > 0) / count(*)::DOUBLE AS positive_rate, count(*) FILTER (value > 0) >= 80 AS operational FROM fact GROUP BY ALL),
+"""
+
+
+@query("site channel observations finite invalid zero positive volume ~finite_rate ~positive_rate operational", CHANNELS + "r AS (SELECT * FROM c)")
+def channel_quality(spark, d):
+    return quality.channels(fact(spark, d), 80)
+
+
+@query("year_month timestamps records valid_records sites expected ~coverage status", FACT + """
+g AS (SELECT date_trunc('month', ts)::DATE AS date, count(DISTINCT ts) AS timestamps, count(*) AS records, count(value) AS valid_records, count(DISTINCT site) AS sites FROM fact GROUP BY 1),
+s AS (SELECT unnest(generate_series(DATE '1991-06-01', DATE '1999-06-01', INTERVAL 1 MONTH))::DATE AS date),
+r AS (SELECT strftime(s.date, '%Y-%m') AS year_month, timestamps, records, valid_records, sites, day(last_day(s.date))::INT AS expected, coalesce(timestamps, 0) / day(last_day(s.date))::DOUBLE AS coverage,
+  CASE WHEN timestamps IS NULL THEN 'Missing' WHEN coalesce(timestamps, 0) / day(last_day(s.date))::DOUBLE < 0.8 THEN 'Partial' ELSE 'Complete' END AS status FROM s LEFT JOIN g USING (date))""")
+def source_quality(spark, d):
+    return quality.source_months(fact(spark, d), 1, "1991-06-01", "1999-06-01")
+
+
+# --- events as a fine-grained fact -----------------------------------------------------------------------------------
+
+
+def readings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("site"), "ts", "value", F.lit(1.0).alias("coverage"))
+
+
+EVENTS = "e AS (SELECT user_id AS site, ts, value FROM events),\n"
+
+
+@query("date site valid_observations ~total_volume ~mean_volume ~temporal_coverage", EVENTS + "r AS (SELECT ts::DATE AS date, site, count(*) AS valid_observations, sum(value) AS total_volume, avg(value) AS mean_volume, count(*) / 96.0 AS temporal_coverage FROM e WHERE value IS NOT NULL GROUP BY 1, 2)")
+def site_daily(spark, d):
+    return profiles.daily(readings(spark, d))
+
+
+HOURS = EVENTS + "h AS (SELECT site, (isodow(ts) - 1)::INT AS weekday, hour(ts)::INT AS hour, sum(value) AS volume_sum, count(*) AS observations FROM e WHERE value IS NOT NULL GROUP BY ALL),\n"
+
+
+@query("site weekday hour bin ~volume_sum observations ~mean_volume", HOURS + "r AS (SELECT *, weekday * 24 + hour AS bin, volume_sum / observations AS mean_volume FROM h)")
+def hour_of_week(spark, d):
+    return profiles.hour_of_week(readings(spark, d))
+
+
+@query("weekday " + " ".join(f"~h{h:02d}" for h in range(24)), HOURS + "r AS (SELECT weekday, " + ", ".join(f"sum(volume_sum) FILTER (hour = {h}) / sum(observations) FILTER (hour = {h}) AS h{h:02d}" for h in range(24)) + " FROM h GROUP BY weekday)")
+def hour_week_heatmap(spark, d):
+    return profiles.heatmap(profiles.hour_of_week(readings(spark, d)))
+
+
+# --- approaches ------------------------------------------------------------------------------------------------------
+
+
+def sides(spark: SparkSession, d: str) -> DataFrame:
+    side = F.when(F.col("channel") <= 2, "south").when(F.col("channel") <= 4, "west").when(F.col("channel") <= 6, "north").otherwise("east")
+    return fact(spark, d).select("site", "ts", side.alias("approach"), F.col("value").alias("volume"), "coverage")
+
+
+SIDES = FACT + """a AS (SELECT strftime(ts, '%Y-%m') AS year_month, site, CASE WHEN channel <= 2 THEN 'south' WHEN channel <= 4 THEN 'west' WHEN channel <= 6 THEN 'north' ELSE 'east' END AS approach,
+  avg(value) AS mean_volume, count(value) AS observations, avg(coverage) AS coverage FROM fact GROUP BY ALL),
+"""
+
+
+@query("year_month site approach ~mean_volume observations ~coverage", SIDES + "r AS (SELECT * FROM a)")
+def approach_monthly(spark, d):
+    return profiles.approaches(sides(spark, d))
+
+
+_MEAN = lambda s: f"sum(mean_volume * observations) FILTER (approach = '{s}') / sum(observations) FILTER (approach = '{s}')"
+
+
+@query("site ~total ~south_share ~west_share ~north_share ~east_share", SIDES + "g AS (SELECT site, " + ", ".join(f"{_MEAN(s)} AS {s}_mean" for s in SIDE) + " FROM a WHERE coverage >= 0.8 AND mean_volume IS NOT NULL AND observations > 0 GROUP BY site),\nr AS (SELECT site, south_mean + west_mean + north_mean + east_mean AS total, " + ", ".join(f"{s}_mean / (south_mean + west_mean + north_mean + east_mean) AS {s}_share" for s in SIDE) + " FROM g WHERE south_mean + west_mean + north_mean + east_mean IS NOT NULL ORDER BY total DESC, site LIMIT 12)")
+def approach_shares(spark, d):
+    return profiles.approach_shares(profiles.approaches(sides(spark, d)), list(SIDE))
+
+
+# --- panels and change -----------------------------------------------------------------------------------------------
+
+
+@query("year_month site ~mean_volume ~temporal_coverage ~detector_coverage", PANEL + "r AS (SELECT * FROM p)")
+def trusted_panel(spark, d):
+    return panel(spark, d)
+
+
+@query("year_month ~median_volume ~city_mean ~p25 ~p75 sites", PANEL + "r AS (SELECT year_month, median(mean_volume) AS median_volume, avg(mean_volume) AS city_mean, quantile_cont(mean_volume, 0.25) AS p25, quantile_cont(mean_volume, 0.75) AS p75, count(DISTINCT site) AS sites FROM p GROUP BY 1)")
+def city_monthly(spark, d):
+    return panels.city_monthly(panel(spark, d))
+
+
+@query("month ~month_mean ~month_median ~month_std site_months", MONTHLY + f"y AS (SELECT * FROM m WHERE temporal_coverage >= 0.1 AND year_month LIKE '{YEAR}-%'),\nk AS (SELECT site FROM y GROUP BY 1 HAVING count(DISTINCT year_month) = 12),\nr AS (SELECT substr(year_month, 6, 2)::INT AS month, avg(mean_volume) AS month_mean, median(mean_volume) AS month_median, stddev_samp(mean_volume) AS month_std, count(*) AS site_months FROM y WHERE site IN (SELECT site FROM k) GROUP BY 1)")
+def common_panel_seasonality(spark, d):
+    return panels.month_of_year(panels.common(panels.trusted(monthly(spark, d), 0.1), YEAR))
+
+
+@query("year month ~median_volume sites", PANEL + "r AS (SELECT substr(year_month, 1, 4)::INT AS year, substr(year_month, 6, 2)::INT AS month, median(mean_volume) AS median_volume, count(DISTINCT site) AS sites FROM p GROUP BY 1, 2)")
+def month_by_year(spark, d):
+    return panels.month_by_year(panel(spark, d))
+
+
+@query("site year_month ~index", PANEL + f"s AS (SELECT site, avg(mean_volume) AS site_mean, count(*) AS months, median(mean_volume) FILTER (year_month LIKE '{YEAR}-%') AS baseline, count(*) FILTER (year_month LIKE '{YEAR}-%') AS b FROM p GROUP BY 1),\nc AS (SELECT * FROM s WHERE months >= 18 AND b >= 4 ORDER BY round(site_mean, 9) DESC, site LIMIT 12),\nr AS (SELECT p.site, p.year_month, 100 * p.mean_volume / c.baseline AS index FROM p JOIN c USING (site))")
+def month_heatmap(spark, d):
+    return panels.site_baseline(panel(spark, d), YEAR, base=4)
+
+
+PAIRS = PANEL + "q AS (SELECT a.site, a.year_month, b.year_month AS previous_month, a.mean_volume / b.mean_volume - 1 AS change FROM p a JOIN p b ON a.site = b.site AND b.year_month = strftime(strptime(a.year_month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m') WHERE b.mean_volume > 0),\n"
+
+
+@query("year_month previous_month paired_sites ~median_change ~mean_change ~p25_change ~p75_change", PAIRS + "r AS (SELECT year_month, previous_month, count(*) AS paired_sites, median(change) AS median_change, avg(change) AS mean_change, quantile_cont(change, 0.25) AS p25_change, quantile_cont(change, 0.75) AS p75_change FROM q GROUP BY 1, 2)")
+def paired_month_changes(spark, d):
+    return changes.summarized(changes.adjacent(panel(spark, d)))
+
+
+FIXED = PANEL + "f AS (SELECT site, a.mean_volume AS earlier, b.mean_volume AS later, CASE WHEN a.mean_volume > 0 THEN b.mean_volume / a.mean_volume - 1 END AS change FROM (SELECT * FROM p WHERE year_month = '1997-02') a JOIN (SELECT * FROM p WHERE year_month = '1997-03') b USING (site)),\n"
+
+
+@query("site ~earlier ~later ~change", FIXED + "r AS (SELECT * FROM f)")
+def paired_fixed_months(spark, d):
+    return changes.fixed(panel(spark, d), "1997-02", "1997-03")
+
+
+STEPS = PANEL + "s AS (SELECT *, lag(year_month) OVER w AS lm, lag(mean_volume) OVER w AS lv FROM p WINDOW w AS (PARTITION BY site ORDER BY year_month)),\nt AS (SELECT site, year_month, mean_volume, CASE WHEN lm = strftime(strptime(year_month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m') AND lv > 0 THEN mean_volume / lv - 1 END AS change FROM s),\n"
+
+
+@query("site year_month ~mean_volume ~change", STEPS + "r AS (SELECT * FROM t)")
+def consecutive_changes(spark, d):
+    return changes.consecutive(panel(spark, d))
+
+
+@query("site ~max_abs_change regime", STEPS + "r AS (SELECT site, max(abs(change)) AS max_abs_change, CASE WHEN max(abs(change)) >= 1.0 THEN 'Review' ELSE 'Stable' END AS regime FROM t GROUP BY 1)")
+def regime_flag(spark, d):
+    return changes.regimes(changes.consecutive(panel(spark, d)), 1.0)
+
+
+@query("site months ~site_mean ~site_std ~cv", PANEL + "r AS (SELECT site, count(*) AS months, avg(mean_volume) AS site_mean, stddev_samp(mean_volume) AS site_std, stddev_samp(mean_volume) / avg(mean_volume) AS cv FROM p GROUP BY 1)")
+def volatility(spark, d):
+    return changes.volatility(panel(spark, d))
+
+
+@query("site ~pre_median pre_months ~post_median post_months", PANEL + "r AS (SELECT site, median(mean_volume) FILTER (year_month BETWEEN '1995-01' AND '1996-12') AS pre_median, count(*) FILTER (year_month BETWEEN '1995-01' AND '1996-12') AS pre_months, median(mean_volume) FILTER (year_month BETWEEN '1997-01' AND '1997-12') AS post_median, count(*) FILTER (year_month BETWEEN '1997-01' AND '1997-12') AS post_months FROM p GROUP BY 1)")
+def pre_post(spark, d):
+    return changes.periods(panel(spark, d), ("1995-01", "1996-12"), ("1997-01", "1997-12"))
+
+
+@query("site total_volume volume_rank", FACT + "g AS (SELECT site, sum(value)::BIGINT AS total_volume FROM fact GROUP BY 1),\nr AS (SELECT *, (rank() OVER (ORDER BY total_volume DESC))::INT AS volume_rank FROM g)")
+def rank_min(spark, d):
+    return changes.ranked(fact(spark, d).groupBy("site").agg(F.sum("value").cast("long").alias("total_volume")), "total_volume", "volume_rank")
+
+
+@query("site ~change direction", FIXED + "lo AS (SELECT site, change FROM f ORDER BY change, site LIMIT 12),\nhi AS (SELECT site, change FROM f ORDER BY change DESC, site LIMIT 8),\nr AS (SELECT *, 'Low' AS direction FROM lo UNION ALL SELECT *, 'High' FROM hi WHERE site NOT IN (SELECT site FROM lo))")
+def topk_extremes(spark, d):
+    return changes.extremes(changes.fixed(panel(spark, d), "1997-02", "1997-03"), "change", "site", 12, 8)
+
+
+# --- calendar and context --------------------------------------------------------------------------------------------
+
+SPAN = ("1992-01-01", "2003-12-31")
+
+
+def days(spark: SparkSession) -> DataFrame:
+    return context.spine(spark, *SPAN)
+
+
+def holidays(spark: SparkSession) -> DataFrame:
+    return days(spark).where("day(date) IN (1, 17) AND month(date) % 3 = 0")
+
+
+DATES = f"d AS (SELECT unnest(generate_series(DATE '{SPAN[0]}', DATE '{SPAN[1]}', INTERVAL 1 DAY))::DATE AS date),\n"
+
+
+@query("date weekday weekday_name is_friday is_thursday holiday jalali_year jalali_month jalali_day is_nowruz is_nowruz_official in_window days_to_holiday day_before_holiday day_after_holiday is_nonworking", DATES + """
+h AS (SELECT date, (day(date) IN (1, 17) AND month(date) % 3 = 0)::INT AS holiday, date - DATE '1997-03-21' AS n FROM d),
+j1 AS (SELECT *, floor(n / 12053.0)::BIGINT AS c, n - 12053 * floor(n / 12053.0)::BIGINT AS r0 FROM h),
+j2 AS (SELECT *, least(r0 // 1461, 7) AS f FROM j1), j3 AS (SELECT *, least((r0 - f * 1461) // 365, CASE WHEN f = 7 THEN 4 ELSE 3 END) AS k FROM j2),
+j4 AS (SELECT *, (1376 + 33 * c + 4 * f + k)::INT AS jalali_year, r0 - f * 1461 - k * 365 AS o FROM j3),
+j5 AS (SELECT *, (CASE WHEN o < 186 THEN o // 31 ELSE 6 + (o - 186) // 30 END + 1)::INT AS jalali_month, (CASE WHEN o < 186 THEN o % 31 ELSE (o - 186) % 30 END + 1)::INT AS jalali_day FROM j4),
+w AS (SELECT *, last_value(CASE WHEN holiday = 1 THEN date END IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+  first_value(CASE WHEN holiday = 1 THEN date END IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z, lead(holiday, 1, 0) OVER (ORDER BY date) AS day_before_holiday, lag(holiday, 1, 0) OVER (ORDER BY date) AS day_after_holiday FROM j5),
+r AS (SELECT date, (isodow(date) - 1)::INT AS weekday, dayname(date) AS weekday_name, (isodow(date) = 5)::INT AS is_friday, (isodow(date) = 4)::INT AS is_thursday, holiday, jalali_year, jalali_month, jalali_day,
+  (jalali_month = 1 AND jalali_day <= 13)::INT AS is_nowruz, (jalali_month = 1 AND jalali_day <= 4)::INT AS is_nowruz_official, (date BETWEEN DATE '1997-01-10' AND DATE '1997-02-08')::INT AS in_window,
+  least(date - a, z - date)::INT AS days_to_holiday, day_before_holiday, day_after_holiday, (isodow(date) = 5 OR holiday = 1)::INT AS is_nonworking FROM w)""")
+def calendar_context(spark, d):
+    return context.calendar(days(spark), holidays(spark), [("1997-01-10", "1997-02-08")])
+
+
+@query("date event_count event_types event_names max_confidence has_event", DATES + """
+o AS (SELECT o_orderpriority AS event_type, 'event ' || o_orderkey AS event_name, (o_orderkey % 3)::INT AS confidence, o_orderdate::DATE AS a, (o_orderdate::DATE + (o_orderkey % 5)::INT) AS z FROM orders WHERE o_orderkey % 97 = 0),
+x AS (SELECT d.date, o.* FROM d JOIN o ON d.date BETWEEN o.a AND o.z),
+g AS (SELECT date, count(*) AS event_count, array_to_string(list_sort(list_distinct(list(event_type))), ' | ') AS event_types, array_to_string(list_sort(list_distinct(list(event_name))), ' | ') AS event_names, max(confidence) AS max_confidence FROM x GROUP BY 1),
+r AS (SELECT d.date, coalesce(event_count, 0) AS event_count, coalesce(event_types, '') AS event_types, coalesce(event_names, '') AS event_names, max_confidence, (event_count IS NOT NULL)::INT AS has_event FROM d LEFT JOIN g USING (date))""")
+def event_interval_expand(spark, d):
+    """A registry of every 97th order, as the events are rare by nature."""
+    o = table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderpriority").alias("event_type"), F.concat(F.lit("event "), F.col("o_orderkey").cast("string")).alias("event_name"), (F.col("o_orderkey") % 3).cast("int").alias("confidence"), F.to_date("o_orderdate").alias("date_start"))
+    o = o.withColumn("date_end", F.date_add("date_start", (F.regexp_extract("event_name", r"(\d+)", 1).cast("long") % 5).cast("int")))
+    return context.event_days(days(spark), o)
+
+
+@query("date available cases new_cases", """d AS (SELECT unnest(generate_series(DATE '2023-12-28', DATE '2024-02-03', INTERVAL 1 DAY))::DATE AS date),
+g AS (SELECT ts::DATE AS date, count(*) AS n FROM events GROUP BY 1), c AS (SELECT date, (sum(n) OVER (ORDER BY date))::BIGINT AS cases FROM g),
+s AS (SELECT * FROM c WHERE day(date) % 4 <> 2), j AS (SELECT d.date, (s.date IS NOT NULL)::INT AS available, last_value(s.cases IGNORE NULLS) OVER (ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cases FROM d LEFT JOIN s USING (date)),
+r AS (SELECT *, coalesce(cases - lag(cases) OVER (ORDER BY date), 0) AS new_cases FROM j)""")
+def ffill_diff(spark, d):
+    from pyspark.sql import Window
+
+    g = table(spark, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+    c = g.select("date", F.sum("n").over(Window.orderBy("date")).cast("long").alias("cases")).where("day(date) % 4 <> 2")
+    return context.filled(context.spine(spark, "2023-12-28", "2024-02-03"), c, "cases")
+
+
+def city(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").cast("double").alias("value"))
+
+
+CITY = "c AS (SELECT o_orderdate::DATE AS date, count(*)::DOUBLE AS value FROM orders GROUP BY 1),\n"
+
+
+@query("date ~value ~baseline ~day_index ~rolling_index", CITY + f"""b AS (SELECT month(date) AS m, isodow(date) AS w, median(value) AS baseline FROM c WHERE year(date) = {YEAR} GROUP BY 1, 2),
+i AS (SELECT c.*, b.baseline, 100 * c.value / nullif(b.baseline, 0) AS day_index FROM c LEFT JOIN b ON b.m = month(c.date) AND b.w = isodow(c.date)),
+r AS (SELECT *, CASE WHEN count(day_index) OVER w >= 4 THEN median(day_index) OVER w END AS rolling_index FROM i WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))""")
+def daily_index_rolling(spark, d):
+    return context.daily_index(city(spark, d), "value", YEAR)
+
+
+@query("date ~value ~vs_month_weekday ~vs_month", CITY + "r AS (SELECT *, value / median(value) OVER (PARTITION BY strftime(date, '%Y-%m'), isodow(date)) - 1 AS vs_month_weekday, value / median(value) OVER (PARTITION BY strftime(date, '%Y-%m')) - 1 AS vs_month FROM c)")
+def month_adjusted_index(spark, d):
+    return context.adjusted(city(spark, d), "value")
+
+
+@query("factor flagged_days other_days ~flagged_mean ~other_mean ~flagged_median ~other_median ~mean_difference ~median_difference", CITY + """
+x AS (SELECT value, (isodow(date) = 5)::INT AS is_friday, (isodow(date) = 4)::INT AS is_thursday, (day(date) IN (1, 17) AND month(date) % 3 = 0)::INT AS holiday FROM c),
+s AS (SELECT 'is_friday' AS factor, value, is_friday AS f FROM x UNION ALL SELECT 'is_thursday', value, is_thursday FROM x UNION ALL SELECT 'holiday', value, holiday FROM x),
+r AS (SELECT factor, count(*) FILTER (f = 1) AS flagged_days, count(*) FILTER (f = 0) AS other_days, avg(value) FILTER (f = 1) AS flagged_mean, avg(value) FILTER (f = 0) AS other_mean, median(value) FILTER (f = 1) AS flagged_median, median(value) FILTER (f = 0) AS other_median,
+  avg(value) FILTER (f = 1) - avg(value) FILTER (f = 0) AS mean_difference, median(value) FILTER (f = 1) - median(value) FILTER (f = 0) AS median_difference FROM s GROUP BY 1)""")
+def context_associations(spark, d):
+    joined = city(spark, d).join(F.broadcast(context.calendar(days(spark), holidays(spark))), "date", "left")
+    return context.associations(joined, ["is_friday", "is_thursday", "holiday"], "value")
+
+
+WEATHER = EVENTS + "g AS (SELECT ts::DATE AS date, count(*) AS hours, avg(value) AS mean_value, min(value) AS min_value, max(value) AS max_value, sum(value) AS sum_value, count(*) FILTER (value >= 0.1) AS wet_hours FROM e GROUP BY 1),\nw AS (SELECT *, coalesce(sum_value >= 10, false)::INT AS is_heavy, coalesce(max_value >= 35, false)::INT AS is_hot, coalesce(min_value <= 0, false)::INT AS is_freezing FROM g),\n"
+
+
+@query("date hours ~mean_value ~min_value ~max_value ~sum_value wet_hours is_heavy is_hot is_freezing", WEATHER + "r AS (SELECT * FROM w)")
+def weather_style_daily(spark, d):
+    return context.weather_days(table(spark, d, "events"))
+
+
+@query("year_month days ~total ~mean_of_means ~highest heavy_days hot_days", WEATHER + "r AS (SELECT strftime(date, '%Y-%m') AS year_month, count(*) AS days, coalesce(sum(sum_value), 0) AS total, avg(mean_value) AS mean_of_means, max(max_value) AS highest, sum(is_heavy)::BIGINT AS heavy_days, sum(is_hot)::BIGINT AS hot_days FROM w GROUP BY 1)")
+def monthly_context(spark, d):
+    return context.months(context.weather_days(table(spark, d, "events")))
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query("ts site_id channel reading", """b AS (SELECT DISTINCT date_trunc('minute', ts) AS ts, user_id::INT AS site_id FROM events),
+v AS (SELECT b.ts, b.site_id, c.c AS channel, (b.site_id * 7 + c.c * 680 + hour(b.ts) * 13 + minute(b.ts)) % 2048 AS x FROM b, (SELECT unnest([1, 2, 3]) AS c) c),
+r AS (SELECT ts, site_id, channel::INT AS channel, CASE WHEN x NOT IN (2046, 2047) THEN x END::INT AS reading FROM v)""")
+def parse_records(spark, d):
+    """Log text written from the events, one file per day, and parsed back."""
+    b = table(spark, d, "events").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").cast("int").alias("site_id")).distinct()
+    v = lambda c: (F.col("site_id") * 7 + F.lit(c * 680) + F.hour("ts") * 13 + F.minute("ts")) % 2048
+    block = F.concat(F.format_string("Int %d    1=%d  2= %d", "site_id", v(1), v(2)), F.lit("\n   "), F.format_string("3 =%d", v(3)))
+    at = b.groupBy("ts").agg(F.array_join(F.array_sort(F.collect_list(block)), "\r\n").alias("body"))
+    part = F.concat(F.date_format("ts", "EEEE dd MMMM yyyy HH:mm"), F.lit("\n"), F.col("body"), F.lit("\n\n"))
+    files = at.groupBy(F.to_date("ts").cast("string").alias("source_file")).agg(F.concat(F.lit("stray text\nInt 5 1=2\n"), F.array_join(F.array_sort(F.collect_list(part)), ""), F.lit("End of File\n")).alias("value"))
+    return records.parse(files).select("ts", "site_id", F.explode("channels").alias("channel", "reading"))
+
+
+@query("event_id time k ~half", """x AS (SELECT event_id, (props::JSON->>'k')::DOUBLE AS k FROM events),
+r AS (SELECT event_id, 't' || i AS time, CASE WHEN i = 1 THEN k END AS k, CASE WHEN i = 1 THEN k / 2 ELSE k END AS half FROM x, (SELECT unnest([0, 1]) AS i))""")
+def json_columns_to_rows(spark, d):
+    k = F.get_json_object("props", "$.k")
+    doc = F.concat(F.lit('{"hourly":{"time":["t0","t1"],"k":[null,'), k, F.lit('],"half":['), k, F.lit(","), (k.cast("double") / 2).cast("string"), F.lit("]}}"))
+    return tables.json_columns(table(spark, d, "events").select("event_id", doc.alias("doc")), "doc", "hourly", ["k", "half"])
+
+
+# --- detectors and places --------------------------------------------------------------------------------------------
+
+
+BOXES = "b AS (SELECT p_partkey % 60 AS site, (p_partkey * 37 % 1381)::DOUBLE AS x, (p_partkey * 53 % 695)::DOUBLE AS y FROM part WHERE p_size <= 8 AND p_partkey % 60 > 3),\ns AS (SELECT *, CASE WHEN abs(x - 690) > abs(y - 347) THEN CASE WHEN x < 690 THEN 'west' ELSE 'east' END ELSE CASE WHEN y < 347 THEN 'north' ELSE 'south' END END AS side FROM b),\nn AS (SELECT site, count(*) AS detector_boxes, " + ", ".join(f"count(*) FILTER (side = '{s}') AS {s}_boxes" for s in SIDE) + " FROM s GROUP BY 1),\n"
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, d, "part").where((F.col("p_size") <= 8) & (k % 60 > 3)).select((k % 60).alias("site"), (k * 37 % 1381).cast("double").alias("x"), (k * 53 % 695).cast("double").alias("y"))
+
+
+@query("site detector_boxes south_boxes west_boxes north_boxes east_boxes", BOXES + "r AS (SELECT * FROM n)")
+def box_classify(spark, d):
+    return detectors.box_counts(boxes(spark, d))
+
+
+@query("site channel approach configured operational verification", CHANNELS + BOXES + """
+j AS (SELECT c.*, n.* EXCLUDE (site), row_number() OVER (PARTITION BY c.site ORDER BY positive DESC, finite DESC, channel) AS rk FROM c LEFT JOIN n ON n.site = c.site),
+t AS (SELECT * FROM j WHERE CASE WHEN detector_boxes IS NOT NULL THEN rk <= detector_boxes ELSE positive >= 80 END),
+u AS (SELECT *, count(*) OVER (PARTITION BY site) AS k, row_number() OVER (PARTITION BY site ORDER BY channel) AS i FROM t),
+o AS (SELECT site, channel, CASE WHEN k = detector_boxes THEN CASE WHEN i <= south_boxes THEN 'south' WHEN i <= south_boxes + west_boxes THEN 'west' WHEN i <= south_boxes + west_boxes + north_boxes THEN 'north' ELSE 'east' END ELSE 'unknown' END AS a,
+  true AS configured, operational, CASE WHEN k = detector_boxes THEN 'diagram' WHEN detector_boxes IS NULL THEN 'data' ELSE 'mismatch' END AS v FROM u),
+r AS (SELECT site, channel, CASE WHEN site % 10 = 5 AND channel = 1 THEN 'east' ELSE a END AS approach, configured, operational, CASE WHEN site % 10 = 5 AND channel = 1 THEN 'manual' ELSE v END AS verification FROM o)""")
+def detector_registry(spark, d):
+    profile = quality.channels(fact(spark, d), 80)
+    own = profile.where("site % 10 = 5 AND channel = 1").select("site", "channel", F.lit("east").alias("approach"), F.lit("manual").alias("verification"))
+    return detectors.registry(profile, detectors.box_counts(boxes(spark, d)), 80, own)
+
+
+@query("site has_raw_data has_registry_name has_diagram", FACT + BOXES + "o AS (SELECT DISTINCT site FROM fact), g AS (SELECT s_suppkey AS site FROM supplier WHERE s_suppkey % 7 <> 0),\nk AS (SELECT site FROM o UNION SELECT site FROM g UNION SELECT site FROM n),\nr AS (SELECT site, site IN (SELECT site FROM o) AS has_raw_data, site IN (SELECT site FROM g) AS has_registry_name, site IN (SELECT site FROM n) AS has_diagram FROM k)")
+def site_inventory(spark, d):
+    return detectors.inventory(fact(spark, d), table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("site")), boxes(spark, d))
+
+
+@query("site ~distance_m ~lat ~lon confidence", """c AS (SELECT 'q' || (s_suppkey % 40) AS query, (s_suppkey // 40)::INT AS rank, 32.6 + (s_suppkey * 7 % 100) / 10000.0 AS lat, 51.6 + (s_suppkey * 13 % 100) / 10000.0 AS lon FROM supplier WHERE s_suppkey <= 200),
+w AS (SELECT DISTINCT n_nationkey AS site, 'q' || n_nationkey AS a, 'q' || ((n_nationkey + 7) % 40) AS b FROM nation),
+j AS (SELECT w.site, x.rank AS ra, y.rank AS rb, x.lat AS la, y.lat AS lb, x.lon AS oa, y.lon AS ob, 2 * 6371000 * asin(sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))) AS m FROM w JOIN c x ON x.query = w.a JOIN c y ON y.query = w.b),
+t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY m, ra, rb) AS k FROM j WHERE m <= 1500),
+r AS (SELECT site, m AS distance_m, (la + lb) / 2 AS lat, (oa + ob) / 2 AS lon, CASE WHEN m <= 150 THEN 'high' WHEN m <= 500 THEN 'medium' ELSE 'low' END AS confidence FROM t WHERE k = 1)""")
+def haversine_pairs(spark, d):
+    k = F.col("s_suppkey")
+    c = table(spark, d, "supplier").where("s_suppkey <= 200").select(F.concat(F.lit("q"), (k % 40).cast("string")).alias("query"), F.floor(k / 40).cast("int").alias("rank"), (32.6 + (k * 7 % 100) / 10000.0).alias("lat"), (51.6 + (k * 13 % 100) / 10000.0).alias("lon"))
+    n = F.col("n_nationkey")
+    w = table(spark, d, "nation").select(n.cast("int").alias("site"), F.concat(F.lit("q"), n.cast("string")).alias("a"), F.concat(F.lit("q"), ((n + 7) % 40).cast("string")).alias("b")).distinct()
+    return detectors.street_pairs(w, c)
+
+
+@query("c_custkey token", """x AS (SELECT c_custkey, 'st. ' || c_name || ' - ' || lower(c_mktsegment) || '/ab (way ' || c_nationkey || ')' AS n FROM customer),
+y AS (SELECT c_custkey, unnest(regexp_split_to_array(n, '[-–—/()]')) AS p FROM x), z AS (SELECT c_custkey, trim(regexp_replace(trim(p), '^(?:st\\.|way)', '')) AS token FROM y),
+r AS (SELECT * FROM z WHERE length(token) >= 3)""".replace("\\\\", "\\"))
+def street_tokens(spark, d):
+    c = table(spark, d, "customer")
+    name = F.concat(F.lit("st. "), "c_name", F.lit(" - "), F.lower("c_mktsegment"), F.lit("/ab (way "), F.col("c_nationkey").cast("string"), F.lit(")"))
+    return c.select("c_custkey", F.explode(S.street_tokens(name, [r"st\.", "way"])).alias("token"))
+
+
+# --- graphs and shapes -----------------------------------------------------------------------------------------------
+
+
+def profile_bins(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("site"), F.posexplode("embedding").alias("bin", "v")).select("site", "bin", F.when(F.col("bin") % 31 != F.col("site") % 31, F.col("v").cast("double")).alias("value"))
+
+
+def profile_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    z = graph.standardized(profile_bins(spark, d), 48)
+    return z, graph.neighbour_edges(graph.correlations(z), 4, 0.2)
+
+
+GRAPH = """x AS (SELECT vec_id AS site, unnest(range(0, len(embedding))) AS bin, unnest(embedding)::DOUBLE AS v FROM embeddings),
+k AS (SELECT site, bin, CASE WHEN bin % 31 <> site % 31 THEN v END AS v FROM x),
+o AS (SELECT site, median(v) AS med FROM k GROUP BY 1 HAVING count(v) >= 48),
+f AS (SELECT k.site, bin, coalesce(v, med) AS v FROM k JOIN o USING (site)),
+s AS (SELECT site, avg(v) AS a, stddev_pop(v) AS sd FROM f GROUP BY 1 HAVING stddev_pop(v) > 0),
+z AS (SELECT f.site, list((v - a) / sd ORDER BY bin) AS z FROM f JOIN s USING (site) GROUP BY 1),
+c AS (SELECT a.site AS src, b.site AS dst, list_dot_product(a.z, b.z) / len(a.z) AS corr FROM z a JOIN z b ON a.site < b.site),
+h AS (SELECT src, dst, corr FROM c WHERE corr >= 0.2 UNION ALL SELECT dst, src, corr FROM c WHERE corr >= 0.2),
+t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY corr DESC, dst DESC) AS k FROM h),
+e AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(corr) AS weight, greatest(1e-6, 1 - max(corr)) AS distance FROM t WHERE k <= 4 GROUP BY 1, 2),
+"""
+
+
+@query("src dst ~weight ~distance", GRAPH + "r AS (SELECT * FROM e)")
+def profile_corr_graph(spark, d):
+    return profile_graph(spark, d)[1]
+
+
+@query("site degree ~degree_centrality ~weighted_degree", GRAPH + "u AS (SELECT src AS site, weight FROM e UNION ALL SELECT dst, weight FROM e), n AS (SELECT count(*) AS n FROM z),\nr AS (SELECT z.site, count(weight) AS degree, count(weight) / (max(n.n) - 1)::DOUBLE AS degree_centrality, coalesce(sum(weight), 0) AS weighted_degree FROM z CROSS JOIN n LEFT JOIN u USING (site) GROUP BY 1)")
+def graph_degree(spark, d):
+    return graph.degrees(*profile_graph(spark, d))
+
+
+@query("site component")
+def graph_components(spark, d):
+    return graph.connected(*profile_graph(spark, d))
+
+
+@query("site ~betweenness")
+def graph_betweenness(spark, d):
+    return graph.betweenness(*profile_graph(spark, d))
+
+
+@query("site ~eigenvector")
+def graph_eigenvector(spark, d):
+    return graph.eigenvector(*profile_graph(spark, d))
+
+
+@query("site community")
+def graph_communities(spark, d):
+    return graph.communities(*profile_graph(spark, d))
+
+
+def hour_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """24-hour shapes of groups of ten users."""
+    g = readings(spark, d).where("value IS NOT NULL").groupBy((F.col("site") % 40).cast("long").alias("site"), F.hour("ts").alias("bin")).agg(F.avg("value").alias("value"))
+    return graph.standardized(g, 20)
+
+
+@query("a b ~distance")
+def dtw_pairs(spark, d):
+    return shape.distances(hour_shapes(spark, d))
+
+
+@query("site cluster ~silhouette")
+def dtw_clusters(spark, d):
+    return shape.clusters(shape.distances(hour_shapes(spark, d)))
+
+
+# --- summaries -------------------------------------------------------------------------------------------------------
+
+
+@query("~pearson ~spearman", FACT + """g AS (SELECT site, count(*)::DOUBLE AS n, sum(value)::DOUBLE AS v FROM fact GROUP BY 1),
+k AS (SELECT *, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS rn, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rv FROM g),
+r AS (SELECT corr(n, v) AS pearson, corr(rn::DOUBLE, rv::DOUBLE) AS spearman FROM k)""")
+def correlations(spark, d):
+    from pyspark.sql import Window
+
+    g = fact(spark, d).groupBy("site").agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("v"))
+    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / F.lit(2.0)
+    return g.withColumn("rn", rank("n")).withColumn("rv", rank("v")).agg(F.corr("n", "v").alias("pearson"), F.corr("rn", "rv").alias("spearman"))
+
+
+@query("nation sites first_name top_site ~median_balance", """r AS (SELECT s_nationkey AS nation, count(*) AS sites, arg_min(s_name, s_suppkey) FILTER (trim(s_name) <> '') AS first_name, 'Site ' || arg_max(s_suppkey, row(s_acctbal, -s_suppkey)) AS top_site, median(s_acctbal) AS median_balance FROM supplier GROUP BY 1)""", name="community_summary")
+def community_summary(spark, d):
+    return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("sites"), F.min_by(F.col("s_name"), F.when(F.trim("s_name") != "", F.col("s_suppkey"))).alias("first_name"), F.concat(F.lit("Site "), F.max_by("s_suppkey", F.struct("s_acctbal", -F.col("s_suppkey"))).cast("string")).alias("top_site"), F.median("s_acctbal").alias("median_balance"))
+
+
+@query("duplicate_keys rows missing_value missing_ts rows_with_missing months_missing passed", FACT + MONTHLY.replace(FACT, "") + """
+a AS (SELECT coalesce(sum(k - 1), 0)::BIGINT AS duplicate_keys FROM (SELECT count(*) AS k FROM m GROUP BY site, year_month)),
+b AS (SELECT count(*) AS rows, count(*) FILTER (value IS NULL) AS missing_value, count(*) FILTER (ts IS NULL) AS missing_ts, count(*) FILTER (value IS NULL OR ts IS NULL) AS rows_with_missing FROM fact),
+s AS (SELECT strftime(unnest(generate_series(DATE '1991-06-01', DATE '1999-06-01', INTERVAL 1 MONTH)), '%Y-%m') AS ym),
+c AS (SELECT count(*) AS months_missing FROM s WHERE ym NOT IN (SELECT year_month FROM m)),
+r AS (SELECT *, duplicate_keys = 0 AND missing_ts = 0 AS passed FROM a, b, c)""")
+def quality_gates(spark, d):
+    m, f = monthly(spark, d), fact(spark, d)
+    months = context.spine(spark, "1991-06-01", "1999-06-01", "MONTH").select(S.month(F.col("date")).alias("year_month"))
+    gaps = quality.missing_months(months, m).agg(F.count("*").alias("months_missing"))
+    one = quality.duplicates(m, "site", "year_month").join(quality.missing(f, ["value", "ts"])).join(gaps)  # one row each
+    return one.withColumn("passed", (F.col("duplicate_keys") == 0) & (F.col("missing_ts") == 0))
+
+
+@query("site_months sites invalid_readings ~invalid_rate peak_month low_month ~peak_to_trough", PANEL + f"""
+y AS (SELECT year_month, median(mean_volume) AS v FROM p WHERE year_month LIKE '{YEAR}-%' GROUP BY 1),
+r AS (SELECT (SELECT count(*) FROM p) AS site_months, (SELECT count(DISTINCT site) FROM p) AS sites, (SELECT count(*) FROM fact WHERE value IS NULL) AS invalid_readings, (SELECT count(*) FILTER (value IS NULL) / count(*)::DOUBLE FROM fact) AS invalid_rate,
+  (SELECT year_month FROM y ORDER BY v DESC, year_month LIMIT 1) AS peak_month, (SELECT year_month FROM y ORDER BY v, year_month LIMIT 1) AS low_month, (SELECT max(v) / min(v) - 1 FROM y) AS peak_to_trough)""")
+def headline(spark, d):
+    p, f = panel(spark, d), fact(spark, d)
+    y = p.where(F.col("year_month").startswith(f"{YEAR}-")).groupBy("year_month").agg(F.median("mean_volume").alias("v"))
+    season = y.agg(F.min_by("year_month", F.struct(-F.col("v"), "year_month")).alias("peak_month"), F.min_by("year_month", F.struct("v", "year_month")).alias("low_month"), (F.max("v") / F.min("v") - 1).alias("peak_to_trough"))
+    invalid = f.agg(F.count_if(F.col("value").isNull()).alias("invalid_readings"), (F.count_if(F.col("value").isNull()) / F.count("*")).alias("invalid_rate"))
+    return p.agg(F.count("*").alias("site_months"), F.count_distinct("site").alias("sites")).join(invalid).join(season)  # one row each
