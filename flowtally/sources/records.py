@@ -33,7 +33,7 @@ def parse(files: DataFrame, sentinels: tuple[int, ...] = (2046, 2047)) -> DataFr
 
 def read(spark: SparkSession, root: str, name_pattern: str = r"20(18|19|20|21)", exclude: str = "output.txt", **how) -> DataFrame:
     """Records of all matching *.txt under root; a file is one row, so keep files under a gigabyte."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     named = files.select(F.col("_metadata.file_name").alias("source_file"), "value")
     return parse(named.where(F.col("source_file").rlike(name_pattern) & (F.lower("source_file") != exclude)), **how)
 
