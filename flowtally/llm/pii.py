@@ -17,7 +17,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_PART = r"(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0+)"
 NEED = {"email": "@", "ip": ".", "phone": "+"}
 #: Characters around an entity in which terms count as met with it.
 CONTEXT = 80
