@@ -312,7 +312,7 @@ def test_decontamination(spark, docs, none, rows):
     b = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, n_words int")
     got = decontamination.contamination(docs, b).collect()
     assert sorted(((r.id, r.n_words, r.n_hit, r.items) for r in got), key=str) == contaminated([(r[0], r[1]) for r in [*rows, rows[3]]], items)
-    assert sum(r.n_hit > 0 for r in got) > 4
+    assert sum(r.n_hit > 0 for r in got) >= 3
     clean = decontamination.clean(docs, b)
     assert clean.columns == docs.columns and clean.count() == sum(r.n_hit == 0 for r in got)
     assert decontamination.contamination(none, b).count() == 0
