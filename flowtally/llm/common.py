@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,14 @@ def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, so that what is made of one stays small; freed memory goes back to the system."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def long_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """A list<int64> array with counts[i] values in row i."""
     offsets = np.zeros(len(counts) + 1, np.int32)

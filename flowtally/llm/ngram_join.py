@@ -131,7 +131,7 @@ def verified(docs: DataFrame, id_col: str, text: str, n: int, percent: int, pair
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), common.long_lists(np.concatenate([h[:0], *lists]), np.array([len(x) for x in lists], np.int64))], names=["id", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.small(batches):
             shared, together = [], []
             for a, c in zip(b.column(2), b.column(3), strict=True):
                 p, q = (z.values.to_numpy().view(np.uint64) for z in (a, c))
@@ -178,7 +178,7 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         words = held.value
-        for b in batches:
+        for b in common.small(batches):
             lists = b.column(4)
             flat = lists.flatten().to_numpy()
             lengths = np.diff(lists.offsets.to_numpy())

@@ -49,7 +49,7 @@ class Words:
         if fold:
             self.byte[65:91] = self.byte[97:123]
 
-    def blocks(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def blocks(self, texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, words of each row, 64-bit hashes of all words) for runs of rows.
 
         A null text has no words. Rows are grouped to about `most` bytes; every text is read whole.
@@ -69,6 +69,7 @@ class Words:
             counts = np.diff(np.searchsorted(starts, offs[row : end + 1]))
             yield row, end, counts, hashes
             row = end
+        pa.default_memory_pool().release_unused()
 
     def _scan(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = int(offs[0]), int(offs[-1])
