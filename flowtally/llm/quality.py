@@ -180,6 +180,12 @@ def hashed(f: Features, counts: np.ndarray, h: np.ndarray, bits: int = WEIGHT_BI
     return index, value, per if rows else counts
 
 
+def summed(index: np.ndarray, value: np.ndarray, per: np.ndarray, bits: int = WEIGHT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same features with one entry per row and index, values added up."""
+    both, back = np.unique(np.repeat(np.arange(len(per)), per) << bits | index, return_inverse=True)
+    return both & ((1 << bits) - 1), np.bincount(back, value, len(both)).astype(np.float32), np.bincount(both >> bits, minlength=len(per))
+
+
 def linear(index: np.ndarray, value: np.ndarray, per: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
     total = np.zeros(len(index) + 1)
     np.cumsum(w[index] * value, out=total[1:])
@@ -217,9 +223,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: i
     """Fit both models: votes are counted over all documents; the scorer sees at most about fit_rows of them.
 
     The sample is the ids with the lowest hashes, the share being set from the number of documents. Its rows reach the
-    driver as hashed features of the first 2,000 words each, so their size is bounded too; scoring reads whole texts.
+    driver as the summed features of the whole text, one entry per place of the hashed space at most, however long a text.
     """
-    most = 2_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(3 ** len(LABELLERS), np.int64)
@@ -238,8 +243,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: i
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, _, f, n, h in features(b.column(1)):
-                keep = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < most
-                index, value, per = hashed(f, np.minimum(n, most), h[keep])
+                index, value, per = summed(*hashed(f, n, h))
                 at = np.concatenate([[0], np.cumsum(per)])
                 code = votes(f)
                 yield pa.RecordBatch.from_arrays(

@@ -386,3 +386,13 @@ def test_pipeline(spark, tmp_path):
     assert "[EMAIL]" in got["PII"][63].text and got["PII"][63].n_chars == len(got["PII"][63].text)
     assert {(x.doc_id, x["copy"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(x.doc_id, x["copy"]) for x in docs_.collect()}
     assert all(x["copy"] <= x.copies <= 2 for x in docs_.collect())
+
+
+def test_features_of_whole_texts_summed():
+    texts = pa.array(["one two two one two", "", None, "word " * 5000 + "tail", "one"])
+    for _, _, f, n, h in quality.features(texts):
+        index, value, per = quality.hashed(f, n, h)
+        less = quality.summed(index, value, per)
+        w = np.random.default_rng(1).normal(size=1 << quality.WEIGHT_BITS)
+        assert less[2].sum() < per.sum() and len(less[2]) == len(per)
+        assert np.allclose(quality.linear(index, value, per, w, 0.1), quality.linear(*less, w, 0.1))
