@@ -6,6 +6,19 @@ import json
 from dataclasses import dataclass, fields
 
 
+@dataclass(frozen=True)
+class Periods:
+    # The months and ranges (ends included) that published results compare.
+    shock: tuple[str, str] = ("2020-02", "2020-03")
+    recovery: tuple[str, str] = ("2020-04", "2020-05")
+    latest: tuple[str, str] = ("2020-01", "2021-01")
+    before: tuple[str, str] = ("2019-01", "2020-02")
+    after: tuple[str, str] = ("2020-03", "2020-10")
+    heatmap_end: str = "2020-10"
+    unadjusted_factor: str = "friday_weekend"
+    focus_site: int = 1081
+
+
 @dataclass(frozen=True)
 class Settings:
     # Defaults that published results depend on.

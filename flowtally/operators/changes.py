@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+#: Fixed value: how sites without a large step are named in results.
+STEADY = "No large shift"
+
 
 def adjacent(panel: DataFrame, value: str = "mean_volume") -> DataFrame:
     """(site, year_month, previous_month, change) for sites in both of two months in a row, with a positive base."""
@@ -36,7 +39,7 @@ def consecutive(panel: DataFrame, value: str = "mean_volume") -> DataFrame:
 def regimes(changes: DataFrame, limit: float = 0.5) -> DataFrame:
     """(site, max_abs_change, flag): Review where a month-to-month change reaches the limit."""
     g = changes.groupBy("site").agg(F.max(F.abs("change")).alias("max_abs_change"))
-    return g.withColumn("regime", F.when(F.col("max_abs_change") >= limit, "Review").otherwise("Stable"))
+    return g.withColumn("regime", F.when(F.col("max_abs_change") >= limit, "Review").otherwise(STEADY))
 
 
 def volatility(panel: DataFrame, value: str = "mean_volume") -> DataFrame:

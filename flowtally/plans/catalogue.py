@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import changes, context, detectors, graph, normalize, panels, profiles, quality, shape
+from ..config import Periods
 from ..sources import records, tables
+from . import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -228,7 +230,7 @@ def consecutive_changes(spark, d):
     return changes.consecutive(panel(spark, d))
 
 
-@query("site ~max_abs_change regime", STEPS + "r AS (SELECT site, max(abs(change)) AS max_abs_change, CASE WHEN max(abs(change)) >= 1.0 THEN 'Review' ELSE 'Stable' END AS regime FROM t GROUP BY 1)")
+@query("site ~max_abs_change regime", STEPS + "r AS (SELECT site, max(abs(change)) AS max_abs_change, CASE WHEN max(abs(change)) >= 1.0 THEN 'Review' ELSE 'No large shift' END AS regime FROM t GROUP BY 1)")
 def regime_flag(spark, d):
     return changes.regimes(changes.consecutive(panel(spark, d)), 1.0)
 
@@ -521,6 +523,63 @@ def community_summary(spark, d):
     return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("sites"), F.min_by(F.col("s_name"), F.when(F.trim("s_name") != "", F.col("s_suppkey"))).alias("first_name"), F.concat(F.lit("Site "), F.max_by("s_suppkey", F.struct("s_acctbal", -F.col("s_suppkey"))).cast("string")).alias("top_site"), F.median("s_acctbal").alias("median_balance"))
 
 
+# --- result sets of a report -----------------------------------------------------------------------------------------
+
+PERIODS = Periods(shock=("1997-02", "1997-03"), recovery=("1997-04", "1997-05"), latest=("1996-06", "1997-06"), before=("1995-01", "1996-12"), after=("1997-01", "1997-12"), heatmap_end="1998-12")
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as graph nodes: the nation is the community, the balance the weighted degree."""
+    mean = panel(spark, d).groupBy("site").agg(F.avg("mean_volume").alias("mean_volume"), F.count("*").alias("trusted_months"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_nationkey").alias("community"), F.col("s_acctbal").alias("weighted_degree")).join(mean, "site", "left")
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    blank = F.col("s_suppkey") % 3 == 0
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), F.lit("1992-01").alias("year_month"), F.when(blank, " ").otherwise(F.col("s_name")).alias("name"))
+
+
+LABELS = "l AS (SELECT s_suppkey AS site, 'SCATS ' || s_suppkey || CASE WHEN s_suppkey % 3 <> 0 AND trim(s_name) <> '' THEN ' — ' || s_name ELSE '' END AS label, s_nationkey AS community, s_acctbal AS weighted_degree FROM supplier),\n"
+CHANGES = STEPS + """per AS (SELECT site, count(*) AS months, avg(mean_volume) AS site_mean, stddev_samp(mean_volume) / avg(mean_volume) AS cv, max(abs(change)) AS max_abs_change,
+  median(mean_volume) FILTER (year_month BETWEEN '1995-01' AND '1996-12') AS before_median, median(mean_volume) FILTER (year_month BETWEEN '1997-01' AND '1997-12') AS after_median,
+  max(mean_volume) FILTER (year_month = '1997-03') / max(mean_volume) FILTER (year_month = '1997-02') - 1 AS shock_change, max(mean_volume) FILTER (year_month = '1997-05') / max(mean_volume) FILTER (year_month = '1997-04') - 1 AS recovery_change,
+  max(mean_volume) FILTER (year_month = '1997-06') / max(mean_volume) FILTER (year_month = '1996-06') - 1 AS latest_change FROM t GROUP BY 1),
+"""
+
+
+@query("site label community_label months ~cv ~max_abs_change regime ~before_median ~after_median ~after_vs_before ~shock_change ~recovery_change ~latest_change volume_rank centrality_rank", CHANGES + LABELS + """
+r AS (SELECT l.site, label, 'Community ' || community AS community_label, months, cv, max_abs_change, CASE WHEN months IS NULL THEN NULL WHEN max_abs_change >= 0.5 THEN 'Review' ELSE 'No large shift' END AS regime, before_median, after_median, after_median / before_median - 1 AS after_vs_before,
+  shock_change, recovery_change, latest_change, CASE WHEN site_mean IS NOT NULL THEN (rank() OVER (ORDER BY site_mean DESC NULLS LAST))::INT END AS volume_rank, (rank() OVER (ORDER BY weighted_degree DESC))::INT AS centrality_rank FROM l LEFT JOIN per USING (site))""")
+def site_summary(spark, d):
+    return datasets.site_summary(nodes(spark, d), datasets.site_labels(named(spark, d)), datasets.site_changes(panel(spark, d), PERIODS))
+
+
+@query("community sites ~median_volume ~mean_weighted_degree ~median_trusted_months most_central community_label", CHANGES + LABELS + """
+r AS (SELECT community, count(DISTINCT l.site) AS sites, median(site_mean) AS median_volume, avg(weighted_degree) AS mean_weighted_degree, median(months) AS median_trusted_months, arg_max(label, row(weighted_degree, -l.site)) AS most_central, 'Community ' || community AS community_label FROM l LEFT JOIN per USING (site) GROUP BY community)""")
+def node_communities(spark, d):
+    return datasets.community_summary(nodes(spark, d), datasets.site_labels(named(spark, d)))
+
+
+@query("year_month source_status ~median_volume ~city_mean sites month_date", PANEL + """g AS (SELECT strftime(ts, '%Y-%m') AS year_month, count(DISTINCT ts) AS k FROM fact GROUP BY 1),
+s AS (SELECT unnest(generate_series(DATE '1991-06-01', DATE '1999-06-01', INTERVAL 1 MONTH))::DATE AS date), v AS (SELECT year_month, median(mean_volume) AS median_volume, avg(mean_volume) AS city_mean, count(DISTINCT site) AS sites FROM p GROUP BY 1),
+r AS (SELECT strftime(date, '%Y-%m') AS year_month, CASE WHEN k IS NULL THEN 'Missing' WHEN k < 0.8 * day(last_day(date)) THEN 'Partial' ELSE 'Complete' END AS source_status, median_volume, city_mean, sites, strftime(date, '%Y-%m-01') AS month_date
+  FROM s LEFT JOIN g ON g.year_month = strftime(date, '%Y-%m') LEFT JOIN v ON v.year_month = strftime(date, '%Y-%m'))""")
+def city_months(spark, d):
+    return datasets.city_months(panel(spark, d), quality.source_months(fact(spark, d), 1, "1991-06-01", "1999-06-01"))
+
+
+def city_days(spark: SparkSession, d: str) -> DataFrame:
+    return city(spark, d).withColumn("holiday_name", F.when(F.month("date") == 1, "Winter day")).withColumn("event_names", F.when(F.dayofmonth("date") == 7, "Fair"))
+
+
+@query("date ~deviation direction context_note traffic_status", CITY + f"""b AS (SELECT month(date) AS m, isodow(date) AS w, median(value) AS baseline FROM c WHERE year(date) = {YEAR} GROUP BY 1, 2),
+i AS (SELECT date, 100 * value / nullif(baseline, 0) - 100 AS deviation, CASE WHEN day(date) = 7 THEN 'Fair' WHEN month(date) = 1 THEN 'Winter day' ELSE '' END AS context_note, 'Observed' AS traffic_status FROM c JOIN b ON b.m = month(date) AND b.w = isodow(date) WHERE value IS NOT NULL),
+lo AS (SELECT * FROM i ORDER BY deviation, date LIMIT 12), hi AS (SELECT * FROM i ORDER BY deviation DESC, date LIMIT 8),
+r AS (SELECT *, CASE WHEN deviation < 0 THEN 'Low' ELSE 'High' END AS direction FROM (SELECT * FROM lo UNION SELECT * FROM hi))""")
+def anomaly_days(spark, d):
+    return datasets.anomaly_days(datasets.daily_trend(city_days(spark, d), YEAR))
+
+
 @query("duplicate_keys rows missing_value missing_ts rows_with_missing months_missing passed", FACT + MONTHLY.replace(FACT, "") + """
 a AS (SELECT coalesce(sum(k - 1), 0)::BIGINT AS duplicate_keys FROM (SELECT count(*) AS k FROM m GROUP BY site, year_month)),
 b AS (SELECT count(*) AS rows, count(*) FILTER (value IS NULL) AS missing_value, count(*) FILTER (ts IS NULL) AS missing_ts, count(*) FILTER (value IS NULL OR ts IS NULL) AS rows_with_missing FROM fact),
