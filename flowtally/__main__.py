@@ -1,4 +1,8 @@
-"""Command line: python -m flowtally metadata|ingest|analyze|all --raw DIR --detectors FILE --out DIR [--settings FILE] [--force]."""
+"""Command line: python -m flowtally metadata|geocode|ingest|context|analyze|all --out DIR, and the inputs of each step.
+
+metadata: --raw; geocode: --sites --candidates; ingest: --raw --detectors [--force]; analyze: what ingest wrote;
+context: --weather --policy --holidays --events, and what analyze wrote if it is there. all: those steps whose inputs are given.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions import scalars as S
-from .operators import changes, graph, normalize, panels, profiles, quality, shape
+from .operators import changes, context, detectors, external, graph, normalize, panels, profiles, quality, shape
 from .session import session
 from .sources import records, tables
 
@@ -70,27 +74,72 @@ def analyze(spark: SparkSession, out: str, s: Settings) -> None:
     put(j, "graph_nodes")
 
 
+def geocode(spark: SparkSession, sites: str, candidates: str, out: str, s: Settings) -> None:
+    """Places of the sites (CSV of site, name) from a gazetteer's candidates (CSV), as {out}/sites_geocoded."""
+    named = spark.read.csv(sites, header=True, schema="site int, name string")
+    found = spark.read.csv(candidates, header=True, schema="query string, rank int, lat double, lon double, osm_type string, osm_id string, display_name string")
+    detectors.geocoded(named, found, s.geocode_place, list(s.street_prefixes), s.geocode_bbox).write.mode("overwrite").parquet(f"{out}/sites_geocoded")
+
+
+def add_context(spark: SparkSession, weather: str, policy: str, holidays: str, events: str, out: str, s: Settings) -> None:
+    """Daily and monthly context and its checks, and joined to {out}/tables/site_daily if that is there, as {out}/tables/*."""
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/tables/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/tables/{name}")
+
+    dates = context.spine(spark, s.context_start, s.context_end)
+    series = put(tables.read_policy(spark, policy, external.POLICY, s.policy_country), "policy_series")
+    days = external.daily(
+        external.calendar(dates, spark.read.csv(holidays, header=True, schema="date date, name_en string, name_fa string"), s.ramadan_windows),
+        external.weather_days(tables.read_weather(spark, weather)), external.policy_days(dates, series), external.event_days(dates, tables.read_events(spark, events)),
+    )
+    days = put(days, "daily_context")
+    put(external.months(days), "context_monthly")
+    put(external.checks(days, dates, series), "context_quality")
+    if _exists(spark, f"{out}/tables/site_daily"):
+        site_days = spark.read.parquet(f"{out}/tables/site_daily")
+        put(external.site_context(site_days, days), "site_daily_with_context")
+        city = put(external.city_context(site_days, days, s.trusted_temporal_coverage), "city_daily_with_context")
+        put(external.associations(city), "context_associations")
+
+
+#: The inputs that each step needs, in the order of the steps.
+NEEDS = {"metadata": ("raw",), "geocode": ("sites", "candidates"), "ingest": ("raw", "detectors"), "analyze": (), "context": ("weather", "policy", "holidays", "events")}
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="flowtally")
-    p.add_argument("command", choices=["metadata", "ingest", "analyze", "all"])
+    p.add_argument("command", choices=[*NEEDS, "all"])
     p.add_argument("--raw")
     p.add_argument("--detectors", help="CSV with site_id, channel_id, approach, operational")
+    p.add_argument("--sites", help="CSV with site, name")
+    p.add_argument("--candidates", help="CSV with query, rank, lat, lon, osm_type, osm_id, display_name")
+    p.add_argument("--weather", help="JSON of hourly columns")
+    p.add_argument("--policy", help="CSV of policy levels by country and day")
+    p.add_argument("--holidays", help="CSV with date, name_en, name_fa")
+    p.add_argument("--events", help="CSV of dated events")
     p.add_argument("--out", required=True)
     p.add_argument("--settings")
     p.add_argument("--force", action="store_true")
     a = p.parse_args(argv)
     every = a.command == "all"
-    if not a.raw and a.command != "analyze":
-        p.error("--raw is needed")
-    if not a.detectors and (every or a.command == "ingest"):
-        p.error("--detectors is needed")
+    lacks = lambda step: [n for n in NEEDS[step] if not getattr(a, n)]
+    for step in ("metadata", "ingest") if every else (a.command,):
+        if lacks(step):
+            p.error(" and ".join(f"--{n}" for n in lacks(step)) + " needed")
     spark, s = session(), Settings.load(a.settings) if a.settings else Settings()
-    if every or a.command == "metadata":
-        metadata(spark, a.raw, a.out, s)
-    if every or a.command == "ingest":
-        ingest(spark, a.raw, spark.read.csv(a.detectors, header=True, schema="site_id int, channel_id int, approach string, operational string"), a.out, s, a.force)
-    if every or a.command == "analyze":
-        analyze(spark, a.out, s)
+    for step in [k for k in NEEDS if not lacks(k)] if every else [a.command]:
+        if step == "metadata":
+            metadata(spark, a.raw, a.out, s)
+        elif step == "geocode":
+            geocode(spark, a.sites, a.candidates, a.out, s)
+        elif step == "ingest":
+            ingest(spark, a.raw, spark.read.csv(a.detectors, header=True, schema="site_id int, channel_id int, approach string, operational string"), a.out, s, a.force)
+        elif step == "analyze":
+            analyze(spark, a.out, s)
+        else:
+            add_context(spark, a.weather, a.policy, a.holidays, a.events, a.out, s)
 
 
 if __name__ == "__main__":

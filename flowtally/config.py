@@ -32,6 +32,12 @@ class Settings:
     baseline_year: int = 2019
     sentinels: tuple[int, ...] = (2046, 2047)
     ramadan_windows: tuple[tuple[str, str], ...] = ()
+    context_start: str = "2018-10-01"
+    context_end: str = "2021-01-31"
+    policy_country: str = "IRN"
+    geocode_place: str = "اصفهان, ایران"
+    geocode_bbox: tuple[float, float, float, float] = (32.55, 51.55, 32.80, 51.85)
+    street_prefixes: tuple[str, ...] = ("چهارراه", "چهار راه", "سه راه", "میدان", "شمال پل", "جنوب پل", "شمال", "جنوب")
 
     @staticmethod
     def load(path: str) -> Settings:

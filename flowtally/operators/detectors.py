@@ -64,3 +64,33 @@ def located(sites: DataFrame, direct: DataFrame, pairs: DataFrame) -> DataFrame:
     j = sites.join(s(direct, "__d"), "site", "left").join(s(pairs, "__p"), "site", "left")
     at: Column = F.coalesce("__d", "__p")
     return j.withColumn("lat", at["lat"]).withColumn("lon", at["lon"]).withColumn("method", F.when(F.col("__d").isNotNull(), "direct_name").when(F.col("__p").isNotNull(), "street_pair").otherwise("unmatched")).drop("__d", "__p")
+
+
+def geocoded(sites: DataFrame, candidates: DataFrame, place: str, prefixes: list[str], box: tuple[float, float, float, float], streets: int = 3, limit: float = 1500.0) -> DataFrame:
+    """sites (site, name, ...) with latitude, longitude and how they were found: a candidate for the name itself, else the
+    midpoint of the closest two candidates of two of its first `streets` streets, else nothing ("unmatched"). Sites without
+    a name have nulls.
+
+    candidates: (query, rank, lat, lon, osm_type, osm_id, display_name), query being a name and `place`; those outside the
+    box are left out, and of a name's own only ranks up to 5 count, of a street's up to 15. Ties go to the first pair of streets, then by rank.
+    """
+    full = lambda c: F.concat(c, F.lit(f", {place}"))
+    keep = ("lat", "lon", "osm_type", "osm_id", "display_name")
+    c = candidates.where(S.inside(F.col("lat"), F.col("lon"), box) & (F.col("rank") <= 15)).select("query", "rank", F.struct(*keep).alias("c"))
+    named = sites.select("site", S.persian(F.col("name")).alias("n")).where("n <> ''")
+    own = named.select("site", full(F.col("n")).alias("query")).join(c.where("rank <= 5"), "query").groupBy("site", "query").agg(F.min_by("c", "rank").alias("c"))
+    own = own.select("site", F.struct(*[F.col(f"c.{k}").cast("double").alias(k) for k in keep[:2]], F.lit("direct_name").alias("method"), F.lit("medium").alias("confidence"), "query", F.lit(0.0).alias("d"), *[F.coalesce(F.col(f"c.{k}").cast("string"), F.lit("")).alias(k) for k in keep[2:]]).alias("own"))
+    parts = named.select("site", F.posexplode(F.slice(S.street_tokens(F.col("n"), prefixes), 1, streets)).alias("i", "token"))
+    each = parts.select("site", "i", full(F.col("token")).alias("query")).join(c, "query")
+    a, b = (each.select("site", *[F.col(x).alias(f"{x}_{k}") for x in ("i", "query", "rank", "c")]) for k in "ab")
+    j = a.join(b, "site").where("i_a < i_b").withColumn("d", S.haversine(F.col("c_a.lat"), F.col("c_a.lon"), F.col("c_b.lat"), F.col("c_b.lon"))).where(F.col("d") <= limit)
+    best = j.groupBy("site").agg(F.min_by(F.struct("c_a", "c_b", "query_a", "query_b", "d"), F.struct("d", "i_a", "i_b", "rank_a", "rank_b")).alias("x")).select("site", "x.*")
+    mid = lambda k: ((F.col(f"c_a.{k}") + F.col(f"c_b.{k}")) / 2).alias(k)
+    both = lambda k, sep: F.concat(F.coalesce(F.col(f"c_a.{k}").cast("string"), F.lit("")), F.lit(sep), F.coalesce(F.col(f"c_b.{k}").cast("string"), F.lit(""))).alias(k)
+    pair = best.select("site", F.struct(mid("lat"), mid("lon"), F.lit("street_pair").alias("method"), S.confidence(F.col("d")).alias("confidence"), F.concat_ws(" | ", "query_a", "query_b").alias("query"), "d", F.lit("pair").alias("osm_type"), both("osm_id", "|"), both("display_name", " | ")).alias("pair"))
+    out = sites.join(named, "site", "left").join(own, "site", "left").join(pair, "site", "left").withColumn("m", F.coalesce("own", "pair"))
+    none = F.col("n").isNotNull()
+    return out.select(
+        *[F.col(x) for x in sites.columns], F.col("m.lat").alias("latitude"), F.col("m.lon").alias("longitude"), F.coalesce("m.method", F.when(none, F.lit("unmatched"))).alias("geocode_method"), F.coalesce("m.confidence", F.when(none, F.lit("none"))).alias("geocode_confidence"),
+        F.coalesce("m.query", F.col("n")).alias("geocode_query"), F.col("m.d").alias("match_distance_m"), *[F.col(f"m.{k}").alias(k) for k in keep[2:]],
+    )
