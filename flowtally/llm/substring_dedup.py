@@ -275,12 +275,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
                 which = pa.array(row[on[s]])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array(place[on[s]]), pa.array(place[on[e]] + window)], names=["id", "seq", "start", "end"])
 
-    # A segment of one key may stand in very many documents: that join can be split, and its other side is one row a key.
-    most = holders.groupBy("key").agg(F.first("holders").alias("holders"))
-    got = rows.select("id", "seq", "first", "key").join(most, "key").select("id", "seq", "first", "holders").mapInArrow(spans, "id long, seq long, start long, end long")
+    # A segment of one key may stand in very many documents: keys with more than a shard's share are split over as many
+    # parts as they have shares. There are fewer such keys than shards, and at most two parts a shard in all.
+    share = max(1, rows.count() // shards)
+    often, at_often = common.write_table(rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > share).select("key", F.ceil(F.col("k") / share).cast("int").alias("parts")), "often")
+    parted = lambda df: df.join(F.broadcast(often), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    one = parted(rows.select("id", "seq", "first", "key")).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "seq", "first"), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
+    # A key's anchor is in one shard and one block, so that each key has one list of holders.
+    all_parts = parted(holders).select("key", "holders", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    got = one.join(all_parts, ["key", "part"]).select("id", "seq", "first", "holders").mapInArrow(spans, "id long, seq long, start long, end long")
     out, _ = common.write_table(got.groupBy("id", "seq").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     common.drop_table(spark, at_rows)
     common.drop_table(spark, at_holders)
+    common.drop_table(spark, at_often)
     common.free_shuffles(spark)
     return out
 

@@ -398,3 +398,20 @@ def test_features_of_whole_texts_summed():
         w = np.random.default_rng(1).normal(size=1 << quality.WEIGHT_BITS)
         assert less[2].sum() < per.sum() and len(less[2]) == len(per)
         assert np.allclose(quality.linear(index, value, per, w, 0.1), quality.linear(*less, w, 0.1))
+
+
+def test_substring_hot_passage(spark):
+    """A passage that stands in most documents is split over many parts: the result is that of one shard."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"a{i} b{i} {passage} c{i} " + " ".join(f"d{i % 7}x{j}" for j in range(20))) for i in range(300)] + [(300, None), (None, passage), (5, "a5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for shards in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", shards)
+            got[shards] = sorted(map(str, substring_dedup.kept(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got["1"] == got["40"] and len(got["1"]) == len(rows)
+    removed = {r.id: (r.n_words, r.n_removed) for r in substring_dedup.kept(docs.where("doc_id <> 5")).collect()}
+    assert removed[0] == (63, 0) and removed[1] == (63, 40) and removed[299] == (63, 60) and removed[300] == (0, 0)
