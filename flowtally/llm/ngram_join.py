@@ -163,10 +163,11 @@ def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     """(x, y) that may be similar and are in different components so far; prefix: (id, n, level, tokens, c).
 
-    A shingle that one component alone has is dropped; a document with more of these than a partner may lack, or whose
-    other shingles all come after so many, has no partner outside its component and goes too; with fewer, `top` is the size
-    that a partner may have at most, as what is shared is bounded. A posting's place bounds it too: similar documents share
-    one of the shingles that stand so early that either could miss all before it. For the others, pairs of components are formed first and then
+    A shingle that one component alone has in its prefixes is dropped; a document with more of these than a partner may
+    lack, or whose other shingles all come after so many, has no partner outside its component and goes too. With fewer,
+    the number says nothing of a partner's size, as a longer document may hold such shingles behind its own prefix. A
+    posting's place does, for the first shingle that two documents share: both miss all before it, and `top` is the size
+    that a partner may have at most. For the others, pairs of components are formed first and then
     the documents of each that have the shingle, so documents of one component never meet. The larger of two documents
     says how many shared shingles of the prefixes it takes (`level`); what stands behind the last shared one bounds the
     rest of the overlap.
@@ -191,20 +192,20 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
             before = dead - np.repeat(np.concatenate([[0], dead])[np.cumsum(lengths) - lengths], lengths)
             gone = np.bincount(row, ~alive, len(lengths)).astype(np.int64)
             keep = np.flatnonzero(alive & (before <= spare[row]) & (gone <= spare)[row])
-            yield b, flat[keep], row[keep], place[keep], np.bincount(row[keep], minlength=len(lengths)), (100 + percent) * (size - gone) // percent - size
+            yield b, flat[keep], row[keep], place[keep], np.bincount(row[keep], minlength=len(lengths))
 
     def by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, token, row, place, k, top in live(batches):
+        for b, token, row, place, k in live(batches):
             nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
             heads = common.long_lists(token[nth < HEAD], np.minimum(k, HEAD))
             n = b.column(1).to_numpy()[row]
-            top = np.minimum(top[row], (100 + percent) * (n - place) // percent - n)
+            top = (100 + percent) * (n - place) // percent - n
             post = np.flatnonzero(100 * top >= percent * n)
             which = pa.array(row[post])
             yield pa.RecordBatch.from_arrays([b.column(j).take(which) for j in range(4)] + [pa.array(token[post]), pa.array(top[post]), pa.array(k).take(which), heads.take(which)], names=["id", "n", "level", "c", "token", "top", "k", "head"])
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, token, _, place, k, _ in live(batches):
+        for b, token, _, place, k in live(batches):
             some = pa.array(k > 0)
             yield pa.RecordBatch.from_arrays([b.column(j).filter(some) for j in range(3)] + [common.long_lists(token, k).filter(some), common.long_lists(place.astype(np.int64), k).filter(some)], names=["id", "n", "level", "live", "places"])
 
