@@ -418,7 +418,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY m, ra, rb) AS k FR
 r AS (SELECT site, m AS distance_m, (la + lb) / 2 AS lat, (oa + ob) / 2 AS lon, CASE WHEN m <= 150 THEN 'high' WHEN m <= 500 THEN 'medium' ELSE 'low' END AS confidence FROM t WHERE k = 1)""")
 def haversine_pairs(spark, d):
     k = F.col("s_suppkey")
-    c = table(spark, d, "supplier").where("s_suppkey <= 200").select(F.concat(F.lit("q"), (k % 40).cast("string")).alias("query"), F.floor(k / 40).cast("int").alias("rank"), (32.6 + (k * 7 % 100) / 10000.0).alias("lat"), (51.6 + (k * 13 % 100) / 10000.0).alias("lon"))
+    c = table(spark, d, "supplier").select(F.concat(F.lit("q"), (k % 40).cast("string")).alias("query"), F.floor(k / 40).cast("int").alias("rank"), (32.6 + (k * 7 % 100) / 10000.0).alias("lat"), (51.6 + (k * 13 % 100) / 10000.0).alias("lon"))
     n = F.col("n_nationkey")
     w = table(spark, d, "nation").select(n.cast("int").alias("site"), F.concat(F.lit("q"), n.cast("string")).alias("a"), F.concat(F.lit("q"), ((n + 7) % 40).cast("string")).alias("b")).distinct()
     return detectors.street_pairs(w, c)
