@@ -155,7 +155,7 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     for i, b in enumerate(every):
         t, n = b.text, len(b.text)
         x[i, :PATH_DIMS] = path_vector(b.path)
-        x[i, -9:-1] = (np.log1p(n) / 7, min(1.0, b.linked / n), (t.count(".") + t.count(",")) / n * 10, t.count("|") / n * 10, t[-1] in ".!?…", "©" in t, len(b.path) / 10, sum(c.isdigit() for c in t[:200]) / 200)
+        x[i, -9:-1] = (np.log1p(n) / 7, min(1.0, b.linked / n), (t.count(".") + t.count(",")) / n * 10, t.count("|") / n * 10, t[-1] in ".!?…", "©" in t, len(b.path) / 10, sum(map(str.isdigit, t)) / n)
     cuts = np.cumsum([len(p) for p in pages])[:-1]
     return np.split(x, cuts)
 
