@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITMAP_LOG2 = 26
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Tables of write_table() that were not dropped yet, by path.
+_written: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder is used.
+    Where it is unset and driver and executors are one process (master local[...]), as in tests, a folder of its own is
+    set; on a cluster it's an error.
     """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
-        held = getattr(shared_dir, "own", None)
-        found = shared_dir.own = held or "file://" + tempfile.mkdtemp(prefix="flowtally-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{key} is not set: it must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="flowtally-")
+        spark.conf.set(key, found)
     return found.rstrip("/")
 
 
 def write_table(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
-    """Write df to the shared folder and return it reread, with its path: lineage is cut, lost executors cost nothing."""
+    """Write df to the shared folder and return it reread, with its path: lineage is cut, lost executors cost nothing.
+
+    The table stays until drop_table(), drop_written() or the end of the driver, as results are read lazily.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowtally/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    if not _written:
+        atexit.register(_at_exit)
+    _written[path] = spark
+    # What the write shuffled is deleted with its end: the plan is not run again, its result is reread.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -40,6 +62,87 @@ def drop_table(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.pop(path, None)
+
+
+def drop_written(keep: tuple[str, ...] = ()) -> None:
+    """Delete every table that operators have written so far, but those to keep: for when all results are elsewhere."""
+    for path, spark in list(_written.items()):
+        if path not in keep:
+            drop_table(spark, path)
+
+
+def _at_exit() -> None:
+    if any(s.sparkContext._jsc is not None for s in _written.values()):
+        drop_written()
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until none of the columns has it (names differ by more than case)."""
+    held, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in held:
+            n = "_" + n
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """let() as SQL: body, with name standing for the value."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def running_sql(values: str, step: str = "s + x") -> str:
+    """SQL for an array: for each element of an array of ints, the sum (or another fold of s and x, from 0) of those before it.
+
+    Done in parts of about the root of the array's length, so that no element is folded more often than a part is long.
+    (As text, one call makes the expression; with functions of columns it takes hundreds.)
+    """
+    fold = lambda a: f"aggregate({a}, 0, (s, x) -> {step})"
+    size = "CAST(ceil(sqrt(size(ra))) AS INT)"
+    parts = f"transform(sequence(0, CAST(floor((size(ra) - 1) / {size}) AS INT)), rk -> slice(ra, rk * {size} + 1, {size}))"
+    both = let_sql("rb", "s", let_sql(fold("slice(rq, 1, ri)"), "x", step))
+    one = let_sql(fold("slice(rt, 1, rj)"), "rb", f"transform(rq, (rx, ri) -> {both})")
+    every = let_sql(f"transform(rp, rq -> {fold('rq')})", "rt", f"flatten(transform(rp, (rq, rj) -> {one}))")
+    return let_sql(values, "ra", f"CASE WHEN size(ra) > 0 THEN {let_sql(parts, 'rp', every)} ELSE CAST(array() AS ARRAY<INT>) END")
+
+
+def text_sql(s: str) -> str:
+    """A string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: Rows of a table that are sent to every executor at most; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """big joined to small, which has each key at most a few times, with hot keys of big split.
+
+    A small table of up to BROADCAST_ROWS rows is broadcast. Otherwise a key with more than one shuffle partition's share
+    of big is dealt over as many parts as it has shares, and small's rows of that key are repeated for each. Fewer keys
+    than shuffle partitions can be so hot, so the table of them is broadcast and the repeated rows stay few. A row's part
+    follows from a hash of its columns (none may be a map), so that a task that runs again deals alike; equal rows go
+    together. big is read twice: it should be a written table. how: inner, left, left_semi or left_anti.
+    """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, how)
+    spark = big.sparkSession
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts, part = free_names([*big.columns, *small.columns], "parts", "part")
+    share = max(1, big.count() // shards)
+    hot = big.groupBy(*keys).agg(F.count("*").alias("k")).where(F.col("k") > share).select(*keys, F.ceil(F.col("k") / share).cast("int").alias(parts))
+    hot, _ = write_table(hot, "hot")
+    of = lambda d: d.join(F.broadcast(hot), keys, "left")
+    dealt = of(big).withColumn(part, F.pmod(F.xxhash64(*big.columns), F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts)
+    again = of(small).withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(again, [*keys, part], how).drop(part)
 
 
 #: Ids that a filter sends to every executor at most; more are joined by a shuffle.
@@ -52,14 +155,6 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver forget finished plans, so that Spark's cleaner removes their shuffle files."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bitmap(df: DataFrame, key: str, log2_bits: int = BITMAP_LOG2) -> np.ndarray:
     """A one-hash membership bitmap over a long column, 2**log2_bits bits at every input size.
 

@@ -270,7 +270,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     known = low.join(hop, "c", "left").select("id", F.coalesce("c_next", "c").alias("c"))
     prefix = prefixes(docs, id_col, text, n, percent, counts).join(only, "id", "left_semi").join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
     prefix, at_prefix = common.write_table(prefix, "prefixes")
-    common.free_shuffles(spark)
     found = candidates(prefix, percent)
     common.drop_table(spark, at_prefix)
     links = stars.unionByName(verified(docs, id_col, text, n, percent, found)).distinct()

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 # Common words of English, French, German and Spanish prose; a bar stands for the rule of a table.
 ANCHORS = (
     "the of and to in is it that for was on with as are be this by not or at from an a "
@@ -19,11 +21,6 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~"
 SPACES = "\t\n\r\x0b\x0c"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once for each row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def signatures(text: Column) -> Column:
     """The sorted distinct signatures (32-bit hashes) of a text: for every content word right after an anchor, the anchor,
     that word and the next content word. The text's start is an anchor too, so a text with a content word has at least one
@@ -43,9 +40,9 @@ def signatures(text: Column) -> Column:
 
             return F.array_compact(F.transform(c, chain))
 
-        return _let(content, each)
+        return common.let(content, each)
 
-    return F.sort_array(F.array_distinct(_let(words, chains)))
+    return F.sort_array(F.array_distinct(common.let(words, chains)))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -106,11 +103,11 @@ def similar(docs: DataFrame, threshold: float = 0.44, id_col: str = "doc_id", te
     members = s.join(reps, "s", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     sets = reps.select("rep", "s", F.size("s").alias("n"), F.floor(F.log(F.size("s")) / math.log(1 / threshold)).alias("band"))
     each = sets.select("rep", "n", "band", F.explode("s").alias("t"))
-    common = each.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    often = each.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
     kept = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    alone = each.join(common, "t", "left_anti").groupBy("rep").agg(F.count("*").alias("alone"))
+    alone = each.join(often, "t", "left_anti").groupBy("rep").agg(F.count("*").alias("alone"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
-    index = each.join(common, "t").join(alone, "rep", "left").withColumn("p", place + F.coalesce("alone", F.lit(0))).where(F.col("p") <= kept).select("rep", "n", "band", "t")
+    index = each.join(often, "t").join(alone, "rep", "left").withColumn("p", place + F.coalesce("alone", F.lit(0))).where(F.col("p") <= kept).select("rep", "n", "band", "t")
     a = index.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "t")
     b = index.select(F.col("rep").alias("y"), F.col("n").alias("ny"), "band", "t")
     near = a.join(b, ["band", "t"]).where((F.col("x") != F.col("y")) & (F.col("nx") >= threshold * F.col("ny")) & (F.col("ny") >= threshold * F.col("nx")))

@@ -251,11 +251,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     """
     spark = docs.sparkSession
     rows, at_rows = segments(docs, id_col, text, window, anchor, repeated_anchors(docs, id_col, text, window, anchor))
-    common.free_shuffles(spark)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.where("words IS NOT NULL").select("g", "key", "id", "words").repartition(shards, "g").sortWithinPartitions("g")
     holders, at_holders = common.write_table(first_holders(dealt, window), "holders")
-    common.free_shuffles(spark)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,7 +286,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     common.drop_table(spark, at_rows)
     common.drop_table(spark, at_holders)
     common.drop_table(spark, at_often)
-    common.free_shuffles(spark)
     return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -251,18 +252,116 @@ def test_pii_spans(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.s for x in pii.with_spans(d, support=10**9).select("doc_id", pii.listed(F.col("base")).alias("s")).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == spans_of(t), t[:200]
+        assert got[i] == ("" if t and len(t) >= 100_000 else spans_of(t)), t[:200]  # the long ones have no spans
 
 
-def test_pii_terms(spark):
-    docs_ = [(i, f"filler{i} zorblat wrote to anna@mail.com about number{i} things") for i in range(4)] + [(10 + i, f"other text {i} about nothing and things") for i in range(40)] + [(90, None), (91, "")]
-    d = spark.createDataFrame([(*x, "b") for x in docs_], "doc_id long, text string, base string")
-    got = {r.doc_id: r for r in pii.with_spans(d).collect()}
-    assert len(got) == len(docs_)
-    assert {docs_[0][1][s.start : s.end] for s in got[0].spans if s.kind == "term"} == {"zorblat", "wrote"}
-    clean = {r.doc_id: r.text for r in pii.sanitised(d).collect()}
-    assert clean[0] == "filler0 [TERM] [TERM] to [EMAIL] about number0 things" and clean[10] == docs_[4][1] and clean[90] is None
+def terms_of(texts, disclosure=0.8, support=3):
+    """Term spans by brute force: {row: {(start, end)}}."""
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    plain = lambda w: w.lower().translate({ord(m): None for m in marks})
+    parts, of = [], []  # contexts: (row, start, end)
+    for i, t in enumerate(texts):
+        parts += [(i, m.start(), m.end()) for m in re.finditer(r"(?s).{1,400}[^\x20\x09-\x0D]*", t or "")]
+    held, term = [], []
+    for i, a, z in parts:
+        term.append({w for w in map(plain, re.split(r"[\x20\x09-\x0D]", texts[i][a:z])) if len(w) >= 3})
+        held.append(set())
+    base = {i: [(int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in spans_of(t).split(",") if x] for i, t in enumerate(texts)}
+    for k, (i, a, z) in enumerate(parts):
+        for s, e, kind in base[i]:
+            if s < z and a < e:
+                v = texts[i][s:e]
+                held[k].add((kind, re.sub("[^0-9]", "", v) if kind in ("card", "phone") else v.lower()))
+    n, out = len(parts), defaultdict(set)
+    for e in {e for h in held for e in h}:
+        mine = [k for k in range(n) if e in held[k]]
+        for t in {t for k in mine for t in term[k]}:
+            both = [k for k in mine if t in term[k]]
+            if len({texts[parts[k][0]] for k in both}) < support or len(mine) == n:
+                continue
+            n_t = sum(t in x for x in term)
+            if n_t <= len(both) * (n / len(mine)) ** (1 - disclosure) * (1 + 1e-12):
+                for i in {parts[k][0] for k in both}:
+                    for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i]):
+                        core = m[0].strip(marks)
+                        at = m.start() + len(m[0]) - len(m[0].lstrip(marks))
+                        if core and plain(core) == t and not any(s < at + len(core) and at < z for s, z, _ in base[i]):
+                            out[i].add((at, at + len(core)))
+    return out
+
+
+def pii_texts():
+    r = random.Random(8)
+    word = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    say = lambda n: " ".join(r.choice(word) for _ in range(n))
+    texts = []
+    for i in range(60):
+        person = i % 6
+        t = say(r.randint(5, 150))
+        if i % 2:  # a name, an employer that others share, and the address; sometimes far apart
+            t += f" Zorblat{person}, of Acme{person % 2}! wrote ann{person}@mail.com about +1 (555) 000-000{person} " + say(r.randint(0, 90)) + f" (zorblat{person})"
+        texts.append(t)
+    texts += [texts[1], texts[1], "un" + "x" * 395 + "believable ann1@mail.com", None, "", "ann1@mail.com", "4111 1111 1111 1111 zorblat1"]
+    return texts
+
+
+@pytest.mark.parametrize("prune", [True, False])
+def test_pii_terms(spark, prune):
+    texts = pii_texts()
+    want = terms_of(texts)
+    d = spark.createDataFrame([(i, t, "b", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, base string, uid int, th int").repartition(3)
+    got = {r.doc_id: r for r in pii.with_spans(d, prune=prune).collect()}
+    assert len(got) == len(texts) and got[0].uid == 1 and got[0].th == 2
+    assert {i: {(s.start, s.end) for s in r.spans if s.kind == "term"} for i, r in got.items()} == {i: want.get(i, set()) for i in got}
+    assert len(want) >= 10 and "zorblat1" in {texts[i][s:e].lower() for i in want for s, e in want[i]}
+    for i, r in got.items():
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.base) == spans_of(texts[i])
+
+
+def test_pii_sanitised(spark):
+    texts = pii_texts()
+    d = spark.createDataFrame([(i, t, "kept", 7) for i, t in enumerate(texts)], "doc_id long, text string, spans string, n int").repartition(3)
+    found = {r.doc_id: r.spans for r in pii.with_spans(d.drop("spans")).collect()}
+    clean = pii.sanitised(d)
+    assert clean.columns == d.columns
+    for r in clean.collect():
+        assert (r.spans, r.n) == ("kept", 7)
+        if texts[r.doc_id] is None:
+            assert r.text is None
+            continue
+        out, at = "", 0
+        for s in found[r.doc_id]:
+            if s.start >= at:
+                out += texts[r.doc_id][at : s.start] + (f"[{s.kind.upper()}]" if s.kind != "term" else "[NUMBER]" if re.search("[0-9]", s.value) else "[TERM]")
+            at = max(at, s.end)
+        assert r.text == out + texts[r.doc_id][at:]
     assert pii.sanitised(d.limit(0)).count() == 0
+    gone = pii.sanitised(d, remove_terms=True).where("text LIKE '%[TERM]%' OR text LIKE '%[NUMBER]%'")
+    assert gone.isEmpty()
+
+
+def test_pii_many_spans(spark):
+    """100,000 spans in one text."""
+    text = " ".join(f"u{i}@mail.com, +1 555 000 {i:05d}; 10.0.{i % 250}.{i % 199}" for i in range(33_334))
+    d = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.sanitised(d).collect()}
+    assert got[2].text == "none" and got[1].text == " ".join(["[EMAIL], [PHONE]; [IP]"] * 33_334)
+    assert time.time() - began < 90
+
+
+def test_op8_query(spark, tmp_path):
+    texts = pii_texts()
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = terms_of(texts)
+    got = {r.doc_id: r for r in queries.QUERIES["op8_pii"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, r in got.items():
+        base = spans_of(texts[i])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        every = [(int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0]), x) for x in base.split(",") if x] + [(s, 4, f"term:{s}:{e}") for s, e in want.get(i, ())]
+        assert r.spans == ",".join(x for *_, x in sorted(every))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [base.count(k + ":") for k in pii.KINDS]
 
 
 def test_quality(spark):
