@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write df to the shared folder and return it reread, with its path: lineage is cut, lost executors cost nothing.
 
-    The table stays until drop_table(), drop_written() or the end of the driver, as results are read lazily.
+    The table stays until drop_table(), dropping(), drop_written() or the end of the driver, as results are read lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowtally/{name}-{uuid.uuid4().hex}"
@@ -65,13 +66,22 @@ def drop_table(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
-def drop_written(keep: tuple[str, ...] = ()) -> None:
-    """Delete every table that operators have written so far, but those to keep: for when all results are elsewhere."""
+@contextmanager
+def dropping(*keep: str) -> Iterator[list[str]]:
+    """On leaving without an error, delete the tables written inside, but those whose paths are in the list that it gives."""
+    before, kept = set(_written), list(keep)
+    yield kept
     for path, spark in list(_written.items()):
-        if path not in keep:
+        if path not in before and path not in kept:
             drop_table(spark, path)
 
 
+def drop_written() -> None:
+    """Delete every table that operators have written so far: for when all results are elsewhere."""
+    for path, spark in list(_written.items()):
+        drop_table(spark, path)
+
+
 def _at_exit() -> None:
     if any(s.sparkContext._jsc is not None for s in _written.values()):
         drop_written()
@@ -122,27 +132,47 @@ def text_sql(s: str) -> str:
 BROADCAST_ROWS = 50_000
 
 
-def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+#: A key with so many rows or fewer isn't worth splitting.
+FEW_ROWS = 200
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parts) of the keys with more than one shuffle partition's share of df's rows (and than FEW_ROWS), and how many
+    shares they have.
+
+    There are fewer of them than shuffle partitions, whatever df holds, so the table may be broadcast; it is written.
+    """
+    shards = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    per = df.groupBy(*keys).agg(F.count("*").alias("k"))
+    share = max(FEW_ROWS, df.count() // shards)
+    return write_table(per.where(F.col("k") > share).select(*keys, F.ceil(F.col("k") / share).cast("int").alias("parts")), "hot")[0]
+
+
+def dealt(df: DataFrame, hot: DataFrame, keys: list[str], part: str, by: list[str]) -> DataFrame:
+    """df with a column `part`: rows of a hot key are dealt over its parts by a hash of the columns `by`, so that a task that
+    runs again deals alike; all others are in part 0."""
+    n = free_names([*df.columns, part], "parts")[0]
+    return df.join(F.broadcast(hot.withColumnRenamed("parts", n)), keys, "left").withColumn(part, F.pmod(F.xxhash64(*by), F.coalesce(F.col(n), F.lit(1))).cast("int")).drop(n)
+
+
+def repeated(df: DataFrame, hot: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """df with a column `part`, a row once for each part of its key: the other side of a join of dealt() rows."""
+    n = free_names([*df.columns, part], "parts")[0]
+    return df.join(F.broadcast(hot.withColumnRenamed("parts", n)), keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))).drop(n)
+
+
+def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", by: list[str] | None = None) -> DataFrame:
     """big joined to small, which has each key at most a few times, with hot keys of big split.
 
-    A small table of up to BROADCAST_ROWS rows is broadcast. Otherwise a key with more than one shuffle partition's share
-    of big is dealt over as many parts as it has shares, and small's rows of that key are repeated for each. Fewer keys
-    than shuffle partitions can be so hot, so the table of them is broadcast and the repeated rows stay few. A row's part
-    follows from a hash of its columns (none may be a map), so that a task that runs again deals alike; equal rows go
-    together. big is read twice: it should be a written table. how: inner, left, left_semi or left_anti.
+    A small table of up to BROADCAST_ROWS rows is broadcast. Otherwise rows of big's hot_keys() are dealt over parts (by a
+    hash of the columns `by`, else all) and small's rows of these keys repeated for each. big is read twice more: it
+    should be a written table. how: inner, left, left_semi or left_anti.
     """
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
-    spark = big.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts, part = free_names([*big.columns, *small.columns], "parts", "part")
-    share = max(1, big.count() // shards)
-    hot = big.groupBy(*keys).agg(F.count("*").alias("k")).where(F.col("k") > share).select(*keys, F.ceil(F.col("k") / share).cast("int").alias(parts))
-    hot, _ = write_table(hot, "hot")
-    of = lambda d: d.join(F.broadcast(hot), keys, "left")
-    dealt = of(big).withColumn(part, F.pmod(F.xxhash64(*big.columns), F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts)
-    again = of(small).withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
-    return dealt.join(again, [*keys, part], how).drop(part)
+    part = free_names([*big.columns, *small.columns], "part")[0]
+    hot = hot_keys(big, keys)
+    return dealt(big, hot, keys, part, by or big.columns).join(repeated(small, hot, keys, part), [*keys, part], how).drop(part)
 
 
 #: Ids that a filter sends to every executor at most; more are joined by a shuffle.
