@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The host of a URL: after the scheme and a user, before port, path, query and fragment.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 EPOCH = "2024-01-01 00:00:00"
@@ -40,17 +42,21 @@ def as_of(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     (the longest key of those; null if none). Columns of those names are replaced; no capture is left out.
 
     Entries are joined to the distinct hosts, each host's intervals gathered (as many as the list has for its domains), and
-    these joined back to the captures: a host with very many captures is one row on the other side of a join that can be
-    split. Null URLs or times are never blocked.
+    these joined back to the captures, where a host with very many captures is split. Null URLs or times are never blocked,
+    nor is a URL without a scheme, however long. Repeated captures are judged one by one; empty tables give no rows, or
+    rows that nothing blocks.
     """
     new = ("host", "blocked", "n_active", "entry")
-    c = captures.select(*[k for k in captures.columns if k not in new]).withColumn("host", host_of(F.col(url)))
+    mine = [k for k in captures.columns if k not in new]
+    gathered, active = common.free_names([*mine, *new], "gathered", "active")
+    c = captures.select(*mine).withColumn("host", host_of(F.col(url)))
     keys = c.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key"))
-    lists = keys.join(intervals(entries), "key").groupBy("host").agg(F.collect_list(F.struct(F.length("key").alias("n"), "key", "valid_from", "valid_to")).alias("__l"))
-    j = c.join(lists, "host", "left")
-    on = F.filter("__l", lambda x: (x["valid_from"] <= F.col(at)) & (x["valid_to"].isNull() | (F.col(at) < x["valid_to"])))
-    j = j.withColumn("__on", F.when(F.col(at).isNotNull() & F.col("__l").isNotNull(), on))
-    return j.select(*c.columns, F.coalesce(F.size("__on") > 0, F.lit(False)).alias("blocked"), F.when(F.col("__on").isNotNull(), F.size("__on")).otherwise(0).cast("long").alias("n_active"), F.array_max("__on")["key"].alias("entry"))
+    lists = keys.join(intervals(entries), "key").groupBy("host").agg(F.collect_list(F.struct(F.length("key").alias("n"), "key", "valid_from", "valid_to")).alias(gathered))
+    lists, _ = common.write_table(lists, "lists")
+    j = common.split_join(c, lists, ["host"], "left", by=[url, at])
+    on = F.filter(gathered, lambda x: (x["valid_from"] <= F.col(at)) & (x["valid_to"].isNull() | (F.col(at) < x["valid_to"])))
+    j = j.withColumn(active, F.when(F.col(at).isNotNull() & F.col(gathered).isNotNull(), on))
+    return j.select(*c.columns, F.coalesce(F.size(active) > 0, F.lit(False)).alias("blocked"), F.when(F.col(active).isNotNull(), F.size(active)).otherwise(0).cast("long").alias("n_active"), F.array_max(active)["key"].alias("entry"))
 
 
 def blocked_out(captures: DataFrame, entries: DataFrame, **how) -> DataFrame:
