@@ -57,34 +57,51 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(together == 0, F.lit(1.0)).otherwise(shared / together)
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str], buckets: int) -> DataFrame:
+#: Bytes of text that a task takes to find next documents, about: the number of tasks grows with the input. Each has so
+#: many ranges of ids, so that tasks are of like size although ranges are dealt by a hash.
+TASK_BYTES, RANGES = 64 << 20, 8
+
+
+def _place(heads: list[int], id_col: str) -> Column:
+    """How many of the heads are not below the id, by looking at every so many heads first and then between two of these."""
+    down = sorted(heads, reverse=True)
+    step = math.isqrt(len(down)) or 1
+    array = lambda x: "array(" + ", ".join(f"{h}L" if h > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for h in x) + ")"
+    above = lambda a: f"size(filter({a}, h -> h >= `{id_col}`))"
+    inner = f"CASE WHEN k > 0 THEN (k - 1) * {step} + {above(f'slice({array(down)}, (k - 1) * {step} + 1, {step})')} ELSE 0 END"
+    return F.expr(common.let_sql(above(array(down[::step])), "k", inner))
+
+
+def with_next(docs: DataFrame, id_col: str, carry: list[str], tasks: int) -> DataFrame:
     """docs with `next`, a struct of the carried columns of the next row in descending id; after the last comes the first.
 
-    Approximate quantiles of the ids cut them into at most `buckets` ranges of like size, each begun by an id that
-    exists; a row that begins a range is sent to the range before as well, so every window has its own range alone.
-    Equal ids are in the order of the carried columns; rows without an id come last.
+    Approximate quantiles of the ids cut them into at most RANGES * tasks ranges of like size, each begun by an id that exists;
+    a row that begins a range is sent to the range before as well, so every window has its own range alone and only
+    border rows move twice. Equal ids are in the order of the carried columns; rows without an id come last. Rows of one
+    id, and those without, are in one range: ids are meant to be keys. Columns begun with two underscores are used meanwhile.
     """
-    steps = [k / buckets for k in range(buckets)]
-    got = docs.agg(F.percentile_approx(id_col, steps).alias("q"), F.max(id_col).alias("top")).first()
-    heads = sorted({*(got["q"] or []), *([got["top"]] if got["top"] is not None else [])})
-    if not heads:
-        heads, docs = [0], docs
+    ranges = RANGES * tasks
+    steps = [k / ranges for k in range(ranges)]
+    got = docs.agg(F.percentile_approx(id_col, steps, max(10_000, 20 * ranges)).alias("q"), F.max(id_col).alias("top")).first()
+    heads = sorted({*(got["q"] or []), *([got["top"]] if got["top"] is not None else [])}) or [0]
     last = len(heads)
-    known = F.array(*[F.lit(h).cast("long") for h in heads])
-    own = F.when(F.col(id_col).isNull(), F.lit(last)).otherwise(F.greatest(F.lit(1), F.size(F.filter(known, lambda h: h >= F.col(id_col)))))
-    at = F.when(F.col("__own") > 1, F.col("__own") - 1).otherwise(F.lit(last))
-    rows = docs.withColumn("__own", own).withColumn("__at", F.explode(F.when(F.col(id_col).isin(heads), F.array(F.struct(F.col("__own").alias("b"), F.lit(0).alias("ghost")), F.struct(at.alias("b"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("__own").alias("b"), F.lit(0).alias("ghost"))))))
+    own = F.when(F.col(id_col).isNull(), F.lit(last)).otherwise(F.greatest(F.lit(1), _place(heads, id_col)))
+    at = lambda b, ghost: F.struct(b.alias("b"), F.lit(ghost).alias("ghost"))
+    twice = F.array(at(F.col("__own"), 0), at(F.when(F.col("__own") > 1, F.col("__own") - 1).otherwise(F.lit(last)), 1))
+    rows = docs.withColumn("__own", own).withColumn("__at", F.explode(F.when(F.col(id_col).isin(heads), twice).otherwise(F.array(at(F.col("__own"), 0)))))
+    rows = rows.withColumn("__b", F.col("__at.b")).withColumn("__ghost", F.col("__at.ghost")).drop("__at", "__own").repartition(tasks, "__b")
     order = Window.partitionBy("__b").orderBy(F.col("__ghost"), F.col(id_col).desc_nulls_last(), *carry)
-    rows = rows.withColumn("__b", F.col("__at.b")).withColumn("__ghost", F.col("__at.ghost")).drop("__at", "__own")
     return rows.withColumn("next", F.lead(F.struct(*carry)).over(order)).where("__ghost = 0").drop("__b", "__ghost")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: id, text, sigs, next (text, sigs), edited (the text whose last third is replaced by the start of the
-    next document) and edited_sigs. A null text is empty; a table of one row is its own next. Other columns are dropped."""
+    next document), edited_sigs and n_chars. A null text is empty; a table of one row is its own next, an empty one has no
+    rows. Of rows with equal ids that with the lesser text comes first. Other columns are dropped, so none can clash."""
     spark = docs.sparkSession
-    n = min(1000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES), 1)
     d = with_next(d.withColumn("sigs", signatures(F.col("text"))), "id", ["text", "sigs"], n)
     d = d.withColumn("next", F.coalesce("next", F.struct("text", "sigs"))).withColumn("n_chars", F.length("text"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
@@ -117,6 +134,9 @@ def similar(docs: DataFrame, threshold: float = 0.44, id_col: str = "doc_id", te
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: the fingerprints of its text and of the edited text, and how alike they are.
+
+    A null or empty text has an empty fingerprint, which is like other empty ones (1.0) and no other (0.0)."""
     d = compared(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return d.select(
         F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
