@@ -114,7 +114,7 @@ def prefixes(docs: DataFrame, id_col: str, text: str, n: int, percent: int, coun
 
 def verified(docs: DataFrame, id_col: str, text: str, n: int, percent: int, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) whose whole shingle sets reach the similarity, with `shared` and `together` (sizes of
-    intersection and union).
+    intersection and union), written. pairs is a written table.
 
     Sets are made again for the documents in pairs alone: a fixed-size bitmap lets most others go before the shuffle,
     the join on ids the rest.
@@ -142,10 +142,15 @@ def verified(docs: DataFrame, id_col: str, text: str, n: int, percent: int, pair
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int64()), pa.array(together, pa.int64())], names=["x", "y", "shared", "together"])
 
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id IS NOT NULL")
-    s = df.mapInArrow(sets, "id long, s array<long>")
+    s, at_sets = common.write_table(df.mapInArrow(sets, "id long, s array<long>"), "sets")
     a, b = s.select(F.col("id").alias("x"), F.col("s").alias("a")), s.select(F.col("id").alias("y"), F.col("s").alias("b"))
-    full = pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b")
-    return full.mapInArrow(compare, "x long, y long, shared long, together long").where(f"100 * shared >= {percent} * together")
+    # A document that is in very many pairs, as the centre of a star is, meets its partners in several tasks.
+    by_x, by_y = common.hot_keys(pairs, ["x"]), common.hot_keys(pairs, ["y"])
+    full = common.dealt(common.dealt(pairs.select("x", "y"), by_x, ["x"], "px", ["y"]), by_y, ["y"], "py", ["x"])
+    full = full.join(common.repeated(a, by_x, ["x"], "px"), ["x", "px"]).join(common.repeated(b, by_y, ["y"], "py"), ["y", "py"]).select("x", "y", "a", "b")
+    out, _ = common.write_table(full.mapInArrow(compare, "x long, y long, shared long, together long").where(f"100 * shared >= {percent} * together").distinct(), "links")
+    common.drop_table(docs.sparkSession, at_sets)
+    return out
 
 
 def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -215,9 +220,11 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     per = rows.groupBy("token", "c").agg(F.count("*").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("top").alias("top"))
     names = ("c", "d", "lo", "hi", "top")
     a, b = (per.select("token", *[F.col(v).alias(f"{v}{j}") for v in names]) for j in (1, 2))
+    per, at_per = common.write_table(per, "components")
+    hot = common.hot_keys(per, ["token"])
     # The component with fewer documents on the left: that many rows per pair of components are made, not their product.
     fewer = F.expr("d1 < d2 OR (d1 = d2 AND c1 < c2)")
-    met = a.join(b, "token").where(fewer & F.expr(f"100 * hi2 >= {percent} * lo1 AND 100 * hi1 >= {percent} * lo2 AND lo2 <= top1 AND lo1 <= top2")).select("token", "c1", "c2")
+    met = common.dealt(a, hot, ["token"], "part", ["c1"]).join(common.repeated(b, hot, ["token"], "part"), ["token", "part"]).where(fewer & F.expr(f"100 * hi2 >= {percent} * lo1 AND 100 * hi1 >= {percent} * lo2 AND lo2 <= top1 AND lo1 <= top2")).select("token", "c1", "c2")
     side = lambda j: rows.select("token", F.col("c").alias(f"c{j}"), *[F.col(v).alias(f"{v}{j}") for v in ("id", "n", "level", "top", "k", "head")])
     need = F.when(F.expr("n1 > n2 OR (n1 = n2 AND id1 > id2)"), F.col("level1")).otherwise(F.col("level2"))
     fits = F.expr(f"100 * n2 >= {percent} * n1 AND 100 * n1 >= {percent} * n2 AND n2 <= top1 AND n1 <= top2")
@@ -228,6 +235,7 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     enough = (F.greatest("k1", "k2") > HEAD) | (F.size(heads) >= need)
     m = met.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"]).where(fits & once & enough).select(F.greatest("id1", "id2").alias("x"), F.least("id1", "id2").alias("y")).distinct()
     m, at_met = common.write_table(m, "met")
+    common.drop_table(spark, at_per)
     whole = source.mapInArrow(by_document, "id long, n long, level int, live array<long>, places array<long>")
     of = lambda v, j: whole.select(F.col("id").alias(v), *[F.col(w).alias(f"{w}{j}") for w in ("n", "level", "live", "places")])
     shared = F.array_intersect("live1", "live2")
@@ -262,8 +270,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     members = rows.select("id", "n", "f1", "f2").join(reps, ["n", "f1", "f2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     only = reps.select(F.col("rep").alias("id"))
     classes = real.select("id", "n", "keys").join(only, "id", "left_semi").dropDuplicates(["id"])
-    pairs, _ = common.write_table(star_pairs(classes, percent), "stars")
-    stars, _ = common.write_table(verified(docs, id_col, text, n, percent, pairs).distinct(), "links")
+    pairs, at_pairs = common.write_table(star_pairs(classes, percent), "stars")
+    stars = verified(docs, id_col, text, n, percent, pairs)
     # One hop is enough here: a component that is found only in part merely costs candidates.
     low = stars.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("c"))
     hop = low.select(F.col("id").alias("c"), F.col("c").alias("c_next"))
@@ -272,6 +280,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     prefix, at_prefix = common.write_table(prefix, "prefixes")
     found = candidates(prefix, percent)
     common.drop_table(spark, at_prefix)
+    common.drop_table(spark, at_pairs)
     links = stars.unionByName(verified(docs, id_col, text, n, percent, found)).distinct()
     links, _ = common.write_table(links, "links")
     return members, links
@@ -285,9 +294,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group: that with the smallest id, once. Rows without an id or without words stay."""
-    g = grouped(docs, id_col, text, n, percent).where("n > 0 AND id <> component").select(F.col("id").alias(id_col)).distinct()
-    g, _ = common.write_table(g, "copies")
+    """docs with one document of each group: that with the smallest id, once. Rows without an id or without words stay.
+
+    Of rows that repeat an id with words one stays, whichever. Other columns pass through, whatever their names; no rows
+    give no rows. Texts are compared whole."""
+    with common.dropping() as kept:
+        g = grouped(docs, id_col, text, n, percent).where("n > 0 AND id <> component").select(F.col("id").alias(id_col)).distinct()
+        g, at = common.write_table(g, "copies")
+        kept.append(at)
     rest = common.without_ids(docs, g, id_col)
     twice, _ = common.write_table(rest.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("k")).where("k > 1").select(id_col), "twice")
     if twice.isEmpty():
@@ -298,5 +312,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: the size of its set of three-word shingles and the smallest id of its group at 0.9.
+
+    A null or empty text has no shingles and is its own group; equal texts are in one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return grouped(docs, n=3, percent=90).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
