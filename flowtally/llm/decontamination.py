@@ -130,30 +130,53 @@ def phrase_matches(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     are read again and every other term compared at its place. A null or empty text has no words.
     """
     anchors, rows, posts = _index(docs, id_col, text, queries)
+    found, _ = common.write_table(_places(anchors, posts), "found")
+    words = _words_of(docs, id_col, text, _holders(rows, found))
+    matches = words.join(found, "seq").select("seq", "words", "c").mapInArrow(_compare(_occurrences, "seq", "window", "n", "start"), "seq long, window long, n int, start long")
+    return rows.select("id", "seq", "n_words"), matches
+
+
+def _places(anchors: DataFrame, posts: DataFrame) -> DataFrame:
+    """(seq, c): for each text in which a query's two rarest terms stand as far apart as in the query, all (start, n, window).
+
+    The queries are broadcast while they are few; of more, a frequent rarest term has its postings split.
+    """
     p1 = posts.select(F.col("term").alias("t1"), "seq", "n_words", F.col("place").alias("a"))
     p2 = posts.select(F.col("term").alias("t2"), "seq", F.col("place").alias("b"))
-    first = anchors.join(p1, "t1").withColumn("start", F.col("a") - F.col("o1")).where("start >= 0 AND start + n <= n_words").select("window", "n", "t2", "seq", "start", (F.col("start") + F.col("o2")).alias("b"))
+    first = common.split_join(p1, anchors, ["t1"], by=["seq", "a"]).withColumn("start", F.col("a") - F.col("o1")).where("start >= 0 AND start + n <= n_words").select("window", "n", "t2", "seq", "start", (F.col("start") + F.col("o2")).alias("b"))
     both = first.where("t2 IS NOT NULL").join(p2, ["t2", "seq", "b"]).select("seq", "window", "n", "start")
     found = both.unionByName(first.where("t2 IS NULL").select("seq", "window", "n", "start"))
-    found, _ = common.write_table(found.groupBy("seq").agg(F.collect_set(F.struct("start", "n", "window")).alias("c")), "found")
-    words = _words_of(docs, id_col, text, _holders(rows, found))
+    return found.groupBy("seq").agg(F.collect_set(F.struct("start", "n", "window")).alias("c"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _compare(result, *names):
+    """A function for mapInArrow over (seq, words, c): result(words, places that hold, as arrays) gives rows of names but seq."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"seq": pa.int64(), "window": pa.int64(), "n": pa.int32(), "start": pa.int64(), "n_hit": pa.int64(), "windows": pa.list_(pa.int64())}
         for b in batches:
             out: list[tuple] = []
-            for seq, words, cs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                h = words.values.to_numpy().view(np.uint64)
-                made: dict[int, np.ndarray] = {}
-                for c in cs:
-                    g = made.get(c["n"])
-                    if g is None:
-                        g = made[c["n"]] = textnum.grams(h, c["n"]).view(np.int64)
-                    if g[c["start"]] == c["window"]:
-                        out.append((seq, c["window"], c["n"], c["start"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["seq", "window", "n", "start"])
-
-    matches = words.join(found, "seq").select("seq", "words", "c").mapInArrow(compare, "seq long, window long, n int, start long")
-    return rows.select("id", "seq", "n_words"), matches
+            for seq, words, cs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                h, c = words.values.to_numpy().view(np.uint64), cs.values
+                start, n, window = (c.field(k).to_numpy() for k in ("start", "n", "window"))
+                holds = np.zeros(len(start), bool)
+                for k in np.unique(n).tolist():
+                    at = np.flatnonzero(n == k)
+                    holds[at] = textnum.grams(h, k).view(np.int64)[start[at]] == window[at]
+                out += [(seq, *x) for x in result(len(h), start[holds], n[holds], window[holds])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[name]) for k, name in enumerate(names)], names=list(names))
+
+    return run
+
+
+def _occurrences(size: int, start: np.ndarray, n: np.ndarray, window: np.ndarray) -> list[tuple]:
+    return list(zip(window.tolist(), n.tolist(), start.tolist(), strict=True))
+
+
+def _covered(size: int, start: np.ndarray, n: np.ndarray, window: np.ndarray) -> list[tuple]:
+    """How many of a text's words the occurrences cover, and the distinct windows; nothing without any."""
+    edge = np.bincount(start, minlength=size + 1) - np.bincount(start + n, minlength=size + 1)
+    return [(int(np.count_nonzero(np.cumsum(edge)[:size])), np.unique(window).tolist())] if len(start) else []
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -202,28 +225,39 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     none. Rows with equal word sequences share the search; each keeps its own row. No items: nothing is hit.
     """
     windows, _ = common.write_table(item_windows(items, item_id, item_text, n), "windows")
-    rows, matches = phrase_matches(docs, windows, id_col, text)
-    matches, _ = common.write_table(matches, "matches")
-    before = Window.partitionBy("seq").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    hit = (
-        matches.select("seq", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
-        .withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0)))
-        .groupBy("seq").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "upto"))).alias("n_hit"))
-    )
-    of = matches.select("seq", "window").distinct().join(windows.select("window", "item").distinct(), "window").groupBy("seq").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = rows.join(hit, "seq", "left").join(of, "seq", "left")
+    anchors, rows, posts = _index(docs, id_col, text, windows)
+    found, at_found = common.write_table(_places(anchors, posts), "found")
+    words = _words_of(docs, id_col, text, _holders(rows, found))
+    hit = words.join(found, "seq").select("seq", "words", "c").mapInArrow(_compare(_covered, "seq", "n_hit", "windows"), "seq long, n_hit long, windows array<long>")
+    hit, at_hit = common.write_table(hit, "hit")
+    common.drop_table(docs.sparkSession, at_found)
+    # A window that very many texts have is split, so that its items don't all meet them in one task.
+    holds, at_holds = common.write_table(hit.select("seq", F.explode("windows").alias("window")), "matches")
+    of = common.split_join(holds, windows.select("window", "item").distinct(), ["window"]).groupBy("seq").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per, _ = common.write_table(hit.select("seq", "n_hit").join(of, "seq"), "contamination")
+    common.drop_table(docs.sparkSession, at_hit)
+    common.drop_table(docs.sparkSession, at_holds)
+    out = rows.join(per, "seq", "left")
     return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold a window of an item. Rows without an id are judged by a key made from the text."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text))))
-    bad = contamination(keyed, items, "__key", text, n=n).where("n_hit > 0").select(F.col("id").alias("__key")).distinct()
-    bad, _ = common.write_table(bad, "bad")
-    return common.without_ids(keyed, bad, "__key").select(*docs.columns)
+    """docs without the rows that hold a window of an item. Rows without an id are judged by a key made from the text.
+
+    Rows with equal ids go together. Null and empty texts stay, as does everything if there are no items. Columns pass
+    through, whatever their names."""
+    key = common.free_names(docs.columns, "key")[0]
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text))))
+    with common.dropping() as kept:
+        bad, at = common.write_table(contamination(keyed, items, key, text, n=n).where("n_hit > 0").select(F.col("id").alias(key)).distinct(), "bad")
+        kept.append(at)
+    return common.without_ids(keyed, bad, key).select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: its words, those inside windows of benchmark items, and these items.
+
+    A null or empty text has no words; equal texts give equal rows; a null item_id is the empty string."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return contamination(docs, items).select(
