@@ -65,7 +65,7 @@ class FMIndex:
             new = np.empty(n, np.int64)
             new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             rank, k = new, 2 * k
-        self.order = np.argsort(rank, kind="stable") if depth > 1 else np.argsort(text, kind="stable")
+        self.order = (np.argsort(rank, kind="stable") if depth > 1 else np.argsort(text, kind="stable")).astype(np.int32)
         bwt = text[self.order - 1]
         sigma = len(self.alphabet) + 1
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -79,29 +79,30 @@ class FMIndex:
         sizes = np.bincount(bwt, minlength=sigma)[by]
         self.run = np.empty(sigma, np.int64)
         self.run[by] = np.cumsum(sizes) - sizes
-        self.text, self.codes = text, codes + 1
+        self.text = text.astype(np.int32)
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step backward for many patterns at once: from the suffixes of P to those of cP."""
         s, base = self.run[c], self.less[c]
         return base + self.wavelet.rank(c, lo, s), base + self.wavelet.rank(c, hi, s)
 
-    def match(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the patterns text[start : start + length], searched from their last word backward.
-
-        A pattern that no other suffix shares any more is not followed further: its interval is its own suffix.
-        """
-        c = self.text[starts + length - 1]
+    def statistics(self, ends: np.ndarray, most: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics by backward search: for each place in text, how many words up to and with it (of `most` at
+        most) also stand elsewhere; and the interval of suffixes that begin with the last `threshold` of them, from -1 to -1
+        where the match is shorter. Lengths are right up to the depth of the index."""
+        c = self.text[ends]
         lo, hi = self.less[c], self.less[c + 1]
-        live = np.flatnonzero(hi - lo > 1)
-        for k in range(length - 2, -1, -1):
-            a, b = self.extend(lo[live], hi[live], self.text[starts[live] + k])
+        length, first, last = np.zeros(len(ends), np.int64), np.full(len(ends), -1), np.full(len(ends), -1)
+        live, k = np.flatnonzero((hi - lo > 1) & (most > 0)), 1
+        while len(live):
+            length[live] = k
+            if k == threshold:
+                first[live], last[live] = lo[live], hi[live]
+            live = live[most[live] > k]
+            a, b = self.extend(lo[live], hi[live], self.text[ends[live] - k])
             lo[live], hi[live] = a, b
-            live = live[b - a > 1]
-            if not len(live):
-                break
-        alone = hi - lo <= 1
-        return np.where(alone, -1, lo), np.where(alone, -1, hi)
+            live, k = live[b - a > 1], k + 1
+        return length, first, last
 
 
 def _segments(h: np.ndarray, counts: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -190,9 +191,10 @@ def first_holders(rows: DataFrame, window: int) -> DataFrame:
     """(key, holders): for each window of a segment, the smallest id of all segments that have the window.
 
     rows: (g, key, id, words), sorted by g within shards. Each block of whole anchor groups gets an FM-index over its
-    distinct segments; then the segments are streamed through it: backward search gives each window's interval of
-    suffixes, and the interval's segments the smallest id. Equal windows have equal anchors, so they meet in one index.
-    Segments whose windows are in no other segment get their own id throughout.
+    distinct segments; then the segments are streamed through it: backward search gives the matching statistics of the
+    words that end a window, as far as the window, and of those that reach it the interval of suffixes, whose segments
+    have the smallest id. Equal windows have equal anchors, so they meet in one index. Segments whose windows are in no
+    other segment get their own id throughout.
     """
 
     def block(keys: np.ndarray, ids: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
@@ -204,10 +206,10 @@ def first_holders(rows: DataFrame, window: int) -> DataFrame:
         fm = FMIndex(np.concatenate(text), lengths, window)
         r = lengths - window + 1
         seg = np.repeat(np.arange(len(r)), r)
-        starts = np.repeat(fm.segment_starts, r) + np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)
-        a, z = fm.match(starts, window)
+        ends = np.repeat(fm.segment_starts, r) + np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r) + window - 1
+        reach, a, z = fm.statistics(ends, np.full(len(ends), window), window)
         best = low[seg].copy()
-        shared = np.flatnonzero(a >= 0)
+        shared = np.flatnonzero(reach >= window)
         if len(shared):
             suffix_low = low[np.searchsorted(fm.segment_starts, fm.order, "right") - 1]
             u, back = np.unique(a[shared], return_inverse=True)
@@ -224,24 +226,53 @@ def first_holders(rows: DataFrame, window: int) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
         size = 0
         for b in batches:
+            if not b.num_rows:
+                continue
             w = b.column(3).to_pylist()
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), w))
             size += sum(map(len, w)) // 4
-            if size >= INDEX_WORDS:
+            if size >= INDEX_WORDS and held[0][0][0] != held[-1][0][-1]:
                 g, key, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
                 every = [y for x in held for y in x[3]]
                 at = int(np.searchsorted(g, g[-1]))  # the last group may go on
-                if at:
-                    yield block(key[:at], ids[:at], every[:at])
+                yield block(key[:at], ids[:at], every[:at])
                 held = [(g[at:], key[at:], ids[at:], every[at:])]
                 size = sum(map(len, every[at:])) // 4
-        if held and sum(len(x[0]) for x in held):
+        if held:
             g, key, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
             yield block(key, ids, [y for x in held for y in x[3]])
 
     return rows.select("g", "key", "id", "words").mapInArrow(run, "key long, holders array<long>")
 
 
+def hot_holders(rows: DataFrame, window: int) -> DataFrame:
+    """(key, holders) as first_holders() gives them, for segments of anchors with more than one shard's share of segments.
+
+    An index would have to hold all segments of such an anchor in one task. Equal windows have equal hashes, so their
+    segments are taken apart and the windows themselves dealt: the smallest id of each is summed in every task first.
+    rows is written, and holds few anchors.
+    """
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            text = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(3)]
+            r = np.array([len(x) - window + 1 for x in text], np.int64)
+            row = np.repeat(np.arange(len(r)), r)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(r) - r, r)
+            grams = np.concatenate([textnum.grams(textnum.mix(x.astype(np.uint64)), window) for x in text])
+            w = textnum.mix(grams ^ b.column(0).to_numpy().view(np.uint64)[row])
+            which = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(which), pa.array(place), pa.array(w.view(np.int64)), b.column(2).take(which)], names=["key", "place", "w", "id"])
+
+    each, _ = common.write_table(rows.select("g", "key", "id", "words").mapInArrow(take_apart, "key long, place long, w long, id long"), "windows")
+    places, _ = common.write_table(each.select("key", "place", "w").distinct(), "windows")
+    low, _ = common.write_table(each.groupBy("w").agg(F.min("id").alias("low")), "windows")
+    got = common.split_join(places, low, ["w"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "low"))).alias("l"))
+    return got.select("key", F.col("l.low").alias("holders"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(id, seq, spans): for each document with words to remove, [start, end) word intervals, in no order.
 
@@ -252,8 +283,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     spark = docs.sparkSession
     rows, at_rows = segments(docs, id_col, text, window, anchor, repeated_anchors(docs, id_col, text, window, anchor))
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.where("words IS NOT NULL").select("g", "key", "id", "words").repartition(shards, "g").sortWithinPartitions("g")
-    holders, at_holders = common.write_table(first_holders(dealt, window), "holders")
+    lead = rows.where("words IS NOT NULL").select("g", "key", "id", "words")
+    hot = common.hot_keys(lead, ["g"]).select("g")
+    dealt = lead.join(F.broadcast(hot), "g", "left_anti").repartition(shards, "g").sortWithinPartitions("g")
+    holders = first_holders(dealt, window)
+    if not hot.isEmpty():
+        many, _ = common.write_table(lead.join(F.broadcast(hot), "g", "left_semi"), "hot")
+        holders = holders.unionByName(hot_holders(many, window))
+    holders, at_holders = common.write_table(holders, "holders")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,19 +310,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
                 which = pa.array(row[on[s]])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array(place[on[s]]), pa.array(place[on[e]] + window)], names=["id", "seq", "start", "end"])
 
-    # A segment of one key may stand in very many documents: keys with more than a shard's share are split over as many
-    # parts as they have shares. There are fewer such keys than shards, and at most two parts a shard in all.
-    share = max(1, rows.count() // shards)
-    often, at_often = common.write_table(rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > share).select("key", F.ceil(F.col("k") / share).cast("int").alias("parts")), "often")
-    parted = lambda df: df.join(F.broadcast(often), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    one = parted(rows.select("id", "seq", "first", "key")).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "seq", "first"), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
-    # A key's anchor is in one shard and one block, so that each key has one list of holders.
-    all_parts = parted(holders).select("key", "holders", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    got = one.join(all_parts, ["key", "part"]).select("id", "seq", "first", "holders").mapInArrow(spans, "id long, seq long, start long, end long")
+    # A segment of one key may stand in very many documents: such keys are split. A key's anchor is in one shard and one
+    # block, so that each key has one list of holders.
+    often = common.hot_keys(rows, ["key"])
+    one = common.dealt(rows.select("id", "seq", "first", "key"), often, ["key"], "part", ["id", "seq", "first"])
+    got = one.join(common.repeated(holders, often, ["key"], "part"), ["key", "part"]).select("id", "seq", "first", "holders").mapInArrow(spans, "id long, seq long, start long, end long")
     out, _ = common.write_table(got.groupBy("id", "seq").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     common.drop_table(spark, at_rows)
     common.drop_table(spark, at_holders)
-    common.drop_table(spark, at_often)
     return out
 
 
@@ -329,5 +361,8 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: its words, those that repeat a 13-word window of a smaller id, a digest of the rest.
+
+    A null or empty text has no words and the digest of nothing. Rows of one id don't claim words from each other."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return kept(docs, digest=True).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
