@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import common, textnum
 
-#: Rows that the linear scorer is fitted on: those whose id hashes lowest, at most about so many at every input size.
+#: Different texts that the linear scorer is fitted on, about, at every input size: those that hash lowest.
 FIT_ROWS = 20_000
 WEIGHT_BITS = 18
 #: Weight of the starting tables in expectation-maximisation, as a share of all documents, for
@@ -20,6 +20,8 @@ WEIGHT_BITS = 18
 PRIOR_SHARE = (0.02, 2.0)
 #: How often a labeller votes bad on a bad and on a good document, at the start.
 BAD_VOTES = (0.25, 0.002)
+#: Share of good documents, at the start.
+PRIOR = 0.8
 #: A document is rejected below this score (probability of good quality).
 KEEP = 0.5
 
@@ -127,22 +129,28 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
 
-def fit_labels(codes: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS), rounds: int = 200) -> LabelModel:
+def start_tables(codes: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS)) -> np.ndarray:
+    """The tables that expectation-maximisation starts from: BAD_VOTES, and other votes as often as all documents have them."""
+    tables = np.empty((labellers, 2, 3))
+    for k in range(labellers):
+        seen = np.bincount(codes // 3**k % 3, counts, 3) + np.array([1e-3, 0, 1e-3]) * (counts.sum() + 1)
+        for c, bad in enumerate(BAD_VOTES):
+            tables[k, c] = seen * (1 - bad) / (seen[0] + seen[2])
+            tables[k, c, 1] = bad
+    return tables
+
+
+def fit_labels(codes: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS), rounds: int = 200, share: tuple[float, float] = PRIOR_SHARE) -> LabelModel:
     """Expectation-maximisation over the counts of all vote patterns (at most 3**labellers rows, from all documents).
 
     Each labeller looks for one fault, so it misses most bad documents but seldom calls a good one bad. That is the
-    start, and it stays in as pseudo-counts (PRIOR_SHARE): without it a fault that is alone in its documents would be
+    start, and it stays in as pseudo-counts (share): without it a fault that is alone in its documents would be
     explained away by the silence of the other labellers.
     No documents: the start is returned.
     """
     total = counts.sum()
-    tables = np.empty((labellers, 2, 3))
-    for k in range(labellers):
-        seen = np.bincount(codes // 3**k % 3, counts, 3) + np.array([1e-3, 0, 1e-3]) * (total + 1)
-        for c, bad in enumerate(BAD_VOTES):
-            tables[k, c] = seen * (1 - bad) / (seen[0] + seen[2])
-            tables[k, c, 1] = bad
-    model = LabelModel(0.8, tables)
+    tables = start_tables(codes, counts, labellers)
+    model = LabelModel(PRIOR, tables)
     for _ in range(rounds if total else 0):
         good = model.posterior(codes) * counts
         bad = counts - good
@@ -150,7 +158,7 @@ def fit_labels(codes: np.ndarray, counts: np.ndarray, labellers: int = len(LABEL
         for k in range(labellers):
             v = codes // 3**k % 3
             for c, w in enumerate((bad, good)):
-                new[k, c] = np.bincount(v, w, 3) + PRIOR_SHARE[c] * total * tables[k, c]
+                new[k, c] = np.bincount(v, w, 3) + share[c] * total * tables[k, c]
         new /= new.sum(axis=2, keepdims=True)
         prior = float(np.clip(good.sum() / total, 0.05, 0.95))
         done = abs(prior - model.prior) < 1e-7 and np.abs(new - model.tables).max() < 1e-6
@@ -193,15 +201,17 @@ def linear(index: np.ndarray, value: np.ndarray, per: np.ndarray, w: np.ndarray,
     return 1 / (1 + np.exp(-np.clip(total[at[1:]] - total[at[:-1]] + bias, -30, 30)))
 
 
-def fit_linear(index: np.ndarray, value: np.ndarray, per: np.ndarray, target: np.ndarray, bits: int = WEIGHT_BITS, epochs: int = 30) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels by adaptive gradient steps over batches of rows in the given order."""
+def fit_linear(index: np.ndarray, value: np.ndarray, per: np.ndarray, target: np.ndarray, times: np.ndarray | None = None, bits: int = WEIGHT_BITS, epochs: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels by adaptive gradient steps over batches of rows in the given order; a row
+    weighs as much as its times, but at most a tenth of its batch."""
     w, bias, g2, gb = np.zeros(1 << bits), 0.0, np.full(1 << bits, 1e-6), 1e-6
     at = np.concatenate([[0], np.cumsum(per)])
+    weight = np.ones(len(per)) if times is None else np.minimum(times, 51.2)
     for _ in range(epochs):
         for a in range(0, len(per), 512):
             b = min(a + 512, len(per))
             i, v, n = index[at[a] : at[b]], value[at[a] : at[b]], per[a:b]
-            err = linear(i, v, n, w, bias) - target[a:b]
+            err = (linear(i, v, n, w, bias) - target[a:b]) * weight[a:b]
             which, back = np.unique(i, return_inverse=True)
             g = np.bincount(back, np.repeat(err, n) * v, len(which)) / (b - a) + 1e-6 * w[which]
             g2[which] += g * g
@@ -219,11 +229,13 @@ class QualityModel:
     bias: float
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> QualityModel:
+def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> QualityModel:
     """Fit both models: votes are counted over all documents; the scorer sees at most about fit_rows of them.
 
-    The sample is the ids with the lowest hashes, the share being set from the number of documents. Its rows reach the
-    driver as the summed features of the whole text, one entry per place of the hashed space at most, however long a text.
+    The sample is the texts with the lowest hashes, the share being set from the number of different texts; a text that
+    repeats counts as often as it does, in one row. So neither ids nor copies decide how many rows reach the driver. They
+    do so as the summed features of the whole text, one entry per place of the hashed space at most, however long a text.
+    A null text is an empty one. No rows: a model that scores 0.5 everywhere.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +249,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: i
     found = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
     codes, counts = found["code"].to_numpy(), found["n"].to_numpy()
     labels = fit_labels(codes, counts)
-    share = min(1.0, fit_rows / max(1, int(counts.sum())))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    h = F.xxhash64(F.lit("quality"), whole).bitwiseAND(F.lit(2**62 - 1))
+    texts = docs.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    share = 1.0 if texts <= fit_rows else fit_rows / texts
     bound = int(share * 2**62) - 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,19 +262,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: i
                 at = np.concatenate([[0], np.cumsum(per)])
                 code = votes(f)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, len(n)), pa.array(code), pa.array([index[x:y].astype(np.int32).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                    names=["h", "code", "i", "v"],
+                    [b.column(0).slice(lo, len(n)), b.column(2).slice(lo, len(n)), pa.array(code), pa.array([index[x:y].astype(np.int32).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                    names=["h", "k", "code", "i", "v"],
                 )
 
-    h = F.xxhash64(F.lit("quality"), F.col(id_col)).bitwiseAND(F.lit(2**62 - 1))
-    rows = docs.select(h.alias("h"), F.col(text).cast("string").alias("t")).where(F.col("h") <= bound).mapInArrow(gather, "h long, code long, i binary, v binary").toArrow()
+    sample = docs.select(h.alias("h"), whole.alias("t")).where(F.col("h") <= bound).groupBy("h").agg(F.first("t").alias("t"), F.count("*").alias("k"))
+    rows = sample.select("h", "t", "k").mapInArrow(gather, "h long, k long, code long, i binary, v binary").toArrow()
     if not rows.num_rows:
         return QualityModel(labels, np.zeros(1 << WEIGHT_BITS), 0.0)
     rows = rows.sort_by([("h", "ascending"), ("code", "ascending"), ("i", "ascending")])
     index = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in rows["i"]]).astype(np.int64)
     value = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in rows["v"]])
     per = np.array([len(x.as_buffer()) // 4 for x in rows["i"]])
-    w, bias = fit_linear(index, value, per, labels.posterior(rows["code"].to_numpy()))
+    w, bias = fit_linear(index, value, per, labels.posterior(rows["code"].to_numpy()), rows["k"].to_numpy())
     return QualityModel(labels, w, bias)
 
 
@@ -295,5 +310,8 @@ def scored(docs: DataFrame, model: QualityModel, text: str = "text", keep: float
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: the labellers' votes, the label model's posterior, the scorer's score and decision.
+
+    A null or empty text gets bad votes and is rejected where the corpus has texts to learn from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scored(docs, fit(docs)).drop("text")
