@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Targets are a share of all words, in hundredths, and stop at this many times the words of their source.
 SHARE_PERCENT = 150
 MOST = 2
 SEED = "mix"
-#: Above this many sources the table of rates is joined by a shuffle; below, it is broadcast.
-BROADCAST_SOURCES = 20_000
+#: Turns of the draws among which each source takes the one that brings it nearest to its target.
+TURNS = 32
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,27 +61,63 @@ def draw(key, seed: str = SEED):
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def turned(u, turn):
+    """The draw u after so many of TURNS equal steps around [0, 1): as evenly spread as u is."""
+    x = u + turn / float(TURNS)
+    return x - F.floor(x)
+
+
+def source_rates(sizes: DataFrame, **how) -> DataFrame:
+    """source_targets() of (source, size, u), with u a document's draw, and `turn` for each source: the draws of its
+    documents are turned together, by the step at which floor(rate) copies and the drawn ones come nearest to the target
+    (the first of equals). Each copy's probability stays the fraction; a few long documents don't decide a small source.
+
+    TURNS sums a source are made in one pass, in each task before they are shuffled."""
+    rates, _ = common.write_table(source_targets(sizes.select("source", "size"), "source", **how), "rates")
+    held = _with_rates(sizes, rates, "source")
+    whole = F.floor("rate")
+    sums = [F.sum(F.when(turned(F.col("u"), F.lit(float(k))) < F.col("rate") - whole, F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(TURNS)]
+    # A source's rate is the same in all its rows.
+    per = held.groupBy("source").agg(F.max("target").alias("goal"), F.max(F.floor("rate") * F.col("source_size")).alias("sure"), *sums)
+    off = F.array(*[F.struct(F.abs(F.col("sure") + F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k")) for k in range(TURNS)])
+    turn = per.select(F.col("source").alias("own"), F.array_min(off)["k"].alias("turn"))
+    out = rates.join(turn, F.col("source").eqNullSafe(F.col("own")), "left").select("source", "source_size", "target", "rate", F.coalesce("turn", F.lit(0)).alias("turn"))
+    return common.write_table(out, "rates")[0]
+
+
+def _with_rates(d: DataFrame, rates: DataFrame, source: str) -> DataFrame:
+    """d with the columns of rates; few rates are broadcast, else hot sources are split. Rows keep a null source."""
+    key, none = common.free_names([*d.columns, *rates.columns], "key", "none")
+    of = lambda t, c: t.withColumn(key, F.coalesce(c, F.lit(""))).withColumn(none, c.isNull())
+    return common.split_join(of(d, F.col(source)), of(rates, F.col("source")).drop("source"), [key, none], "left").drop(key, none)
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **how) -> DataFrame:
-    """docs with size, source_size, target, rate and copies: floor(rate) plus one with the fraction as probability.
+    """docs with size, source_size, target, rate, turn and copies: floor(rate) plus one with the fraction as probability.
 
-    Columns of docs with those names are replaced. Rows with equal ids draw alike. Empty input gives no rows.
+    Columns of docs with those names are replaced. Rows with equal ids draw alike, those without an id as if it were empty.
+    Null and empty texts have size 0; a null source is a source. Empty input gives no rows. Texts are counted whole, once
+    for the targets and once here; what lies between is (source, size, draw) of each row, in the shared folder.
     """
-    mine = [c for c in docs.columns if c not in ("source_size", "target", "rate", "copies")]
-    d = sized(docs.select(*mine), text)
-    rates = source_targets(d.select(F.col(source), "size"), source, **how).withColumnRenamed("source", "__s")
-    small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = F.broadcast(rates) if small else rates
-    out = d.join(rates, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
+    new = ("size", "source_size", "target", "rate", "turn", "copies")
+    mine = [c for c in docs.columns if c not in new]
+    sizes = sized(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")), "text").select("source", "size", draw(F.col("id"), seed).alias("u"))
+    sizes, at = common.write_table(sizes, "sizes")
+    rates = source_rates(sizes, **how)
+    common.drop_table(docs.sparkSession, at)
+    d = _with_rates(sized(docs.select(*mine), text), rates, source)
     whole = F.floor("rate")
-    return out.withColumn("copies", (whole + (draw(F.col(id_col), seed) < F.col("rate") - whole).cast("int")).cast("int"))
+    return d.withColumn("copies", (whole + (turned(draw(F.col(id_col), seed), F.col("turn")) < F.col("rate") - whole).cast("int")).cast("int")).select(*mine, *new)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as many times as its copies, numbered by `copy` from 1."""
-    return mix_plan(docs, **how).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """The mix itself: every document as many times as its copies, numbered by `copy` from 1; a column of that name is
+    replaced. No documents give none."""
+    return mix_plan(docs.drop("copy"), **how).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: its size, its source's size and target, and the words that the mix takes from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix_plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -93,9 +131,12 @@ u AS (SELECT *, (goal - coalesce(sum(cap) OVER b, 0)::DOUBLE) / (sum(w) OVER ()
       FROM t WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, max(CASE WHEN full_at > level THEN level END) OVER () AS rest FROM u),
 r AS (SELECT source, source_size, CASE WHEN full_at <= level THEN cap::DOUBLE ELSE least(rest * w, cap::DOUBLE) END AS target FROM v),
-x AS (SELECT d.doc_id, d.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+x AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT source, k, abs(max(floor(rate) * source_size) + sum(CASE WHEN u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE) < rate - floor(rate) THEN size ELSE 0 END)::DOUBLE - max(target)) AS off
+      FROM x, (SELECT unnest(range(32))::DOUBLE AS k) GROUP BY source, k),
+b AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY off, k) AS place FROM k)
 SELECT doc_id, size, source_size, target,
-       size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM x
+       size * (floor(rate)::BIGINT + CASE WHEN u + b.k / 32.0::DOUBLE - floor(u + b.k / 32.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM x JOIN b ON b.place = 1 AND x.source IS NOT DISTINCT FROM b.source
 """.replace(' COLLATE "C"', "")
