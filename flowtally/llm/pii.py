@@ -182,15 +182,17 @@ def with_spans(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSU
     d = docs.select(*mine).withColumn(uid, F.monotonically_increasing_id()).withColumn(base, base_spans(text)).withColumn(n, F.size(contexts(whole))).withColumn(th, F.xxhash64(text))
     if not texts:
         d = d.withColumn(text, F.when(F.size(base) > 0, F.col(text)))
-    rows, _ = common.write_table(d, "spans")
+    rows, at_rows = common.write_table(d, "spans")
     total = rows.agg(F.sum(n)).first()[0] or 0
     real = rows.where(F.size(base) > 0).select(F.col(uid).alias("uid"), F.col(text).cast("string").alias("t"), F.col(base).alias("b"), F.col(th).alias("th"))
     found = real.select("uid", "th", F.explode("b").alias("s")).select("uid", "th", _entity(F.col("s")).alias("e"), "s.start", "s.end")
-    found, _ = common.write_table(found, "entities")
-    got = revealing(real.select("uid", "t"), (rows if texts else docs).select(F.col(text).cast("string").alias("t")), found, total, disclosure, support, prune)
-    if got is None:
-        return rows.withColumn(spans, F.col(base)).drop(uid, n, th)
-    more, _ = common.write_table(term_spans(*got, real.select("uid", "t"), found).select(F.col("uid").alias(uid), F.col("spans").alias(added)), "added")
+    with common.dropping(at_rows) as kept:
+        found, _ = common.write_table(found, "entities")
+        got = revealing(real.select("uid", "t"), (rows if texts else docs).select(F.col(text).cast("string").alias("t")), found, total, disclosure, support, prune)
+        if got is None:
+            return rows.withColumn(spans, F.col(base)).drop(uid, n, th)
+        more, at = common.write_table(term_spans(*got, real.select("uid", "t"), found).select(F.col("uid").alias(uid), F.col("spans").alias(added)), "added")
+        kept.append(at)
     return rows.join(more, uid, "left").withColumn(spans, F.when(F.col(added).isNull(), F.col(base)).otherwise(F.array_sort(F.concat(base, added)))).drop(uid, added, n, th)
 
 
