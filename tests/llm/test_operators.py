@@ -113,18 +113,19 @@ def test_substring_dedup(docs, none, rows):
 
 
 def test_fm_index():
-    import numpy as np
-
+    """Matching statistics and intervals of every word of every segment, against all other places."""
     r = np.random.default_rng(5)
     words_ = r.integers(0, 4, 400).astype(np.uint32)
     lengths = np.array([150, 3, 247])
-    fm = substring_dedup.FMIndex(words_, lengths, 5)
-    text = fm.text
-    starts = np.array([s + k for s, n in zip(fm.segment_starts, lengths) for k in range(n - 4)])
-    lo, hi = fm.match(starts, 5)
-    for s, a, z in zip(starts.tolist(), lo.tolist(), hi.tolist()):
-        where = {p for p in range(len(text) - 4) if (text[p : p + 5] == text[s : s + 5]).all()}
-        assert (a < 0 and len(where) == 1) or set(fm.order[a:z].tolist()) == where
+    fm = substring_dedup.FMIndex(words_, lengths, 16)
+    text = fm.text.tolist()
+    ends = np.array([s + k for s, n in zip(fm.segment_starts, lengths) for k in range(n)])
+    most = np.array([min(k + 1, 16) for n in lengths for k in range(n)])
+    reach, lo, hi = fm.statistics(ends, most, 5)
+    for e, m, got, a, z in zip(ends.tolist(), most.tolist(), reach.tolist(), lo.tolist(), hi.tolist()):
+        places = lambda k: {p for p in range(len(text) - k + 1) if text[p : p + k] == text[e - k + 1 : e + 1]}
+        assert got == max([k for k in range(1, m + 1) if len(places(k)) > 1], default=0)
+        assert set(fm.order[a:z].tolist()) == places(5) if got >= 5 else a == z == -1
 
 
 def test_token_counts(spark, docs, none, rows, tmp_path):
@@ -194,6 +195,27 @@ def test_mixing(docs, none, rows):
     assert mixing.mixed(docs).count() == sum(r.copies for r in got) and mixing.mix_plan(none).count() == 0
 
 
+def test_mixing_comes_near(spark, tmp_path):
+    """Sources of few documents, some of them long: the words taken come near the target, and the SQL agrees."""
+    import duckdb
+
+    r = random.Random(12)
+    rows_ = [(i, f"s{i % 25:02d}" if i % 26 else None, "w " * int(r.paretovariate(1.4) * 20)) for i in range(1200)]
+    rows_ += [(None, "s01", "a b"), (7, "s01", None), (7, "s01", "x y z")]
+    spark.createDataFrame(rows_, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op5_mix_sources"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op5_mix_sources"]).fetchall()
+    assert sorted((str(x.doc_id), x["size"], x.source_size, round(x.target, 6), x.taken) for x in got) == sorted((str(a), b, c, round(d, 6), e) for a, b, c, d, e in want)
+    taken = defaultdict(int)
+    for x in got:
+        assert x.taken <= 2 * x["size"]
+        taken[x.source_size, x.target] += x.taken
+    off = sorted(abs(v - goal) / goal for (_, goal), v in taken.items())
+    assert off[-1] < 0.12 and off[int(0.8 * len(off))] < 0.02, off
+
+
 def test_url_filter(spark):
     import datetime as dt
 
@@ -205,9 +227,24 @@ def test_url_filter(spark):
     assert {i: r.blocked for i, r in got.items()} == {**{i: b for i, (_, _, b) in enumerate(urls)}, 99: False}
     assert got[6].entry == "x.b.org" and got[1].n_active == 1
     assert url_filter.blocked_out(c, e).count() == len(urls) + 1 - 4
+    again = c.union(c).union(spark.createDataFrame([(500, "http://a.com/" + "p" * 1_000_000, day(4), 1)], c.schema)).withColumn("gathered", F.lit(3))
+    more = url_filter.as_of(again, e)
+    assert more.count() == 2 * c.count() + 1 and more.where("page_id = 500 AND blocked AND gathered = 3").count() == 1
     assert url_filter.as_of(c.limit(0), e).count() == 0 and url_filter.as_of(c, e.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_hot_host(spark, monkeypatch):
+    """A host with nearly all captures is split where the list is too large to be broadcast: same rows."""
+    import datetime as dt
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    start = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([("hot.com", start + dt.timedelta(days=10), True), ("hot.com", start + dt.timedelta(days=20), False)], "key string, listed_at timestamp_ntz, listed boolean")
+    c = spark.createDataFrame([(i, "http://hot.com/" + str(i) if i % 50 else f"http://h{i}.org", start + dt.timedelta(hours=i)) for i in range(800)], "page_id long, url string, fetched_at timestamp_ntz")
+    got = {r.page_id: r.blocked for r in url_filter.as_of(c, e).collect()}
+    assert got == {i: bool(i % 50) and 240 <= i < 480 for i in range(800)}
+
+
 def test_spotsigs(docs, none, rows, spark):
     real = sorted([*rows, rows[3]], key=lambda r: (r[0] is None, -(r[0] or 0)))
     got = spotsigs.compared(docs).collect()
@@ -229,6 +266,44 @@ def test_spotsigs(docs, none, rows, spark):
     assert {(r.x, r.y) for r in pairs.collect()} == near and near
 
 
+def chains_of(t):
+    """The signatures of a text as chains of words, by a loop over its words."""
+    words_ = [w for w in re.split("[ \t\n\r\x0b\x0c]", (t or "").lower()) for w in [w.translate({ord(m): None for m in spotsigs.MARKS})] if w]
+    out, last = set(), "^"
+    for i, w in enumerate(words_):
+        if w in spotsigs.ANCHORS:
+            last = w
+        elif last is not None:
+            out.add((last, w, next((x for x in words_[i + 1 :] if x not in spotsigs.ANCHORS), None)))
+            last = None
+    return out
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_op7_query(spark, tmp_path, monkeypatch, tasks):
+    """All seven columns, with signatures by brute force; ids with gaps, far apart and negative, over many ranges."""
+    monkeypatch.setattr(spotsigs, "TASK_BYTES", 4000 if tasks > 1 else 1 << 30)
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("the The of a und el |".split() + ["cat", "dog, ", "Mouse!", "x-ray", "é"]) + r.choice(" \n") for _ in range(n))
+    texts = [say(r.randint(0, 60)) for _ in range(150)] + ["", None, "the of", "|", "cat " * 5000]
+    ids = r.sample(range(-500, 1 << 40), len(texts) - 1) + [-(1 << 63)]
+    spark.createDataFrame(list(zip(ids, texts, ["k"] * 999)), "doc_id long, text string, next string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    order = sorted(zip(ids, [t or "" for t in texts]), reverse=True)
+    known: dict = {}
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    got = {x.doc_id: x for x in queries.QUERIES["op7_spotsigs"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(ids)
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        q = len(t) // 3
+        edited = t[: len(t) - q] + nxt[:q]
+        x, mine = got[i], chains_of(t)
+        assert x.n_chars == len(t) and x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert x.near_edited == pytest.approx(alike(mine, chains_of(edited))) and x.near_next == pytest.approx(alike(mine, chains_of(nxt)))
+        assert known.setdefault(x.fingerprint, mine) == mine and known.setdefault(x.edited_fingerprint, chains_of(edited)) == chains_of(edited)
+    assert len(known) == len({frozenset(v) for v in known.values()})
+
+
 def luhn(s):
     d = [int(c) * (2 if k % 2 else 1) for k, c in enumerate(reversed(s))]
     return sum(x - 9 if x > 9 else x for x in d) % 10 == 0
@@ -489,6 +564,88 @@ def test_pipeline(spark, tmp_path):
     assert all(x["copy"] <= x.copies <= 2 for x in docs_.collect())
 
 
+def em_by_loops(codes, counts, rounds, start, share):
+    """The label model by plain loops over vote patterns, from the same start."""
+    prior, tables = start
+    first = [[list(t) for t in k] for k in tables]
+    total = sum(counts)
+    for _ in range(rounds):
+        sums = [[[share[c] * total * x for c_, x in [(c, y) for y in first[k][c]]] for c in range(2)] for k in range(len(tables))]
+        good = 0.0
+        for code, n in zip(codes, counts):
+            like = [1 - prior, prior]
+            for k in range(len(tables)):
+                for c in range(2):
+                    like[c] *= tables[k][c][code // 3**k % 3]
+            p = like[1] / (like[0] + like[1])
+            good += n * p
+            for k in range(len(tables)):
+                sums[k][0][code // 3**k % 3] += n * (1 - p)
+                sums[k][1][code // 3**k % 3] += n * p
+        tables = [[[x / sum(t) for x in t] for t in k] for k in sums]
+        prior = min(0.95, max(0.05, good / total))
+        first = first
+    return prior, tables
+
+
+def test_label_model_estimates_accuracies():
+    """Posteriors and tables equal those of plain loops, and known accuracies of simulated labellers come out."""
+    r = np.random.default_rng(4)
+    truth = r.random(30_000) < 0.75
+    accuracy = [(0.8, 0.02), (0.6, 0.05), (0.7, 0.01), (0.5, 0.03)]
+    v = [np.where(r.random(len(truth)) < np.where(truth, g, b), 1, 0) for b, g in accuracy]
+    codes, counts = np.unique(sum(x * 3**k for k, x in enumerate(v)), return_counts=True)
+    model = quality.fit_labels(codes, counts, len(v), share=(0.001, 0.001))  # of the start hardly anything stays
+    for k, (bad, good) in enumerate(accuracy):
+        assert abs(model.tables[k, 0, 1] - bad) < 0.06 and abs(model.tables[k, 1, 1] - good) < 0.03, model.tables[k]
+    assert abs(model.prior - 0.75) < 0.03
+    few = quality.fit_labels(codes, counts, len(v), rounds=3)
+    start = quality.start_tables(codes, counts, len(v))
+    prior, tables = em_by_loops(codes.tolist(), counts.tolist(), 3, (quality.PRIOR, start.tolist()), quality.PRIOR_SHARE)
+    assert np.allclose(few.tables, tables) and few.prior == pytest.approx(prior)
+
+
+def test_quality_without_ids_and_with_copies(spark):
+    """Null ids, repeated rows and more rows than are fitted: junk is rejected whatever part of the texts is sampled."""
+    r = random.Random(3)
+    say = lambda: ". ".join(" ".join(r.choice("the of and to in is it that cat dog house river stone green".split()) for _ in range(8)) for _ in range(6)) + "."
+    good, junk = [say() for _ in range(200)], ["### $$$ %%% &&& " * 20 + str(i) for i in range(40)]
+    rows_ = [(None, t, 1, 0.5) for t in good + junk] + [(None, junk[0], 1, 0.5)] * 300
+    d = spark.createDataFrame(rows_, "doc_id long, text string, h int, quality_score double")
+    for fit_rows in (60, 10_000):
+        got = quality.scored(d, quality.fit(d, fit_rows=fit_rows)).collect()
+        assert len(got) == len(rows_)
+        assert not any(x.quality_keep for x in got if x.text.startswith("#")) and sum(x.quality_keep for x in got) == len(good), fit_rows
+
+
+def test_op9_query(spark, tmp_path):
+    """The query's votes against the labellers by words, and its posteriors against the label model by loops."""
+    r = random.Random(5)
+    say = lambda: " ".join(r.choice("the of and to cat dog river A B 12 x| ##".split()) + r.choice(["", "", "."]) for _ in range(r.randint(0, 80)))
+    texts = [say() for _ in range(300)] + [None, "", "Z" * 50_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in queries.QUERIES["op9_quality"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        n, k, letters = max(1, len(t.encode())), max(1, len(w)), max(1, len(re.findall("[A-Za-z]", t)))
+        long, empty = len(w) >= 20, not w
+        share = sum(x in quality.COMMON for x in w) / k
+        ends = t.count(".") / k
+        bad = [empty or len(re.findall(r"[#$%&*=<>{}\[\]\\^~_@|!]", t)) / n > 0.06, long and len(re.findall("[A-Z]", t)) / letters > 0.4, long and 1 - len(set(w)) / k > 0.8, t.count("|") / k > 0.2, empty or long and share < 0.04, empty or sum(len(x.encode()) for x in w) / k > 20, long and ends < 0.004, long and len(re.findall("[0-9]", t)) / n > 0.2]
+        fine = {4: long and share > 0.15, 6: long and 0.02 < ends < 0.6}
+        want[i] = sum((1 if b else 2 if fine.get(j) else 0) * 3**j for j, b in enumerate(bad))
+    assert {i: x.quality_votes for i, x in got.items()} == want
+    codes, counts = np.unique(list(want.values()), return_counts=True)
+    model = quality.fit_labels(codes, counts)
+    prior, tables = em_by_loops(codes.tolist(), counts.tolist(), 60, (quality.PRIOR, quality.start_tables(codes, counts).tolist()), quality.PRIOR_SHARE)
+    assert np.allclose(model.tables, tables, atol=1e-2)
+    for i, x in got.items():
+        assert x.quality_posterior == pytest.approx(float(model.posterior(np.array([want[i]]))[0])) and x.quality_keep == (x.quality_score >= 0.5)
+
+
 def test_features_of_whole_texts_summed():
     texts = pa.array(["one two two one two", "", None, "word " * 5000 + "tail", "one"])
     for _, _, f, n, h in quality.features(texts):
@@ -499,6 +656,23 @@ def test_features_of_whole_texts_summed():
         assert np.allclose(quality.linear(index, value, per, w, 0.1), quality.linear(*less, w, 0.1))
 
 
+def test_substring_hot_anchor(spark, monkeypatch):
+    """One anchor with more different segments than a shard's share: taken apart, with the result of one index."""
+    r = random.Random(2)
+    monkeypatch.setattr(common, "FEW_ROWS", 5)
+    rows_ = [(i, " ".join([f"l{r.randrange(2)}" for _ in range(9)] + "hot words that are all over".split() + [f"r{r.randrange(2)}" for _ in range(9)])) for i in range(200)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    first, want = {}, {}
+    for i, t in rows_:
+        w, gone = t.split(), set()
+        for a in range(len(w) - 12):
+            if first.setdefault(tuple(w[a : a + 13]), i) < i:
+                gone |= set(range(a, a + 13))
+        want[i] = (len(w), len(gone))
+    assert {x.id: (x.n_words, x.n_removed) for x in substring_dedup.kept(docs).collect()} == want
+    assert 20 < sum(n > 0 for _, n in want.values()) < 200
+
+
 def test_substring_hot_passage(spark):
     """A passage that stands in most documents is split over many parts: the result is that of one shard."""
     passage = " ".join(f"p{i}" for i in range(40))
