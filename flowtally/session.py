@@ -1,6 +1,9 @@
 """Session defaults."""
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "flowtally", **conf: str) -> SparkSession:
@@ -11,3 +14,20 @@ def session(master: str | None = None, app: str = "flowtally", **conf: str) -> S
     for k, v in held.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def lineage_cut(df: DataFrame) -> DataFrame:
+    """df computed and checkpointed in the folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset and all runs in one process (master local[...]), as in tests, a folder of its own is taken.
+    """
+    spark = df.sparkSession
+    sc, key = spark.sparkContext, "spark.checkpoint.dir"
+    if sc.getCheckpointDir() is None:
+        found = spark.conf.get(key, None) or sc.getConf().get(key)
+        if not found:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError(f"{key} is not set")
+            found = "file://" + tempfile.mkdtemp(prefix="flowtally-")
+        sc.setCheckpointDir(found)
+    return df.checkpoint()

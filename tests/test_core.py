@@ -10,30 +10,31 @@ from flowtally.functions import scalars as S
 from flowtally.operators import changes, context, detectors, graph, normalize, quality, shape
 from flowtally.sources import records, tables
 
-LOG = """Int 7 1=5
-Thursday 01 November 2018 00:15
-stray
-Int 1081    1=14    2=51    3=2046    4=0
- 5=2047  6=na  7=9 7=8\r
-Int 1093    1=24 2=52
-Int 1094
-
-  Thursday 01 November 2018 00:30
-Int 1081 1=3
-End of File
+LOG = """Int 40 9=1
+Monday 07 January 2019 06:45
+not a heading
+Int 233  2=17\t1 = 6   3=2047
+   5=NA 4=0  6=na\r
+ 8=2046 9=31 9=12
+Int 234 1=5 11=7
+Int 235 nothing
+
+\tMonday 07 January 2019 07:00
+Int 233 1=44
+end of file, 3=9
 """
 
 
 def test_parse(spark):
     d = spark.createDataFrame([("a", LOG), ("b", "nothing here"), ("c", None)], "source_file string, value string")
     got = {(r.ts.minute, r.site_id): r.channels for r in records.parse(d).collect()}
-    assert got == {(15, 1081): {1: 14, 2: 51, 3: None, 4: 0, 5: None, 6: None, 7: 8}, (15, 1093): {1: 24, 2: 52}, (30, 1081): {1: 3}}
-    assert [r.source_month for r in records.file_months(records.parse(d)).collect()] == ["2018-11"]
+    assert got == {(45, 233): {1: 6, 2: 17, 3: None, 4: 0, 5: None, 6: None, 8: None, 9: 12}, (45, 234): {1: 5, 11: 7}, (0, 233): {1: 44}}
+    assert [r.source_month for r in records.file_months(records.parse(d)).collect()] == ["2019-01"]
 
 
 def test_read_files(spark, tmp_path):
     (tmp_path / "x").mkdir()
-    (tmp_path / "x" / "nov2018.txt").write_text(LOG)
+    (tmp_path / "x" / "jan2019.txt").write_text(LOG)
     (tmp_path / "output.txt").write_text(LOG)
     (tmp_path / "notes.txt").write_text(LOG)
     assert records.read(spark, str(tmp_path)).count() == 3
@@ -79,12 +80,66 @@ def test_changes(spark):
     assert [r.change for r in changes.consecutive(p).where("site = 2").orderBy("year_month").collect()] == [None, -0.25, None]
 
 
-def test_dtw_and_clusters(spark):
-    a, b = np.array([0, 0, 1, 2, 1, 0.0]), np.array([0, 1, 2, 1, 0, 0.0])
-    assert shape.warped(a, a) == 0 and shape.warped(a, b, 2) < np.abs(a - b).mean()
+def path_cost(x, y, band):
+    """The least cost of a warping path, over all paths by recursion."""
+    from functools import lru_cache
+
+    @lru_cache(maxsize=None)
+    def best(i, j):
+        if i < 0 or j < 0 or abs(i - j) > max(band, abs(len(x) - len(y))):
+            return 0.0 if i == j == -1 else np.inf
+        return abs(x[i] - y[j]) + min(best(i - 1, j - 1), best(i - 1, j), best(i, j - 1))
+
+    return best(len(x) - 1, len(y) - 1) / (len(x) + len(y))
+
+
+@pytest.mark.parametrize("n, m, band", [(24, 24, 3), (7, 7, 1), (9, 12, 2), (5, 5, 9), (1, 1, 3)])
+def test_warping(n, m, band):
+    r = np.random.default_rng(n)
+    x, y = r.normal(size=(20, n)), r.normal(size=(20, m))
+    assert np.allclose(shape.warped(x, y, band), [path_cost(tuple(a), tuple(b), band) for a, b in zip(x, y)])
+    assert not shape.warped(x, x, band).any()
+
+
+def test_merge_tree():
+    """The chain's tree against merging the nearest two of all clusters again and again."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(30, 2))
+    d = np.abs(x[:, None] - x).sum(2)
+    groups = [[i] for i in range(30)]
+    tree = shape.merges(d)
+    for k in range(29, 1, -1):
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: d[np.ix_(groups[p[0]], groups[p[1]])].mean())
+        groups[j] += groups.pop(i)
+        labels = shape.cut(tree, k)
+        assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels.tolist())}
+
+
+def test_clusters(spark):
     z = spark.createDataFrame([(i, [float(i // 3), 0.01 * i, 0.0]) for i in range(6)], "site long, z array<double>")
-    got = {r.site: r.cluster for r in shape.clusters(shape.distances(z)).collect()}
+    got = {r.site: r.cluster for r in shape.clusters(z).collect()}
     assert {frozenset(k for k in got if got[k] == c) for c in got.values()} == {frozenset({0, 1, 2}), frozenset({3, 4, 5})}
+    assert [(r.site, r.cluster, r.silhouette) for r in shape.clusters(z.limit(1)).collect()] == [(0, 1, None)]
+    assert shape.distances(z).count() == 15 and shape.clusters(z.limit(0)).count() == 0
+
+
+def test_profiles_and_edges(spark):
+    """Blocks of sites against one numpy matrix; constant profiles stay as zeros where they are asked for."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=(60, 12)).round(1)
+    v[7], v[8] = v[9], 4.0
+    p = spark.createDataFrame([(i, k, None if (i + k) % 11 == 0 and i != 8 else float(x)) for i, row in enumerate(v) for k, x in enumerate(row)], "site long, bin int, value double")
+    z = {x.site: x.z for x in graph.standardized(p, 6, constant=True).collect()}
+    assert len(z) == 60 and z[8] == [0.0] * 12 and 8 not in {x.site for x in graph.standardized(p, 6).collect()}
+    c = {(i, j): float(np.dot(z[i], z[j]) / 12) for i in z for j in z if i != j}
+    want = {}
+    for i in z:
+        for corr, j in sorted(((c[i, j], j) for j in z if j != i and c[i, j] >= 0.2), reverse=True)[:3]:
+            want[min(i, j), max(i, j)] = corr
+    d = spark.createDataFrame(list(z.items()), "site long, z array<double>")
+    got = {(x.src, x.dst): x.weight for x in graph.neighbour_edges(d, 3, 0.2).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert {(x.src, x.dst): round(x.corr, 9) for x in graph.correlations(d).collect()} == {k: round(x, 9) for k, x in c.items() if k[0] < k[1]}
 
 
 def test_graph(spark):
@@ -99,7 +154,13 @@ def test_graph(spark):
     x = {r.site: r.eigenvector for r in graph.eigenvector(n, e).collect()}
     assert x[3] == pytest.approx(x[4], abs=1e-4) and x[3] > x[1] > x[7]
     assert {r.site: r.component for r in graph.connected(n, e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7}
-    assert {r.site: r.degree for r in graph.degrees(n, e).collect()}[3] == 3
+    deg = graph.degrees(n, e)
+    assert {r.site: r.degree for r in deg.collect()}[3] == 3
+    assert [(r.site, r.place) for r in graph.strongest(deg, 3).collect()] == [(3, 1), (4, 2), (1, 3)]
+    meta = graph.metadata(n, e, graph.communities(n, e), graph.connected(n, e)).first()
+    assert tuple(meta) == (7, 7, 3, 2)
+    chain = spark.createDataFrame([(i, i + 1, 1.0, 1.0) for i in range(40)], "src long, dst long, weight double, distance double")
+    assert {r.component for r in graph.connected(spark.range(41).withColumnRenamed("id", "site"), chain).collect()} == {0}
 
 
 def test_small_functions(spark):
