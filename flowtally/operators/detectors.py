@@ -17,11 +17,12 @@ def box_counts(boxes: DataFrame) -> DataFrame:
 
 
 def registry(profile: DataFrame, counts: DataFrame, operational: int = 100, overrides: DataFrame | None = None) -> DataFrame:
-    """(site, channel, approach, configured, operational, verification) of each site's k best channels, k its boxes.
+    """(site, channel, approach, configured, operational, verification, source_note) of each site's k best channels, k its boxes.
 
     Best are those with most positive, then finite readings, then the lowest number. In channel order they take the
     sides south, west, north, east by the diagram's counts; without as many channels as boxes all are unknown. Sites
-    without a diagram have their operational channels. overrides (site, channel, approach, verification) win.
+    without a diagram have their operational channels. overrides (site, channel, approach, verification and, if there is one,
+    source_note) win.
     """
     best = Window.partitionBy("site").orderBy(F.desc("positive"), F.desc("finite"), "channel")
     p = profile.join(counts, "site", "left").withColumn("r", F.row_number().over(best))
@@ -30,11 +31,13 @@ def registry(profile: DataFrame, counts: DataFrame, operational: int = 100, over
     p = p.withColumn("k", F.count("*").over(Window.partitionBy("site"))).withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("channel")))
     fits = F.col("k") == F.col("detector_boxes")
     p = p.withColumns({"approach": F.coalesce(F.when(fits, F.get(sides, F.col("i") - 1)), F.lit("unknown")), "configured": F.lit(True), "operational": F.col("positive") >= operational, "verification": F.when(fits, "diagram").when(F.col("detector_boxes").isNull(), "data").otherwise("mismatch")})
-    p = p.select("site", "channel", "approach", "configured", "operational", "verification")
+    note = F.when(F.col("verification") == "diagram", "counts of the diagram's boxes").when(F.col("verification") == "data", "readings alone").otherwise("boxes and channels differ in number")
+    p = p.select("site", "channel", "approach", "configured", "operational", "verification", note.alias("source_note"))
     if overrides is None:
         return p
-    o = overrides.select("site", "channel", F.col("approach").alias("a"), F.col("verification").alias("v"))
-    return p.join(F.broadcast(o), ["site", "channel"], "left").withColumn("approach", F.coalesce("a", "approach")).withColumn("verification", F.coalesce("v", "verification")).drop("a", "v")
+    own = ("approach", "verification", "source_note")
+    o = overrides.select("site", "channel", *[(F.col(c) if c in overrides.columns else F.lit(None).cast("string")).alias(f"own_{c}") for c in own])
+    return p.join(o, ["site", "channel"], "left").withColumns({c: F.coalesce(f"own_{c}", c) for c in own}).drop(*[f"own_{c}" for c in own])
 
 
 def inventory(observed: DataFrame, registered: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -25,6 +25,21 @@ def source_months(records: DataFrame, per_day: int, start: str, end: str, comple
     return d.withColumn("status", F.when(F.col("timestamps").isNull(), "Missing").when(F.col("coverage") < complete, "Partial").otherwise("Complete")).withColumn("year_month", S.month(F.col("date"))).drop("date")
 
 
+def site_records(records: DataFrame) -> DataFrame:
+    """(site, records): how many records, of whatever channels, each site has. records: (site, ...), a row each."""
+    return records.groupBy("site").agg(F.count("*").alias("records"))
+
+
+def source_files(records: DataFrame, per_day: int) -> DataFrame:
+    """An audit of each file: timestamps seen and expected in the month of its first one, their share, records, those with a
+    volume, sites, first and last timestamp. records: (source_file, ts, site, value)."""
+    g = records.groupBy("source_file").agg(
+        F.count_distinct("ts").alias("timestamps"), F.count("*").alias("records"), F.count("value").alias("normalized_records"), F.count_distinct("site").alias("sites"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    g = g.withColumn("source_month", S.month(F.col("first_ts"))).withColumn("expected", S.expected_intervals(F.to_date("first_ts"), per_day))
+    return g.withColumn("coverage", F.col("timestamps") / F.col("expected"))
+
+
 def missing_months(spine: DataFrame, observed: DataFrame) -> DataFrame:
     return spine.join(observed.select("year_month").distinct(), "year_month", "left_anti")
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import changes, context, detectors, graph, normalize, panels, profiles, quality, shape
-from ..config import Periods
+from ..operators import changes, context, detectors, external, graph, normalize, panels, profiles, quality, shape
+from ..config import Periods, Settings
 from ..sources import records, tables
 from . import datasets
 
@@ -152,6 +152,53 @@ def hour_week_heatmap(spark, d):
     return profiles.heatmap(profiles.hour_of_week(readings(spark, d)))
 
 
+@query("peak_weekday peak_hour ~peak_mean_volume ~base_vs_others", HOURS + """c AS (SELECT weekday, hour, sum(volume_sum) / sum(observations) AS v FROM h GROUP BY 1, 2),
+r AS (SELECT (arg_max(row(weekday, hour), row(v, -weekday, -hour)))[1] AS peak_weekday, (arg_max(row(weekday, hour), row(v, -weekday, -hour)))[2] AS peak_hour, max(v) AS peak_mean_volume,
+  avg(v) FILTER (weekday = 4) / avg(v) FILTER (weekday <> 4) - 1 AS base_vs_others FROM c)""")
+def peak_cell(spark, d):
+    return datasets.peak_cell(profiles.heatmap(profiles.hour_of_week(readings(spark, d))))
+
+
+CITY_DAYS = EVENTS + """s AS (SELECT ts::DATE AS date, site, sum(value) AS total_volume, avg(value) AS mean_volume, count(*) / 96.0 AS temporal_coverage FROM e WHERE value IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-10', INTERVAL 1 DAY))::DATE AS date),
+k AS (SELECT date, (isodow(date) = 5)::INT AS is_friday_weekend, (day(date) IN (1, 17))::INT AS is_official_holiday FROM d),
+"""
+
+
+def context_days(spark: SparkSession) -> DataFrame:
+    dates = context.spine(spark, "2023-12-25", "2024-02-10")
+    free = dates.where("day(date) IN (1, 17)").select("date", F.lit("Day off").alias("name_en"), F.lit("").alias("name_fa"))
+    return external.calendar(dates, free)
+
+
+@query("date site ~mean_volume is_friday_weekend is_official_holiday official_holiday_name_en", CITY_DAYS + "r AS (SELECT s.date, site, mean_volume, is_friday_weekend, is_official_holiday, CASE WHEN is_official_holiday IS NULL THEN NULL WHEN is_official_holiday = 1 THEN 'Day off' ELSE '' END AS official_holiday_name_en FROM s LEFT JOIN k USING (date))")
+def site_day_context(spark, d):
+    return external.site_context(profiles.daily(readings(spark, d)), context_days(spark))
+
+
+@query("date trusted_intersection_count ~city_median_15min_volume ~city_mean_15min_volume ~city_total_volume_estimate traffic_data_available is_official_holiday", CITY_DAYS + """
+g AS (SELECT date, count(DISTINCT site) AS trusted_intersection_count, median(mean_volume) AS city_median_15min_volume, avg(mean_volume) AS city_mean_15min_volume, sum(total_volume) AS city_total_volume_estimate FROM s WHERE temporal_coverage >= 0.02 GROUP BY 1),
+r AS (SELECT k.date, g.* EXCLUDE (date), (city_median_15min_volume IS NOT NULL)::INT AS traffic_data_available, is_official_holiday FROM k LEFT JOIN g ON g.date = k.date)""")
+def city_day_context(spark, d):
+    return external.city_context(profiles.daily(readings(spark, d)), context_days(spark), 0.02)
+
+
+@query("date covid_data_available ~covid_stay_home_level ~covid_confirmed_cases_cumulative ~covid_new_cases_derived covid_any_mobility_restriction", EVENTS + """
+d AS (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-10', INTERVAL 1 DAY))::DATE AS date),
+g AS (SELECT date, (sum(n) OVER (ORDER BY date))::DOUBLE AS cases, CASE WHEN n % 3 = 0 THEN 1.0 ELSE 0.0 END AS level FROM (SELECT ts::DATE AS date, count(*) AS n FROM e GROUP BY 1)),
+f AS (SELECT min(date) AS a FROM g),
+j AS (SELECT d.date, (g.date IS NOT NULL)::INT AS covid_data_available, CASE WHEN d.date < f.a THEN 0.0 ELSE level END AS covid_stay_home_level, last_value(CASE WHEN d.date < f.a THEN 0.0 ELSE cases END IGNORE NULLS) OVER (ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS covid_confirmed_cases_cumulative
+  FROM d CROSS JOIN f LEFT JOIN g ON g.date = d.date),
+r AS (SELECT *, coalesce(covid_confirmed_cases_cumulative - lag(covid_confirmed_cases_cumulative) OVER (ORDER BY date), 0.0) AS covid_new_cases_derived, (coalesce(covid_stay_home_level, 0) > 0)::INT AS covid_any_mobility_restriction FROM j)""")
+def policy_context(spark, d):
+    from pyspark.sql import Window
+
+    g = readings(spark, d).groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+    own = {"covid_confirmed_cases_cumulative": F.sum("n").over(Window.orderBy("date")).cast("double"), "covid_stay_home_level": F.when(F.col("n") % 3 == 0, 1.0).otherwise(0.0)}
+    series = g.select("date", *[own.get(c, F.lit(None).cast("double")).alias(c) for c in external.POLICY.values()])
+    return external.policy_days(context.spine(spark, "2023-12-25", "2024-02-10"), series)
+
+
 # --- approaches ------------------------------------------------------------------------------------------------------
 
 
@@ -287,13 +334,13 @@ def calendar_context(spark, d):
 
 
 @query("date event_count event_types event_names max_confidence has_event", DATES + """
-o AS (SELECT o_orderpriority AS event_type, 'event ' || o_orderkey AS event_name, (o_orderkey % 3)::INT AS confidence, o_orderdate::DATE AS a, (o_orderdate::DATE + (o_orderkey % 5)::INT) AS z FROM orders WHERE o_orderkey % 97 = 0),
-x AS (SELECT d.date, o.* FROM d JOIN o ON d.date BETWEEN o.a AND o.z),
+o AS (SELECT o_orderpriority AS event_type, 'event ' || o_orderkey AS event_name, (o_orderkey % 3)::INT AS confidence, o_orderdate::DATE AS a, (o_orderdate::DATE + (o_orderkey % 5)::INT) AS z FROM orders),
+x AS (SELECT o.*, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS date FROM o),
 g AS (SELECT date, count(*) AS event_count, array_to_string(list_sort(list_distinct(list(event_type))), ' | ') AS event_types, array_to_string(list_sort(list_distinct(list(event_name))), ' | ') AS event_names, max(confidence) AS max_confidence FROM x GROUP BY 1),
 r AS (SELECT d.date, coalesce(event_count, 0) AS event_count, coalesce(event_types, '') AS event_types, coalesce(event_names, '') AS event_names, max_confidence, (event_count IS NOT NULL)::INT AS has_event FROM d LEFT JOIN g USING (date))""")
 def event_interval_expand(spark, d):
-    """A registry of every 97th order, as the events are rare by nature."""
-    o = table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderpriority").alias("event_type"), F.concat(F.lit("event "), F.col("o_orderkey").cast("string")).alias("event_name"), (F.col("o_orderkey") % 3).cast("int").alias("confidence"), F.to_date("o_orderdate").alias("date_start"))
+    """Every order as an event of up to five days."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("event_type"), F.concat(F.lit("event "), F.col("o_orderkey").cast("string")).alias("event_name"), (F.col("o_orderkey") % 3).cast("int").alias("confidence"), F.to_date("o_orderdate").alias("date_start"))
     o = o.withColumn("date_end", F.date_add("date_start", (F.regexp_extract("event_name", r"(\d+)", 1).cast("long") % 5).cast("int")))
     return context.event_days(days(spark), o)
 
@@ -380,12 +427,13 @@ def json_columns_to_rows(spark, d):
 # --- detectors and places --------------------------------------------------------------------------------------------
 
 
-BOXES = "b AS (SELECT p_partkey % 60 AS site, (p_partkey * 37 % 1381)::DOUBLE AS x, (p_partkey * 53 % 695)::DOUBLE AS y FROM part WHERE p_size <= 8 AND p_partkey % 60 > 3),\ns AS (SELECT *, CASE WHEN abs(x - 690) > abs(y - 347) THEN CASE WHEN x < 690 THEN 'west' ELSE 'east' END ELSE CASE WHEN y < 347 THEN 'north' ELSE 'south' END END AS side FROM b),\nn AS (SELECT site, count(*) AS detector_boxes, " + ", ".join(f"count(*) FILTER (side = '{s}') AS {s}_boxes" for s in SIDE) + " FROM s GROUP BY 1),\n"
+BOXES = "b AS (SELECT 2 * (p_partkey // 7 + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END) AS site, (p_partkey * 37 % 1381)::DOUBLE AS x, (p_partkey * 53 % 695)::DOUBLE AS y FROM part),\ns AS (SELECT *, CASE WHEN abs(x - 690) > abs(y - 347) THEN CASE WHEN x < 690 THEN 'west' ELSE 'east' END ELSE CASE WHEN y < 347 THEN 'north' ELSE 'south' END END AS side FROM b),\nn AS (SELECT site, count(*) AS detector_boxes, " + ", ".join(f"count(*) FILTER (side = '{s}') AS {s}_boxes" for s in SIDE) + " FROM s GROUP BY 1),\n"
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A part is a box of a site with an even number, six to eight to a site; sites with odd numbers have no diagram."""
     k = F.col("p_partkey")
-    return table(spark, d, "part").where((F.col("p_size") <= 8) & (k % 60 > 3)).select((k % 60).alias("site"), (k * 37 % 1381).cast("double").alias("x"), (k * 53 % 695).cast("double").alias("y"))
+    return table(spark, d, "part").select((2 * (F.floor(k / 7) + (k % 11 == 0).cast("long"))).alias("site"), (k * 37 % 1381).cast("double").alias("x"), (k * 53 % 695).cast("double").alias("y"))
 
 
 @query("site detector_boxes south_boxes west_boxes north_boxes east_boxes", BOXES + "r AS (SELECT * FROM n)")
@@ -406,9 +454,9 @@ def detector_registry(spark, d):
     return detectors.registry(profile, detectors.box_counts(boxes(spark, d)), 80, own)
 
 
-@query("site has_raw_data has_registry_name has_diagram", FACT + BOXES + "o AS (SELECT DISTINCT site FROM fact), g AS (SELECT s_suppkey AS site FROM supplier WHERE s_suppkey % 7 <> 0),\nk AS (SELECT site FROM o UNION SELECT site FROM g UNION SELECT site FROM n),\nr AS (SELECT site, site IN (SELECT site FROM o) AS has_raw_data, site IN (SELECT site FROM g) AS has_registry_name, site IN (SELECT site FROM n) AS has_diagram FROM k)")
+@query("site has_raw_data has_registry_name has_diagram", FACT + BOXES + "o AS (SELECT DISTINCT site FROM fact), g AS (SELECT s_suppkey AS site FROM supplier WHERE s_acctbal > 0),\nk AS (SELECT site FROM o UNION SELECT site FROM g UNION SELECT site FROM n),\nr AS (SELECT site, site IN (SELECT site FROM o) AS has_raw_data, site IN (SELECT site FROM g) AS has_registry_name, site IN (SELECT site FROM n) AS has_diagram FROM k)")
 def site_inventory(spark, d):
-    return detectors.inventory(fact(spark, d), table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("site")), boxes(spark, d))
+    return detectors.inventory(fact(spark, d), table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("site")), boxes(spark, d))
 
 
 @query("site ~distance_m ~lat ~lon confidence", """c AS (SELECT 'q' || (s_suppkey % 40) AS query, (s_suppkey // 40)::INT AS rank, 32.6 + (s_suppkey * 7 % 100) / 10000.0 AS lat, 51.6 + (s_suppkey * 13 % 100) / 10000.0 AS lon FROM supplier WHERE s_suppkey <= 200),
@@ -442,7 +490,7 @@ def profile_bins(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     z = graph.standardized(profile_bins(spark, d), 48)
-    return z, graph.neighbour_edges(graph.correlations(z), 4, 0.2)
+    return z, graph.neighbour_edges(z, 4, 0.2)
 
 
 GRAPH = """x AS (SELECT vec_id AS site, unnest(range(0, len(embedding))) AS bin, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -468,7 +516,9 @@ def graph_degree(spark, d):
     return graph.degrees(*profile_graph(spark, d))
 
 
-@query("site component")
+@query("site component", "RECURSIVE " + GRAPH + """u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+q AS (SELECT site, site AS other FROM z UNION SELECT q.site, u.b FROM q JOIN u ON u.a = q.other),
+r AS (SELECT site, min(other) AS component FROM q GROUP BY 1)""")
 def graph_components(spark, d):
     return graph.connected(*profile_graph(spark, d))
 
@@ -488,20 +538,54 @@ def graph_communities(spark, d):
     return graph.communities(*profile_graph(spark, d))
 
 
+@query("nodes edges communities components")
+def graph_metadata(spark, d):
+    z, e = profile_graph(spark, d)
+    return graph.metadata(z, e, graph.communities(z, e), graph.connected(z, e))
+
+
+@query("site degree ~weighted_degree place", GRAPH + """u AS (SELECT src AS site, weight FROM e UNION ALL SELECT dst, weight FROM e),
+n AS (SELECT z.site, count(weight) AS degree, coalesce(sum(weight), 0) AS weighted_degree FROM z LEFT JOIN u USING (site) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY weighted_degree DESC, site)::INT AS place FROM n ORDER BY weighted_degree DESC, site LIMIT 12)""")
+def strongest_nodes(spark, d):
+    return graph.strongest(graph.degrees(*profile_graph(spark, d)), 12)
+
+
 def hour_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """24-hour shapes of groups of ten users."""
+    """24-hour shapes of groups of users, by the remainder of their number by 40; constant ones are zeros."""
     g = readings(spark, d).where("value IS NOT NULL").groupBy((F.col("site") % 40).cast("long").alias("site"), F.hour("ts").alias("bin")).agg(F.avg("value").alias("value"))
-    return graph.standardized(g, 20)
+    return graph.standardized(g, 20, constant=True)
+
+
+def _warping(band: int = 3) -> str:
+    """A step of the warping in SQL: cell k of a row is the cost on diagonal k - band, from the cells above it and before it."""
+    cells = range(2 * band + 1)
+    out = "w"
+    for k in cells:
+        j = f"i + 1 + {k - band}"
+        least = [f"c{k}"] + [f"c{k + 1}"] * (k < 2 * band) + [f"n{k - 1}"] * (k > 0)
+        out = f"(SELECT *, CASE WHEN {j} BETWEEN 1 AND len(zb) THEN abs(za[i + 1] - zb[{j}]) + least({', '.join(least)}) ELSE 'Infinity'::DOUBLE END AS n{k} FROM {out})"
+    return f"SELECT a, b, za, zb, i + 1 AS i, " + ", ".join(f"n{k} AS c{k}" for k in cells) + f" FROM {out} WHERE i < len(za)"
+
+
+_FIRST = ", ".join(f"{0 if k == 3 else chr(39) + 'Infinity' + chr(39)}::DOUBLE AS c{k}" for k in range(7))
+WARPED = "RECURSIVE " + EVENTS + f"""g AS (SELECT (site % 40)::BIGINT AS site, hour(ts) AS bin, avg(value) AS value FROM e WHERE value IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT site, median(value) AS med FROM g GROUP BY 1 HAVING count(*) >= 20),
+f AS (SELECT o.site, h.bin, coalesce(g.value, o.med) AS v FROM o CROSS JOIN (SELECT DISTINCT bin FROM g) h LEFT JOIN g ON g.site = o.site AND g.bin = h.bin),
+s AS (SELECT site, avg(v) AS m, stddev_pop(v) AS sd FROM f GROUP BY 1),
+z AS (SELECT f.site, list(CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END ORDER BY bin) AS z FROM f JOIN s USING (site) GROUP BY 1),
+w AS (SELECT x.site AS a, y.site AS b, x.z AS za, y.z AS zb, 0 AS i, {_FIRST} FROM z x JOIN z y ON x.site < y.site UNION ALL {_warping()}),
+"""
 
 
-@query("a b ~distance")
+@query("a b ~distance", WARPED + "r AS (SELECT a, b, c3 / (2 * len(za)) AS distance FROM w WHERE i = len(za))")
 def dtw_pairs(spark, d):
     return shape.distances(hour_shapes(spark, d))
 
 
 @query("site cluster ~silhouette")
 def dtw_clusters(spark, d):
-    return shape.clusters(shape.distances(hour_shapes(spark, d)))
+    return shape.clusters(hour_shapes(spark, d))
 
 
 # --- summaries -------------------------------------------------------------------------------------------------------
@@ -518,6 +602,20 @@ def correlations(spark, d):
     return g.withColumn("rn", rank("n")).withColumn("rv", rank("v")).agg(F.corr("n", "v").alias("pearson"), F.corr("rn", "rv").alias("spearman"))
 
 
+@query("site ~site_mean place", PANEL + "r AS (SELECT site, avg(mean_volume) AS site_mean, row_number() OVER (ORDER BY round(avg(mean_volume), 9) DESC, site)::INT AS place FROM p GROUP BY 1)")
+def site_places(spark, d):
+    means = panel(spark, d).groupBy("site").agg(F.avg("mean_volume").alias("site_mean"))
+    return datasets.placed(means.withColumn("v", F.round("site_mean", 9)), "v")
+
+
+@query("source_file timestamps expected ~coverage records normalized_records sites first_ts last_ts source_month", FACT + """
+g AS (SELECT strftime(ts, '%Y-%m') || '.txt' AS source_file, count(DISTINCT ts) AS timestamps, count(*) AS records, count(value) AS normalized_records, count(DISTINCT site) AS sites, min(ts)::DATE AS first_ts, max(ts)::DATE AS last_ts FROM fact GROUP BY 1),
+r AS (SELECT *, strftime(first_ts, '%Y-%m') AS source_month, day(last_day(first_ts))::INT AS expected, timestamps / day(last_day(first_ts))::DOUBLE AS coverage FROM g)""")
+def source_files(spark, d):
+    f = fact(spark, d).withColumn("source_file", F.concat(F.date_format("ts", "yyyy-MM"), F.lit(".txt")))
+    return quality.source_files(f, 1).withColumns({c: F.to_date(c) for c in ("first_ts", "last_ts")})
+
+
 @query("nation sites first_name top_site ~median_balance", """r AS (SELECT s_nationkey AS nation, count(*) AS sites, arg_min(s_name, s_suppkey) FILTER (trim(s_name) <> '') AS first_name, 'Site ' || arg_max(s_suppkey, row(s_acctbal, -s_suppkey)) AS top_site, median(s_acctbal) AS median_balance FROM supplier GROUP BY 1)""", name="community_summary")
 def community_summary(spark, d):
     return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("sites"), F.min_by(F.col("s_name"), F.when(F.trim("s_name") != "", F.col("s_suppkey"))).alias("first_name"), F.concat(F.lit("Site "), F.max_by("s_suppkey", F.struct("s_acctbal", -F.col("s_suppkey"))).cast("string")).alias("top_site"), F.median("s_acctbal").alias("median_balance"))
@@ -580,6 +678,34 @@ def anomaly_days(spark, d):
     return datasets.anomaly_days(datasets.daily_trend(city_days(spark, d), YEAR))
 
 
+@query("year_month ~y", PANEL + """g AS (SELECT strftime(ts, '%Y-%m') AS year_month, count(DISTINCT ts) AS k FROM fact GROUP BY 1),
+s AS (SELECT unnest(generate_series(DATE '1991-06-01', DATE '1999-06-01', INTERVAL 1 MONTH))::DATE AS date), v AS (SELECT year_month, median(mean_volume) AS median_volume FROM p GROUP BY 1),
+r AS (SELECT strftime(date, '%Y-%m') AS year_month, CASE WHEN k >= 0.8 * day(last_day(date)) THEN median_volume END AS y FROM s LEFT JOIN g ON g.year_month = strftime(date, '%Y-%m') LEFT JOIN v ON v.year_month = strftime(date, '%Y-%m'))""")
+def explorer_monthly(spark, d):
+    """The explorer's monthly line: missing and partial months are gaps."""
+    return datasets.explorer(report_sets(spark, d)).where("chart = 'monthly'").select(F.substring("x", 1, 7).alias("year_month"), "y")
+
+
+def report_sets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The result sets of a report over the driver's tables, for a site graph of suppliers."""
+    f, none = fact(spark, d), spark.createDataFrame([], "site long, lat double, lon double, confidence string")
+    sources = quality.source_months(f, 1, "1991-06-01", "1999-06-01")
+    factors = context_associations(spark, d).select("factor", F.col("mean_difference"))
+    edges = spark.createDataFrame([], "src long, dst long, weight double")
+    x = datasets.Inputs(monthly(spark, d), named(spark, d), city_days(spark, d), profiles.hour_of_week(readings(spark, d)), profiles.approaches(sides(spark, d)), nodes(spark, d), edges, sources, factors, none, quality.channels(f, 80))
+    return datasets.datasets(x, Settings(trusted_temporal_coverage=TEMPORAL, trusted_detector_coverage=DETECTOR, baseline_year=YEAR), Periods(**{**vars(PERIODS), "focus_site": 1}))
+
+
+@query("sites_declining shock_change_sites sites_rising recovery_change_sites review_sites ~shock_recovery_correlation peak_weekday peak_hour focus_volume_place", CHANGES + HOURS + """
+q AS (SELECT *, coalesce(max_abs_change >= 0.5, false) AS review FROM per), c AS (SELECT weekday, hour, sum(volume_sum) / sum(observations) AS v FROM h GROUP BY 1, 2),
+n AS (SELECT s_suppkey AS site, site_mean FROM supplier LEFT JOIN per ON per.site = s_suppkey), o AS (SELECT site, row_number() OVER (ORDER BY site_mean DESC, site) AS place FROM n WHERE site_mean IS NOT NULL),
+r AS (SELECT count(*) FILTER (shock_change < 0) AS sites_declining, count(shock_change) AS shock_change_sites, count(*) FILTER (recovery_change > 0) AS sites_rising, count(recovery_change) AS recovery_change_sites, count(*) FILTER (review) AS review_sites,
+  corr(shock_change, recovery_change) FILTER (shock_change IS NOT NULL AND recovery_change IS NOT NULL) AS shock_recovery_correlation, (SELECT (arg_max(row(weekday, hour), row(v, -weekday, -hour)))[1] FROM c) AS peak_weekday,
+  (SELECT (arg_max(row(weekday, hour), row(v, -weekday, -hour)))[2] FROM c) AS peak_hour, (SELECT max(place) FROM o WHERE site = 1)::INT AS focus_volume_place FROM q)""")
+def report_insights(spark, d):
+    return datasets.insights(report_sets(spark, d), Periods(**{**vars(PERIODS), "focus_site": 1}))
+
+
 @query("duplicate_keys rows missing_value missing_ts rows_with_missing months_missing passed", FACT + MONTHLY.replace(FACT, "") + """
 a AS (SELECT coalesce(sum(k - 1), 0)::BIGINT AS duplicate_keys FROM (SELECT count(*) AS k FROM m GROUP BY site, year_month)),
 b AS (SELECT count(*) AS rows, count(*) FILTER (value IS NULL) AS missing_value, count(*) FILTER (ts IS NULL) AS missing_ts, count(*) FILTER (value IS NULL OR ts IS NULL) AS rows_with_missing FROM fact),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Periods, Settings
@@ -76,6 +77,13 @@ def map_points(nodes: DataFrame, located: DataFrame) -> DataFrame:
     return nodes.join(quality.require_unique(ok, "site"), "site")
 
 
+def map_sites(nodes: DataFrame, located: DataFrame) -> DataFrame:
+    """All nodes with what the geocoder found, and whether a map may show them: a match of the name itself, or a pair of
+    streets of high confidence. located: (site, lat, lon, confidence, method), one row a site."""
+    sure = (F.col("method") == "direct_name") | ((F.col("method") == "street_pair") & (F.col("confidence") == "high"))
+    return nodes.join(quality.require_unique(located, "site"), "site", "left").withColumn("reliable", F.coalesce(sure & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.lit(False)))
+
+
 @dataclass(frozen=True)
 class Inputs:
     """Tables of a run: profiles.monthly(), names by month, city days with context, profiles.hour_of_week(),
@@ -137,6 +145,115 @@ def datasets(x: Inputs, settings: Settings = Settings(), p: Periods = Periods())
     }
 
 
+def peak_cell(heatmap: DataFrame, base: int = 4) -> DataFrame:
+    """One row: the weekday and hour with the highest mean of profiles.heatmap(), the earliest of equals, and how the mean of
+    weekday `base` (4: Friday) differs from that of all hours of the others."""
+    cells = heatmap.select("weekday", F.explode(F.array(*[F.struct(F.lit(h).alias("hour"), F.col(f"h{h:02d}").alias("v")) for h in range(24)])).alias("c")).select("weekday", "c.hour", "c.v")
+    mean = lambda is_base: F.avg(F.when((F.col("weekday") == base) == is_base, F.col("v")))
+    top = F.max_by(F.struct("weekday", "hour", "v"), F.when(F.col("v").isNotNull(), F.struct("v", -F.col("weekday"), -F.col("hour"))))
+    g = cells.agg(top.alias("t"), (mean(True) / mean(False) - 1).alias("base_vs_others"))
+    return g.select(F.col("t.weekday").alias("peak_weekday"), F.col("t.hour").alias("peak_hour"), F.col("t.v").alias("peak_mean_volume"), "base_vs_others")
+
+
+def placed(df: DataFrame, by: str, site: str = "site") -> DataFrame:
+    """df with `place` from 1 by falling values, ties by site: a position, so equal values don't share one; nulls come last."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).desc_nulls_last(), site)))  # a row for each site
+
+
+def insights(sets: dict[str, DataFrame], p: Periods = Periods()) -> DataFrame:
+    """One row of findings: sites that fell and rose, correlations, the peak of the week, effects of three factors, and the
+    places, peak side and corridor share of the focus site."""
+    summary, nodes, sides = sets["site_summary"], sets["community_nodes"], sets["site_approaches"]
+    count = lambda c, sign, name: [F.count_if(sign(F.col(c))).alias(name), F.count(c).alias(f"{c}_sites")]
+    out = summary.agg(*count("shock_change", lambda c: c < 0, "sites_declining"), *count("recovery_change", lambda c: c > 0, "sites_rising"), F.count_if(F.col("regime") == "Review").alias("review_sites"))
+    average = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / F.lit(2.0)
+    ranks = nodes.where(F.col(VALUE).isNotNull() & F.col("weighted_degree").isNotNull()).select(average(VALUE).alias("v"), average("weighted_degree").alias("w"))
+    effects = {"nowruz_window": "nowruz", "official_holiday": "holiday", "wet_weather": "wet_weather"}
+    value = "adjusted_index_difference_points" if "adjusted_index_difference_points" in sets["context_effects"].columns else "mean_difference"
+    name = "context_factor" if "context_factor" in sets["context_effects"].columns else "factor"
+    side = sides.groupBy("approach").agg(F.avg(VALUE).alias("v"))
+    focus = F.col("site") == p.focus_site
+    at = lambda d, by, as_: placed(d.where(F.col(by).isNotNull()), by).agg(F.max(F.when(focus, F.col("place"))).alias(as_), F.count("*").alias(f"{as_}_of"))
+    more = [
+        sets["shock_recovery"].agg(F.corr("shock_change", "recovery_change").alias("shock_recovery_correlation")), ranks.agg(F.corr("v", "w").alias("volume_centrality_spearman")), peak_cell(sets["hour_week_heatmap"]),
+        sets["context_effects"].agg(*[F.max(F.when(F.col(name) == k, F.col(value))).alias(f"{v}_difference") for k, v in effects.items()]), at(nodes, VALUE, "focus_volume_place"), at(nodes, "weighted_degree", "focus_link_place"),
+        side.agg(F.max_by("approach", F.struct("v", "approach")).alias("focus_dominant_approach"), (F.sum(F.when(F.col("approach").isin("North", "South"), F.col("v"))) / F.sum("v")).alias("focus_corridor_share")),
+    ]
+    for m in more:
+        out = out.join(m)  # one row each
+    return out
+
+
+def run_summary(x: Inputs, settings: Settings = Settings()) -> DataFrame:
+    """One row about a run: its window, sites and readings, readings that are invalid (of all and of operational channels),
+    the months without sources, peak and low month, the largest falls and rises of paired months, the most linked site."""
+    panel = panels.trusted(x.monthly, settings.trusted_temporal_coverage, settings.trusted_detector_coverage)
+    paired, season = changes.summarized(changes.adjacent(panel)), panels.month_of_year(panels.common(panel, settings.baseline_year))
+    ok = F.col("operational") if "operational" in x.channels.columns else F.lit(True)
+    low, high = (lambda c, k: F.min_by(k, F.struct(c, k))), (lambda c, k: F.min_by(k, F.struct(-F.col(c), F.col(k))))
+    parts = [
+        x.monthly.agg(F.min("year_month").alias("first_month"), F.max("year_month").alias("last_month"), F.count_distinct("site").alias("sites"), F.count("*").alias("site_months")), panel.agg(F.count("*").alias("trusted_site_months")),
+        x.channels.agg(F.sum("observations").alias("readings"), F.sum("invalid").alias("invalid_readings"), (F.sum("invalid") / F.sum("observations")).alias("invalid_rate"), (F.sum(F.when(ok, F.col("invalid"))) / F.sum(F.when(ok, F.col("observations")))).alias("operational_invalid_rate")),
+        x.sources.agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "Missing", F.col("year_month")))), ", ").alias("missing_source_months")),
+        season.agg(high("month_median", "month").alias("peak_month"), low("month_median", "month").alias("low_month"), (F.max("month_median") / F.min("month_median") - 1).alias("peak_to_trough"), F.count("*").alias("panel_months")),
+        paired.agg(low("median_change", "year_month").alias("largest_fall_month"), F.min("median_change").alias("largest_fall"), high("median_change", "year_month").alias("largest_rise_month"), F.max("median_change").alias("largest_rise")),
+        x.nodes.agg(F.max_by("site", F.when(F.col("weighted_degree").isNotNull(), F.struct("weighted_degree", -F.col("site")))).alias("most_linked_site"), F.count("*").alias("graph_nodes")), x.edges.agg(F.count("*").alias("graph_edges")),
+    ]
+    out = parts[0]
+    for m in parts[1:]:
+        out = out.join(m)  # one row each
+    return out
+
+
+#: The explorer's sections and the charts in each.
+SECTIONS = {"city": ("monthly", "changes"), "patterns": ("weekly", "seasonality"), "sites": ("shock_recovery", "approaches", "groups"), "quality": ("coverage",)}
+
+
+def explorer(sets: dict[str, DataFrame]) -> DataFrame:
+    """The explorer's eight charts in long form: (section, chart, trace, x, y, label), x as text.
+
+    Series by month are on the spine of source months, so that a month without data is a row without a value and no line
+    bridges it. Months that are partly there give no value to a line either: they are traces of their own.
+    """
+    spine = sets["source_quality"].select("year_month", "status", "coverage" if "coverage" in sets["source_quality"].columns else F.lit(None).cast("double").alias("coverage"))
+    whole, part = F.col("status") == "Complete", F.col("status") == "Partial"
+    section = {c: s for s, charts in SECTIONS.items() for c in charts}
+
+    def chart(name: str, df: DataFrame, trace, x, y, label=None) -> DataFrame:
+        as_text = lambda c: (F.lit(None) if c is None else c).cast("string")
+        return df.select(F.lit(section[name]).alias("section"), F.lit(name).alias("chart"), as_text(trace).alias("trace"), as_text(x).alias("x"), y.cast("double").alias("y"), as_text(label).alias("label"))
+
+    at, one = F.concat("year_month", F.lit("-01")), F.lit("all")
+    city = spine.join(sets["city_monthly"].select("year_month", "median_volume", "sites"), "year_month", "left")
+    steps = spine.join(sets["paired_changes"].select("year_month", "median_change", "period_label"), "year_month", "left")
+    cells = sets["hour_week_heatmap"].select("weekday_name", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"h{h:02d}").alias("v")) for h in range(24)])).alias("c"))
+    sides = spine.join(sets["site_approaches"].select("year_month", "approach", VALUE, F.col("coverage").alias("detectors")), "year_month", "left")
+    names = sets["site_approaches"].select("approach").distinct()
+    every = spine.select("year_month", "status").join(names).join(sides.select("year_month", "approach", VALUE), ["year_month", "approach"], "left")  # months and four sides
+    charts = [
+        chart("monthly", city, one, at, F.when(whole, F.col("median_volume")), F.col("sites")), chart("changes", steps, one, at, F.col("median_change"), F.col("period_label")),
+        chart("weekly", cells, F.col("weekday_name"), F.col("c.h"), F.col("c.v")), chart("seasonality", sets["seasonality"], one, F.col("month_name"), F.col("month_median"), F.col("common_panel_sites")),
+        chart("shock_recovery", sets["shock_recovery"], F.col("site"), F.col("shock_change"), F.col("recovery_change"), F.col("label")), chart("approaches", every, F.col("approach"), at, F.when(whole, F.col(VALUE))),
+        chart("approaches", every.where(part), F.concat("approach", F.lit(" · partial month")), at, F.col(VALUE)), chart("groups", sets["community_nodes"], F.col("site"), F.col(VALUE), F.col("weighted_degree"), F.col("label")),
+        chart("coverage", spine, F.col("status"), at, F.coalesce("coverage", F.lit(0.0))),
+    ]
+    return reduce(DataFrame.unionByName, charts)
+
+
+def explorer_payload(sets: dict[str, DataFrame], most: int = 20_000) -> str:
+    """The explorer as one JSON text: sections, charts by trace in order of x, and the sizes of the result sets."""
+    rows = explorer(sets).orderBy("chart", "trace", F.col("x").try_cast("double"), "x").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} points")
+    charts: dict = {c: {"section": s, "traces": {}} for s, names in SECTIONS.items() for c in names}
+    for r in rows:
+        t = charts[r.chart]["traces"].setdefault(r.trace, {"x": [], "y": [], "label": []})
+        for k in t:
+            t[k].append(r[k])
+    out = {"sections": [{"id": s, "charts": list(c)} for s, c in SECTIONS.items()], "charts": charts, "datasets": [{"id": n, "count": d.count()} for n, d in sets.items()]}
+    return json.dumps(out, ensure_ascii=False, allow_nan=False).replace("<", "\\u003c")
+
+
 def checks(x: Inputs, settings: Settings = Settings(), p: Periods = Periods(), least: tuple[int, int, int] = (30, 30, 25)) -> DataFrame:
     """One row: repeated keys, pairs of each named change, and `passed`, which needs no repeats and `least` pairs of each."""
     panel = panels.trusted(x.monthly, settings.trusted_temporal_coverage, settings.trusted_detector_coverage)

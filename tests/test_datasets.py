@@ -75,3 +75,29 @@ def test_empty(inputs):
     none = replace(inputs, **{f.name: getattr(inputs, f.name).limit(0) for f in fields(inputs)})
     got = json.loads(datasets.artifact(datasets.datasets(none)))["datasets"]
     assert len(got["headline"]) == 1 and got["headline"][0]["map_coverage"] is None and got["site_summary"] == [] and len(got["hour_week_heatmap"]) == 7
+
+
+def test_insights_and_explorer(inputs, spark):
+    sets = datasets.datasets(inputs)
+    i = datasets.insights(sets, datasets.Periods(focus_site=2)).first()
+    assert (i.sites_declining, i.shock_change_sites, i.peak_weekday, i.peak_hour, i.peak_mean_volume) == (2, 2, 0, 8, 7.5)
+    assert (i.focus_volume_place, i.focus_volume_place_of, i.focus_link_place) == (2, 3, 2)
+    s = datasets.run_summary(inputs).first()
+    assert (s.first_month, s.last_month, s.missing_source_months, s.graph_edges, s.invalid_rate, s.sites) == ("2018-10", "2021-01", "2020-11", 1, 0.25, 3)
+    assert s.largest_fall_month == "2020-03" and s.most_linked_site == 1
+    payload = json.loads(datasets.explorer_payload(sets))
+    assert len(payload["charts"]) == 8 and sorted(c for x in payload["sections"] for c in x["charts"]) == sorted(payload["charts"])
+    assert {d["id"]: d["count"] for d in payload["datasets"]} == {n: d.count() for n, d in sets.items()}
+    line = payload["charts"]["monthly"]["traces"]["all"]
+    city = dict(zip((x[:7] for x in line["x"]), line["y"]))
+    assert len(city) == 28 and city["2020-11"] is None and city["2020-12"] is None and city["2020-01"] is not None
+    pairs = payload["charts"]["shock_recovery"]["traces"]
+    assert {(float(x), y) for t in pairs.values() for x, y in zip(t["x"], t["y"])} == {(r.shock_change, r.recovery_change) for r in sets["shock_recovery"].collect()}
+    focus = datasets.datasets(inputs, p=datasets.Periods(focus_site=1))
+    sides = json.loads(datasets.explorer_payload(focus))["charts"]["approaches"]["traces"]
+    assert {t for t in sides if "partial" not in t} == {"South", "West", "North", "East"} and sum("partial" in t for t in sides) == 4
+    for t, trace in sides.items():
+        values = dict(zip((x[:7] for x in trace["x"]), trace["y"]))
+        assert set(values) == {"2020-12"} if "partial" in t else values["2020-12"] is None is values["2020-11"]
+    found = datasets.map_sites(sets["site_summary"].select("site"), spark.createDataFrame([(1, 1.0, 1.0, "low", "direct_name"), (2, 1.0, 1.0, "medium", "street_pair"), (3, 1.0, 1.0, "high", "street_pair")], "site long, lat double, lon double, confidence string, method string"))
+    assert {r.site: r.reliable for r in found.collect()} == {1: True, 2: False, 3: True, 4: False}
