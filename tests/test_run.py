@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import json
 import zipfile
 
 from flowtally import __main__ as cli
@@ -30,11 +31,38 @@ def test_command_line(spark, tmp_path, monkeypatch):
     n = {r.site: r for r in spark.read.parquet(f"{out}/tables/graph_nodes").collect()}
     assert n[1].community == n[2].community != n[3].community and n[1].dtw_cluster == n[2].dtw_cluster != n[3].dtw_cluster and n[3].degree == 0
     assert spark.read.parquet(f"{out}/channel_quality").where("site = 1 AND channel = 2").first().invalid == 60
+    audit = spark.read.parquet(f"{out}/tables/source_quality").first()
+    assert (audit.source_file, audit.source_month, audit.expected, audit.timestamps, audit.records, audit.normalized_records) == ("Jan2019.txt", "2019-01", 96 * 31, 96 * 31 + 1, 3 * (96 * 31 + 1), 3 * (96 * 31 + 1))
+    assert spark.read.parquet(f"{out}/source_files").first().sha256 and {r.site: r.records for r in spark.read.parquet(f"{out}/inventory").collect()} == dict.fromkeys((1, 2, 3), 96 * 31 + 1)
+    got = json.loads("".join(r.value for r in spark.read.text(f"{out}/report/report.json").collect()))["datasets"]
+    assert len(got) == 20 and got["headline"][0]["trusted_site_months"] == 3 and [r["source_status"] for r in got["city_monthly"]] == ["Complete"]
+    assert spark.read.parquet(f"{out}/report/summary").first().operational_invalid_rate > 0 and spark.read.parquet(f"{out}/tables/graph_metadata").first().nodes == 3
     before = spark.read.parquet(f"{out}/fact").count()
     cli.main(["ingest", "--raw", str(raw), "--detectors", str(detectors), "--out", out])
     assert spark.read.parquet(f"{out}/fact").count() == before == 3 * (96 * 31 + 1)
 
 
+def test_metadata_to_ingest(spark, tmp_path, monkeypatch):
+    """From logs, boxes and overrides alone: ingest takes the detectors that metadata wrote."""
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    (raw / "May2020.txt").write_text("".join(f"Friday 01 May 2020 {q // 4:02d}:{q % 4 * 15:02d}\nInt 5 1=4 2=6 3=8\nInt 6 7=9\n" for q in range(96)) + "Friday 01 May 2020 23:59\nInt 6 7=9\n" * 10)
+    (tmp_path / "boxes.csv").write_text("site,x,y\n5,690,600\n5,690,610\n5,100,347\n8,690,600\n")
+    (tmp_path / "own.csv").write_text("site,channel,approach,verification,source_note\n6,7,east,manual,seen on site\n")
+    settings = tmp_path / "settings.json"
+    settings.write_text('{"operational_readings": 50}')
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    common = ["--raw", str(raw), "--out", out, "--settings", str(settings)]
+    cli.main(["metadata", *common, "--boxes", str(tmp_path / "boxes.csv"), "--overrides", str(tmp_path / "own.csv")])
+    d = {(r.site, r.channel): r for r in spark.read.parquet(f"{out}/detectors").collect()}
+    assert {k: r.approach for k, r in d.items()} == {(5, 1): "south", (5, 2): "south", (5, 3): "west", (6, 7): "east"}
+    assert (d[6, 7].verification, d[6, 7].source_note, d[5, 1].verification) == ("manual", "seen on site", "diagram")
+    assert {r.site: (r.has_raw_data, r.has_registry_name, r.has_diagram) for r in spark.read.parquet(f"{out}/inventory").collect()} == {5: (True, False, True), 6: (True, False, False), 8: (False, False, True)}
+    cli.main(["ingest", *common])
+    f = {r.site_id: r for r in spark.read.parquet(f"{out}/fact").where("hour(ts) = 3").collect()}
+    assert (f[5].volume_normalized, f[5].south_volume, f[5].west_volume, f[6].east_volume) == (18.0, 10.0, 8.0, 9.0)
+
+
 def test_workbook(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
