@@ -442,7 +442,11 @@ def fitted(pages: int = FIT_PAGES, epochs: int = FIT_EPOCHS, seed: int = SEED) -
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `text`, its main blocks joined by newlines ('' if none), and `n_chars`, its code points; columns of those
-    names and the markup are replaced or dropped, others pass through. Null markup is empty."""
+    names and the markup are replaced or dropped, others pass through.
+
+    Null and empty markup have no text, and what isn't markup is one block. Pages that repeat are read one by one. Very long
+    pages are read and labelled whole, in a batch of their own. No rows give none. The labeller is fitted when it is first
+    used in a driver, on pages that it makes up (a bounded number), and sent to the executors."""
     names = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     held = pages.sparkSession.sparkContext.broadcast(fitted().p)
 
@@ -463,4 +467,5 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of pages: its id, url, main text ('' if none) and the text's code points."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))

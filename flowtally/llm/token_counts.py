@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
 
     One file per partition of docs, as rows (file, block, payload, ids): documents cross block borders freely. ids
     holds the doc_id of the documents that end in the block, in order; it is kept apart from the flat file and only
-    tells afterwards whose counts they are. A null text is an empty document. Every text is tokenised whole.
+    tells afterwards whose counts they are. A null text is an empty document. Every text is tokenised whole. The driver
+    sends the vocabulary's file to the executors, which need not see its path.
     """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    own = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        enc, name = encoder(vocabulary), uuid.uuid4().hex
+        enc, name = encoder(SparkFiles.get(own)), uuid.uuid4().hex
         held, ids, size, no = [], [], 0, 0
 
         def out(last: bool):
@@ -133,7 +138,11 @@ def scan(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataFrame:
 
 
 def document_tokens(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_tokens) of every row: packed into flat files in the shared folder, then counted by scan()."""
+    """(doc_id, n_tokens) of every row: packed into flat files in the shared folder, then counted by scan().
+
+    A null or empty text has 0 tokens. Rows that repeat an id, and rows without one, have a row each. Very long texts run
+    over as many blocks as they fill. No rows give none; other columns are ignored.
+    """
     packed, _ = common.write_table(pack(docs, **how), "tokens", "zstd")
     counts = scan(packed)
     by = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,4 +156,5 @@ def document_tokens(docs: DataFrame, **how) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of documents: the tokens of its whole text (null: none)."""
     return document_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
