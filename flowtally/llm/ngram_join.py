@@ -236,17 +236,21 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     m = met.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"]).where(fits & once & enough).select(F.greatest("id1", "id2").alias("x"), F.least("id1", "id2").alias("y")).distinct()
     m, at_met = common.write_table(m, "met")
     common.drop_table(spark, at_per)
-    whole = source.mapInArrow(by_document, "id long, n long, level int, live array<long>, places array<long>")
+    whole, at_whole = common.write_table(source.mapInArrow(by_document, "id long, n long, level int, live array<long>, places array<long>"), "live")
     of = lambda v, j: whole.select(F.col("id").alias(v), *[F.col(w).alias(f"{w}{j}") for w in ("n", "level", "live", "places")])
+    by_x, by_y = common.hot_keys(m, ["x"]), common.hot_keys(m, ["y"])
+    m = common.dealt(common.dealt(m, by_x, ["x"], "px", ["y"]), by_y, ["y"], "py", ["x"])
     shared = F.array_intersect("live1", "live2")
     left = lambda j: F.col(f"n{j}") - F.element_at(f"places{j}", F.array_position(f"live{j}", F.element_at("shared", -1)).cast("int"))
     need = F.when(F.expr("n1 >= n2"), F.col("level1")).otherwise(F.col("level2"))
-    got = m.join(of("x", 1), "x").join(of("y", 2), "y").withColumn("shared", shared).where(F.size("shared") >= need)
+    both = m.join(common.repeated(of("x", 1), by_x, ["x"], "px"), ["x", "px"]).join(common.repeated(of("y", 2), by_y, ["y"], "py"), ["y", "py"])
+    got = both.withColumn("shared", shared).where(F.size("shared") >= need)
     got = got.where((100 + percent) * (F.size("shared") - 1 + F.least(left(1), left(2))) >= percent * (F.col("n1") + F.col("n2"))).select("x", "y")
     out, _ = common.write_table(got.distinct(), "candidates")
     common.drop_table(spark, at_spread)
     common.drop_table(spark, at_rows)
     common.drop_table(spark, at_met)
+    common.drop_table(spark, at_whole)
     return out
 
 
