@@ -133,7 +133,7 @@ def add_context(spark: SparkSession, weather: str, policy: str, holidays: str, e
 
 def report(spark: SparkSession, out: str, s: Settings, periods: Periods = Periods()) -> None:
     """The report's result sets, their checks, insights, the run's summary and the explorer, of what is under {out}; all as
-    {out}/report/*, the texts report.json and explorer.json too. Steps that were left out leave their sets empty."""
+    {out}/report/*, with the texts report.json, about.json and explorer.json. Steps that were left out leave their sets empty."""
 
     def of(name: str, schema: str, **renamed: str) -> DataFrame:
         path = f"{out}/{name}"
@@ -148,12 +148,11 @@ def report(spark: SparkSession, out: str, s: Settings, periods: Periods = Period
     factors = of("tables/context_associations", "factor string, adjusted_index_difference_points double", context_factor="factor")
     x = datasets.Inputs(tables_["site_monthly"], named, days, tables_["hour_of_week"], tables_["approach_monthly"], tables_["graph_nodes"], tables_["graph_edges"], tables_["source_months"], factors, located.drop("method"), of("channel_quality", "observations long, invalid long, operational boolean"))
     sets = {n: _put(d, f"{out}/report/{n}") for n, d in datasets.datasets(x, s, periods).items()}
-    _put(datasets.checks(x, s, periods), f"{out}/report/checks")
-    _put(datasets.insights(sets, periods), f"{out}/report/insights")
-    _put(datasets.run_summary(x, s), f"{out}/report/summary")
+    about = {"checks": datasets.checks(x, s, periods), "insights": datasets.insights(sets, periods), "summary": datasets.run_summary(x, s)}
+    about = {n: _put(d, f"{out}/report/{n}") for n, d in about.items()}
     _put(datasets.explorer(sets), f"{out}/report/explorer")
     _put(datasets.map_sites(sets["site_summary"], located), f"{out}/report/map_sites")
-    for name, text in (("report", datasets.artifact(sets)), ("explorer", datasets.explorer_payload(sets))):
+    for name, text in (("report", datasets.artifact(sets)), ("about", datasets.artifact(about)), ("explorer", datasets.explorer_payload(sets))):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report/{name}.json")
 
 

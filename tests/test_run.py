@@ -36,6 +36,8 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{out}/source_files").first().sha256 and {r.site: r.records for r in spark.read.parquet(f"{out}/inventory").collect()} == dict.fromkeys((1, 2, 3), 96 * 31 + 1)
     got = json.loads("".join(r.value for r in spark.read.text(f"{out}/report/report.json").collect()))["datasets"]
     assert len(got) == 20 and got["headline"][0]["trusted_site_months"] == 3 and [r["source_status"] for r in got["city_monthly"]] == ["Complete"]
+    about = json.loads("".join(r.value for r in spark.read.text(f"{out}/report/about.json").collect()))["datasets"]
+    assert {k: len(v) for k, v in about.items()} == {"checks": 1, "insights": 1, "summary": 1} and about["summary"][0]["site_months"] == 3
     assert spark.read.parquet(f"{out}/report/summary").first().operational_invalid_rate > 0 and spark.read.parquet(f"{out}/tables/graph_metadata").first().nodes == 3
     before = spark.read.parquet(f"{out}/fact").count()
     cli.main(["ingest", "--raw", str(raw), "--detectors", str(detectors), "--out", out])
