@@ -234,7 +234,7 @@ def explorer(sets: dict[str, DataFrame]) -> DataFrame:
         chart("monthly", city, one, at, F.when(whole, F.col("median_volume")), F.col("sites")), chart("changes", steps, one, at, F.col("median_change"), F.col("period_label")),
         chart("weekly", cells, F.col("weekday_name"), F.col("c.h"), F.col("c.v")), chart("seasonality", sets["seasonality"], one, F.col("month_name"), F.col("month_median"), F.col("common_panel_sites")),
         chart("shock_recovery", sets["shock_recovery"], F.col("site"), F.col("shock_change"), F.col("recovery_change"), F.col("label")), chart("approaches", every, F.col("approach"), at, F.when(whole, F.col(VALUE))),
-        chart("approaches", every.where(part), F.concat("approach", F.lit(" · partial month")), at, F.col(VALUE)), chart("groups", sets["community_nodes"], F.col("site"), F.col(VALUE), F.col("weighted_degree"), F.col("label")),
+        chart("approaches", every.where(part), F.concat("approach", F.lit(" (partial)")), at, F.col(VALUE)), chart("groups", sets["community_nodes"], F.col("site"), F.col(VALUE), F.col("weighted_degree"), F.col("label")),
         chart("coverage", spine, F.col("status"), at, F.coalesce("coverage", F.lit(0.0))),
     ]
     return reduce(DataFrame.unionByName, charts)
