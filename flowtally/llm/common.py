@@ -45,8 +45,6 @@ def write_table(df: DataFrame, name: str, compression: str = "snappy") -> tuple[
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowtally/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_at_exit)
     _written[path] = spark
     # What the write shuffled is deleted with its end: the plan is not run again, its result is reread.
     before = spark.conf.get(CLEANUP, "false")
@@ -77,14 +75,13 @@ def dropping(*keep: str) -> Iterator[list[str]]:
 
 
 def drop_written() -> None:
-    """Delete every table that operators have written so far: for when all results are elsewhere."""
+    """Delete every table that sessions which still run have written so far: for when all results are elsewhere."""
     for path, spark in list(_written.items()):
-        drop_table(spark, path)
+        if spark.sparkContext._jsc is not None:
+            drop_table(spark, path)
 
 
-def _at_exit() -> None:
-    if any(s.sparkContext._jsc is not None for s in _written.values()):
-        drop_written()
+atexit.register(drop_written)
 
 
 def free_names(columns: list[str], *names: str) -> list[str]:
