@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables of write_table() that were not dropped yet, by path.
 _written: dict[str, SparkSession] = {}
 
+#: Paths that the innermost dropping() of this thread has seen written.
+_scope: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
@@ -46,6 +50,8 @@ def write_table(df: DataFrame, name: str, compression: str = "snappy") -> tuple[
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowtally/{name}-{uuid.uuid4().hex}"
     _written[path] = spark
+    if (mine := _scope.get()) is not None:
+        mine.append(path)
     # What the write shuffled is deleted with its end: the plan is not run again, its result is reread.
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -66,12 +72,20 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def dropping(*keep: str) -> Iterator[list[str]]:
-    """On leaving without an error, delete the tables written inside, but those whose paths are in the list that it gives."""
-    before, kept = set(_written), list(keep)
-    yield kept
-    for path, spark in list(_written.items()):
-        if path not in before and path not in kept:
-            drop_table(spark, path)
+    """On leaving, also by an error, delete the tables that this thread has written inside, but those whose paths are in the
+    list that it gives; these count as written where dropping() was entered."""
+    mine, kept = [], list(keep)
+    before = _scope.set(mine)
+    try:
+        yield kept
+    finally:
+        _scope.reset(before)
+        outer = _scope.get()
+        for path in mine:
+            if path not in kept and path in _written:
+                drop_table(_written[path], path)
+            elif path in kept and outer is not None:
+                outer.append(path)
 
 
 def drop_written() -> None:
