@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, mixing, ngram_join, pii, quality, spotsigs, substring_dedup, token_counts, url_filter
+from . import decontamination, fill_in_middle, html_text, mixing, ngram_join, pii, quality, spotsigs, substring_dedup, token_counts, topk_search, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontamination.op10_decontaminate,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_topk_search": topk_search.op12_topk_search,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLE_SQL = {"op5_mix_sources": mixing.OP5_SQL, "op6_url_filter": url_filter.OP6_SQL}
+ORACLE_SQL = {"op5_mix_sources": mixing.OP5_SQL, "op6_url_filter": url_filter.OP6_SQL, "op11_fill_in_middle": fill_in_middle.OP11_SQL, "op12_topk_search": topk_search.OP12_SQL}
