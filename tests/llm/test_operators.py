@@ -213,7 +213,30 @@ def test_mixing_comes_near(spark, tmp_path):
         assert x.taken <= 2 * x["size"]
         taken[x.source_size, x.target] += x.taken
     off = sorted(abs(v - goal) / goal for (_, goal), v in taken.items())
-    assert off[-1] < 0.12 and off[int(0.8 * len(off))] < 0.02, off
+    # Independent draws have a median of 0.05 here; a source that one long document makes up may miss by more.
+    assert off[len(off) // 2] < 0.02 and off[int(0.8 * len(off))] < 0.08, off
+
+
+def test_mixing_draws_with_the_fraction(spark):
+    """Over many offsets every document, long or short, alone in its size or not, has one more copy as often as the fraction says."""
+    sizes = [500, 40, 40, 40, 7, 3, 1, 0]
+    rows_ = [(1000 * s + i, f"s{s:04d}", "w " * z) for s in range(3000) for i, z in enumerate(sizes)]
+    d = mixing.mix_plan(spark.createDataFrame(rows_, "doc_id long, source string, text string"), weights=(1,), percent=130)
+    got = d.groupBy(F.expr("doc_id % 1000").alias("i")).agg(F.avg("copies").alias("mean"), F.min("copies").alias("low"), F.max("copies").alias("high"), F.avg("rate").alias("rate")).collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        assert abs(r.rate - 1.3) < 1e-9 and (r.low, r.high) == (1, 2)
+        assert abs(r["mean"] - 1.3) < 4 * (0.3 * 0.7 / 3000) ** 0.5, r
+
+
+def test_mixing_hot_size(spark, monkeypatch):
+    """A size that a third of the documents have is split where the sizes are too many to be broadcast: same rows."""
+    monkeypatch.setattr(common, "FEW_ROWS", 10)
+    rows_ = [(i, f"s{i % 3}" if i % 4 else None, "w " * (9 if i % 3 == 0 else i)) for i in range(600)]
+    t = spark.createDataFrame(rows_, "doc_id long, source string, text string").withColumn("share", F.lit(1)).withColumn("m", F.lit("m"))
+    one = sorted(map(str, mixing.mix_plan(t).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, mixing.mix_plan(t).collect())) == one and len(one) == 600
 
 
 def test_url_filter(spark):
