@@ -6,6 +6,7 @@ import html as html_lib
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -20,7 +21,9 @@ from . import textnum
 PATH_DIMS, WORD_DIMS, MORE_DIMS, HIDDEN = 192, 32, 9, 16
 FIT_PAGES, FIT_EPOCHS, SEED = 2000, 12, 11
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAMED = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_CLOSED = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
@@ -34,58 +37,150 @@ _UP_TO = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "td":
 _LIKE = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
 
 
+class Level:
+    """One open tag of a path: its label (tag, then words of class, id and role), the level around it, and how deep it is."""
+
+    __slots__ = ("label", "up", "depth")
+
+    def __init__(self, label: str, up: Level | None) -> None:
+        self.label, self.up, self.depth = label, up, up.depth + 1 if up else 1
+
+    @staticmethod
+    def of(labels: tuple[str, ...]) -> Level | None:
+        at = None
+        for x in labels:
+            at = Level(x, at)
+        return at
+
+
 @dataclass
 class Block:
-    """A leaf: its text (references decoded, white space collapsed), tag path, and the characters that are links."""
+    """A leaf: its text (references decoded, white space collapsed), tag path (the innermost level, or labels from the root), and
+    the characters that are links."""
 
     text: str
-    path: tuple[str, ...]
+    path: Level | tuple[str, ...] | None
     linked: int
 
 
+class Tags:
+    """The tags of a page from left to right, each in time that its own length takes, whatever is left open."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.marks: list[int] | None = None
+        self.ends: list[int] = []
+
+    def _end(self, at: int) -> int:
+        """Where the first > outside of quotes is; -1 if there is none. Once that has failed, it's looked up for all places."""
+        if self.marks is None:
+            m = _CLOSED.match(self.page, at)
+            if m:
+                return m.end() - 1
+            self.marks = [m.start() for m in _SPECIAL.finditer(self.page)]
+            self.ends = [-1] * (len(self.marks) + 1)
+            quote = {'"': len(self.marks), "'": len(self.marks)}  # the next of its kind
+            for k in range(len(self.marks) - 1, -1, -1):
+                c = self.page[self.marks[k]]
+                if c == ">":
+                    self.ends[k] = self.marks[k]
+                else:
+                    self.ends[k] = self.ends[quote[c] + 1] if quote[c] < len(self.marks) else -1
+                    quote[c] = k
+        return self.ends[bisect_left(self.marks, at)]
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        start = page.find("<", at)
+        while start >= 0:
+            if start > self.last:  # nothing is closed any more; a comment goes to the end
+                start = page.find("<!--", start)
+                return (start, len(page), "", False, "") if start >= 0 else None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            m = _NAMED.match(page, start)
+            if m:
+                end = self._end(m.end())
+                end = page.find(">", m.end()) if end < 0 else end
+                return start, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+            if page[start + 1] in "!?":
+                return start, page.find(">", start + 2) + 1, "", False, ""
+            start = page.find("<", start + 1)
+        return None
+
+
+class Stack:
+    """Open tags, with the places of each name, so that the nearest one of a name is found at once."""
+
+    def __init__(self) -> None:
+        self.levels: list[Level] = []
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.skip = 0
+
+    def push(self, name: str, label: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.levels.append(Level(label, self.top()))
+        self.skip += name in SKIPPED
+
+    def top(self) -> Level | None:
+        return self.levels[-1] if self.levels else None
+
+    def nearest(self, names: tuple[str, ...]) -> int:
+        """The highest place of any of the names; -1 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, place: int) -> None:
+        while len(self.names) > place >= 0:
+            name = self.names.pop()
+            self.levels.pop()
+            self.places[name].pop()
+            self.skip -= name in SKIPPED
+
+    def close_within(self, names: tuple[str, ...], limits: tuple[str, ...]) -> None:
+        """Close up to the nearest of the names, unless one of the limits is nearer."""
+        place = self.nearest(names)
+        if place > self.nearest(limits):
+            self.close(place)
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. Unclosed and crossing tags are taken as browsers take them, as far as blocks go."""
+    """Leaf blocks in page order. Unclosed and crossing tags are taken as browsers take them, as far as blocks go. Time and memory
+    are in proportion to the page's length: a path is a chain of levels that blocks share."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    tags, stack = Tags(page), Stack()
     parts: list[str] = []
     links = [0, 0]  # open <a>, raw characters in them
-    skip = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text and not skip:
-                out.append(Block(text, tuple(x[1] for x in stack), links[1]))
+            if text and not stack.skip:
+                out.append(Block(text, stack.top(), links[1]))
             parts.clear()
         links[1] = 0
 
-    def close(k: int) -> None:
-        nonlocal skip
-        for name, _ in stack[k:]:
-            skip -= name in SKIPPED
-        del stack[k:]
-
     at, n = 0, len(page)
     lower = None
-    for m in iter(lambda: _TAG.search(page, at), None):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    while tag := tags.after(at):
+        start, end, name, closes, attributes = tag
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if links[0]:
                 links[1] += len(piece)
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        at = end
         if not name:
             continue
-        if m[1] or m[4]:
+        if closes:
             if name == "a":
                 links[0] = max(0, links[0] - 1)
             elif name in BLOCK or name in SKIPPED:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
+                stack.close(stack.nearest((name,)))
             continue
         if name in RAW:
             lower = page.lower() if lower is None else lower
@@ -102,44 +197,92 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCK or name in SKIPPED:
             flush()
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in ("table", "button"):
-                        break
+                stack.close_within(("p",), ("table", "button"))
             if name in _UP_TO:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _LIKE.get(name, (name,)):
-                        close(k)
-                        break
-                    if stack[k][0] in _UP_TO[name]:
-                        break
-            if name == "body":
-                for k in range(len(stack)):
-                    if stack[k][0] == "head":
-                        close(k)
-                        break
-            if name not in VOID and not (m[3] or m[6] or "").endswith("/"):
-                named = [a or b or c for a, b, c in _ATTR.findall(m[3] or m[6] or "")]
-                skip += name in SKIPPED
-                stack.append((name, " ".join([name, *dict.fromkeys(t.lower() for x in named for t in _NAME.findall(x))])))
+                stack.close_within(_LIKE.get(name, (name,)), _UP_TO[name])
+            if name == "body" and stack.places.get("head"):
+                stack.close(stack.places["head"][0])
+            if name not in VOID and not attributes.endswith("/"):
+                named = [a or b or c for a, b, c in _ATTR.findall(attributes)]
+                stack.push(name, " ".join([name, *dict.fromkeys(t.lower() for x in named for t in _NAME.findall(x))]))
     if at < n:
         parts.append(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tags and class or id words of a path; the nearer to the leaf, the heavier. The leaf's tag counts by itself."""
+#: How the weight of a level falls with its distance from the leaf, and what it doesn't fall below.
+FALL, FLOOR = 0.85, 0.35
+#: Levels that weigh more than FLOOR.
+NEAR = 7
+
+
+@lru_cache(maxsize=1 << 14)
+def _hashed(text: str) -> tuple[int, int]:
+    h = zlib.crc32(text.encode())
+    return h % PATH_DIMS, 1 if h >> 16 & 1 else -1
+
+
+def _marks(label: str) -> list[tuple[int, int]]:
+    """Place and sign of a level's tag and of its words."""
+    tag, *names = label.split(" ")
+    return [_hashed(f"<{tag}>"), *map(_hashed, names)]
+
+
+@lru_cache(maxsize=1 << 14)
+def _near(labels: tuple[str, ...]) -> np.ndarray:
+    """What the levels nearest to a leaf, the innermost first, weigh over FLOOR; the leaf's tag counts by itself."""
     v = np.zeros(PATH_DIMS, np.float32)
-    for d, level in enumerate(reversed(path)):
-        tag, *names = level.split(" ")
-        for t in (f"<{tag}>", *names, *([f"leaf <{tag}>"] if not d else [])):
-            h = zlib.crc32(t.encode())
-            v[h % PATH_DIMS] += (1 if h >> 16 & 1 else -1) * max(0.35, 0.85**d)
-    return np.clip(v, -2, 2)
+    for d, label in enumerate(labels):
+        for k, sign in _marks(label):
+            v[k] += sign * (max(FLOOR, FALL**d) - FLOOR)
+    if labels:
+        k, sign = _hashed(f"leaf <{labels[0].split(' ')[0]}>")
+        v[k] += sign
+    return v
+
+
+@lru_cache(maxsize=1 << 14)
+def _whole(labels: tuple[str, ...]) -> np.ndarray:
+    """The vector of a path of up to NEAR levels."""
+    sums = np.zeros(PATH_DIMS, np.float32)
+    for label in labels:
+        for k, sign in _marks(label):
+            sums[k] += sign
+    return np.clip(_near(labels) + np.float32(FLOOR) * sums, -2, 2)
+
+
+class Paths:
+    """Vectors of paths one after the other: the sum over all levels is kept, and only levels that open or close change it."""
+
+    def __init__(self) -> None:
+        self.at: Level | None = None
+        self.sums = np.zeros(PATH_DIMS, np.float32)  # of whole numbers
+
+    def _add(self, level: Level, times: int) -> None:
+        for k, sign in _marks(level.label):
+            self.sums[k] += times * sign
+
+    def vector(self, path: Level | None) -> np.ndarray:
+        """Hashed tags and class or id words of a path; the nearer to the leaf, the heavier."""
+        near, x = [], path
+        while x is not None and len(near) < NEAR:
+            near.append(x.label)
+            x = x.up
+        if x is None:
+            return _whole(tuple(near))
+        here, there, opened = self.at, path, []
+        while here is not there:
+            if there is None or (here is not None and here.depth >= there.depth):
+                self._add(here, -1)
+                here = here.up
+            else:
+                opened.append(there)
+                there = there.up
+        for x in opened:
+            self._add(x, 1)
+        self.at = path
+        return np.clip(_near(tuple(near)) + np.float32(FLOOR) * self.sums, -2, 2)
 
 
 def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
@@ -152,10 +295,12 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
         w = np.bincount((row - lo) * WORD_DIMS + (h % np.uint64(WORD_DIMS)).astype(np.int64), sign, (hi - lo) * WORD_DIMS).reshape(hi - lo, WORD_DIMS)
         x[lo:hi, PATH_DIMS : PATH_DIMS + WORD_DIMS] = w / np.sqrt(np.maximum(counts, 1))[:, None]
         x[lo:hi, -1] = np.log1p(counts) / 5
+    paths = Paths()
     for i, b in enumerate(every):
         t, n = b.text, len(b.text)
-        x[i, :PATH_DIMS] = path_vector(b.path)
-        x[i, -9:-1] = (np.log1p(n) / 7, min(1.0, b.linked / n), (t.count(".") + t.count(",")) / n * 10, t.count("|") / n * 10, t[-1] in ".!?…", "©" in t, len(b.path) / 10, sum(map(str.isdigit, t)) / n)
+        path = Level.of(b.path) if isinstance(b.path, tuple) else b.path
+        x[i, :PATH_DIMS] = paths.vector(path)
+        x[i, -9:-1] = (np.log1p(n) / 7, min(1.0, b.linked / n), (t.count(".") + t.count(",")) / n * 10, t.count("|") / n * 10, t[-1] in ".!?…", "©" in t, (path.depth if path else 0) / 10, sum(map(str.isdigit, t)) / n)
     cuts = np.cumsum([len(p) for p in pages])[:-1]
     return np.split(x, cuts)
 
@@ -199,8 +344,8 @@ class Labeller:
         return out, tape
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        s = np.concatenate([self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0], x], 2)
-        return s @ self.p["o"] + self.p["ob"]
+        o = self.p["o"]
+        return self._run(x, mask, "f", False)[0] @ o[:HIDDEN] + self._run(x, mask, "b", False)[0] @ o[HIDDEN : 2 * HIDDEN] + x @ o[2 * HIDDEN :] + self.p["ob"]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss over the blocks, by backpropagation through time."""
@@ -467,5 +612,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per row of pages: its id, url, main text ('' if none) and the text's code points."""
+    """One row per row of pages: its id, url, main text ('' if none) and the text's code points.
+
+    Null, empty and broken markup, repeats and long pages as in extract(); no pages give no rows."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
