@@ -16,18 +16,24 @@ def session(master: str | None = None, app: str = "flowtally", **conf: str) -> S
     return b.getOrCreate()
 
 
-def lineage_cut(df: DataFrame) -> DataFrame:
-    """df computed and checkpointed in the folder of spark.checkpoint.dir, which driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where that is unset and all runs in one process (master local[...]), as in tests, a folder of its own is taken.
+    Where that is unset and all runs in one process (master local[...]), as in tests, a folder of its own is set.
     """
-    spark = df.sparkSession
     sc, key = spark.sparkContext, "spark.checkpoint.dir"
+    found = spark.conf.get(key, None) or sc.getConf().get(key)
+    if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"{key} is not set")
+        found = "file://" + tempfile.mkdtemp(prefix="flowtally-")
+        spark.conf.set(key, found)
+    return found.rstrip("/")
+
+
+def lineage_cut(df: DataFrame) -> DataFrame:
+    """df computed and checkpointed in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = spark.conf.get(key, None) or sc.getConf().get(key)
-        if not found:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise ValueError(f"{key} is not set")
-            found = "file://" + tempfile.mkdtemp(prefix="flowtally-")
-        sc.setCheckpointDir(found)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
