@@ -1,6 +1,7 @@
-"""Command line: python -m flowtally metadata|geocode|ingest|analyze|context|report|all --out DIR, and the inputs of each step.
+"""Command line: python -m flowtally metadata|geocode|ingest|follow|analyze|context|report|all --out DIR, and the inputs of each step.
 
-metadata: --raw [--registry --boxes --overrides]; geocode: --candidates [--sites]; ingest: --raw [--detectors --force];
+metadata: --raw [--registry --diagrams --boxes --overrides]; geocode: --candidates [--sites]; ingest: --raw [--detectors
+--force]; follow: as ingest, but files that came, changed or went since the last time replace their months (not in `all`);
 analyze: what ingest wrote; context: --weather --policy --holidays --events, and what analyze wrote if it is there;
 report: what the others wrote. What an input leaves out is taken from earlier steps. all: those steps whose inputs are given.
 """
@@ -17,12 +18,8 @@ from .functions import scalars as S
 from .operators import changes, context, detectors, external, graph, normalize, panels, profiles, quality, shape
 from .plans import datasets
 from .session import lineage_cut, session
-from .sources import records, tables, workbook
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+from .sources import diagrams, records, tables, workbook
+from .streaming import ingest as incremental
 
 
 def _put(df: DataFrame, path: str) -> DataFrame:
@@ -30,10 +27,11 @@ def _put(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def metadata(spark: SparkSession, raw: str, out: str, s: Settings, registry: str | None = None, boxes: str | None = None, overrides: str | None = None) -> None:
+def metadata(spark: SparkSession, raw: str, out: str, s: Settings, registry: str | None = None, boxes: str | None = None, overrides: str | None = None, drawings: str | None = None) -> None:
     """What is known of channels and sites, under {out}: channel_quality and site_records of the logs; source_files with
-    their hashes; sites, from the workbook under `registry`; detectors, the channels' approaches by the diagrams' boxes
-    (CSV of site, x, y) and overrides (CSV of site, channel, approach, verification, source_note); inventory."""
+    their hashes; sites, from the workbook under `registry`; diagrams, the boxes in the PNG files under `drawings` (or boxes,
+    a CSV of site, x, y); detectors, the channels' approaches by them and overrides (CSV of site, channel, approach,
+    verification, source_note); inventory."""
     got = records.read(spark, raw, sentinels=s.sentinels)
     each = got.select(F.col("site_id").alias("site"), F.explode("channels").alias("channel", "value"))
     profile = _put(quality.channels(each, s.operational_readings), f"{out}/channel_quality")
@@ -42,10 +40,13 @@ def metadata(spark: SparkSession, raw: str, out: str, s: Settings, registry: str
     _put(records.file_months(got).join(hashes, "source_file", "left"), f"{out}/source_files")
     empty = lambda schema: spark.createDataFrame([], schema)
     sites = _put(workbook.read_registry(spark, registry) if registry else empty("site long, name string, gis_id long, registry_source string"), f"{out}/sites")
-    drawn = spark.read.csv(boxes, header=True, schema="site long, x double, y double") if boxes else empty("site long, x double, y double")
+    drawn = seen_on = spark.read.csv(boxes, header=True, schema="site long, x double, y double") if boxes else empty("site long, x double, y double")
+    if drawings:
+        seen_on = _put(diagrams.read(spark, drawings), f"{out}/diagrams")  # a diagram without boxes is one
+        drawn = diagrams.each(seen_on)
     own = spark.read.csv(overrides, header=True, schema="site long, channel int, approach string, verification string, source_note string") if overrides else None
     _put(detectors.registry(profile, detectors.box_counts(drawn), s.operational_readings, own), f"{out}/detectors")
-    _put(detectors.inventory(seen, sites, drawn).join(seen, "site", "left"), f"{out}/inventory")
+    _put(detectors.inventory(seen, sites, seen_on).join(seen, "site", "left"), f"{out}/inventory")
 
 
 def ingest(spark: SparkSession, raw: str, channels: DataFrame, out: str, s: Settings, force: bool = False) -> None:
@@ -53,10 +54,22 @@ def ingest(spark: SparkSession, raw: str, channels: DataFrame, out: str, s: Sett
     Months that are there stay, but with force. channels: (site_id, channel_id, approach, operational)."""
     got = records.read(spark, raw, sentinels=s.sentinels)
     month = records.file_months(got).select("source_file", F.col("source_month").alias("year_month"))
-    if not force and _exists(spark, f"{out}/fact"):
+    if not force and incremental.exists(spark, f"{out}/fact"):
         month = month.join(spark.read.parquet(f"{out}/fact").select(F.col("year_month").cast("string")).distinct(), "year_month", "left_anti")
-    fact = normalize.coverage(got.join(month, "source_file"), normalize.channel_map(channels), s.minimum_detector_coverage)
-    tables.write_months(fact.drop("channels", "ts_pos", "block_pos"), f"{out}/fact")
+    tables.write_months(incremental.facts(got, month, channels, s.minimum_detector_coverage), f"{out}/fact")
+    _audit(spark, out)
+
+
+def follow(spark: SparkSession, raw: str, channels: DataFrame, out: str, s: Settings) -> None:
+    """What ingest() does, for the files that came, changed or went since follow() last ran: their months are made anew. What it knows
+    is under {out}/state; it can be broken off and run again at any time."""
+    incremental.note_arrivals(spark, raw, f"{out}/state")
+    query = incremental.follow(spark, channels, f"{out}/state", out, s.minimum_detector_coverage, s.sentinels)
+    query.awaitTermination()
+    _audit(spark, out)
+
+
+def _audit(spark: SparkSession, out: str) -> None:
     every = spark.read.parquet(f"{out}/fact").select("source_file", "ts", F.col("site_id").alias("site"), F.col("volume_normalized").alias("value"))
     _put(quality.source_files(every, PER_DAY), f"{out}/tables/source_quality")
 
@@ -104,7 +117,7 @@ def geocode(spark: SparkSession, sites: str | None, candidates: str, out: str, s
     named = spark.read.csv(sites, header=True, schema="site long, name string") if sites else spark.read.parquet(f"{out}/sites").select("site", "name")
     found = spark.read.csv(candidates, header=True, schema="query string, rank int, lat double, lon double, osm_type string, osm_id string, display_name string")
     new = detectors.geocoded(named, found, s.geocode_place, list(s.street_prefixes), s.geocode_bbox)
-    if _exists(spark, f"{out}/sites_geocoded"):
+    if incremental.exists(spark, f"{out}/sites_geocoded"):
         old = spark.read.parquet(f"{out}/sites_geocoded").where("geocode_method IN ('direct_name', 'street_pair')").join(named, ["site", "name"], "left_semi")
         new = lineage_cut(new.join(old, "site", "left_anti").unionByName(old.select(*new.columns)))
     _put(new, f"{out}/sites_geocoded")
@@ -124,7 +137,7 @@ def add_context(spark: SparkSession, weather: str, policy: str, holidays: str, e
     days = put(days, "daily_context")
     put(external.months(days), "context_monthly")
     put(external.checks(days, dates, series), "context_quality")
-    if _exists(spark, f"{out}/tables/site_daily"):
+    if incremental.exists(spark, f"{out}/tables/site_daily"):
         site_days = spark.read.parquet(f"{out}/tables/site_daily")
         put(external.site_context(site_days, days), "site_daily_with_context")
         city = put(external.city_context(site_days, days, s.trusted_temporal_coverage), "city_daily_with_context")
@@ -137,7 +150,7 @@ def report(spark: SparkSession, out: str, s: Settings, periods: Periods = Period
 
     def of(name: str, schema: str, **renamed: str) -> DataFrame:
         path = f"{out}/{name}"
-        return spark.read.parquet(path).withColumnsRenamed(renamed) if _exists(spark, path) else spark.createDataFrame([], schema)
+        return spark.read.parquet(path).withColumnsRenamed(renamed) if incremental.exists(spark, path) else spark.createDataFrame([], schema)
 
     city = of("tables/city_daily_with_context", "date date, city_median_15min_volume double, official_holiday_name_en string, manual_event_names string")
     days = city.select("date", F.col("city_median_15min_volume").alias("value"), F.col("official_holiday_name_en").alias("holiday_name"), F.col("manual_event_names").alias("event_names"))
@@ -159,7 +172,7 @@ def report(spark: SparkSession, out: str, s: Settings, periods: Periods = Period
 #: Readings a day.
 PER_DAY = 96
 #: The inputs that each step needs, in the order of the steps.
-NEEDS = {"metadata": ("raw",), "geocode": ("candidates",), "ingest": ("raw",), "analyze": (), "context": ("weather", "policy", "holidays", "events"), "report": ()}
+NEEDS = {"metadata": ("raw",), "geocode": ("candidates",), "ingest": ("raw",), "follow": ("raw",), "analyze": (), "context": ("weather", "policy", "holidays", "events"), "report": ()}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -167,7 +180,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("command", choices=[*NEEDS, "all"])
     p.add_argument("--raw")
     p.add_argument("--registry", help="folder of the sites' workbook")
-    p.add_argument("--boxes", help="CSV with site, x, y of the diagrams' boxes")
+    p.add_argument("--diagrams", help="folder of the sites' diagrams, PNG files named by site")
+    p.add_argument("--boxes", help="CSV with site, x, y of the diagrams' boxes, in place of the diagrams")
     p.add_argument("--overrides", help="CSV with site, channel, approach, verification, source_note")
     p.add_argument("--detectors", help="CSV with site_id, channel_id, approach, operational; else what metadata wrote")
     p.add_argument("--sites", help="CSV with site, name; else what metadata wrote")
@@ -186,15 +200,19 @@ def main(argv: list[str] | None = None) -> None:
         if lacks(step):
             p.error(" and ".join(f"--{n}" for n in lacks(step)) + " needed")
     spark, s = session(), Settings.load(a.settings) if a.settings else Settings()
-    for step in [k for k in NEEDS if not lacks(k)] if every else [a.command]:
+    for step in [k for k in NEEDS if not lacks(k) and k != "follow"] if every else [a.command]:
         if step == "metadata":
-            metadata(spark, a.raw, a.out, s, a.registry, a.boxes, a.overrides)
+            metadata(spark, a.raw, a.out, s, a.registry, a.boxes, a.overrides, a.diagrams)
         elif step == "geocode":
             geocode(spark, a.sites, a.candidates, a.out, s)
-        elif step == "ingest":
+        elif step in ("ingest", "follow"):
             schema = "site_id int, channel_id int, approach string, operational string"
             own = spark.read.parquet(f"{a.out}/detectors").selectExpr("CAST(site AS INT) site_id", "CAST(channel AS INT) channel_id", "approach", "CAST(operational AS STRING) operational") if not a.detectors else None
-            ingest(spark, a.raw, spark.read.csv(a.detectors, header=True, schema=schema) if a.detectors else own, a.out, s, a.force)
+            channels = spark.read.csv(a.detectors, header=True, schema=schema) if a.detectors else own
+            if step == "follow":
+                follow(spark, a.raw, channels, a.out, s)
+            else:
+                ingest(spark, a.raw, channels, a.out, s, a.force)
         elif step == "analyze":
             analyze(spark, a.out, s)
         elif step == "context":
