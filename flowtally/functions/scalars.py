@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,30 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(a))
 
 
+def _columns(row: Column, limit: float) -> tuple[float, Column]:
+    """Degrees of a row of cells, and into how many columns row `row` is cut: each at least `limit` metres wide in it and in its
+    neighbours."""
+    step = limit / (6371000 * math.pi / 180) * 1.000001
+    far = F.least(F.greatest(F.abs((row - 1) * step), F.abs((row + 2) * step)), F.lit(90.0))
+    return step, F.greatest(F.floor(360 * F.cos(F.radians(far)) / step), F.lit(1))
+
+
+def _cell(row: Column, lon: Column, by: int, limit: float) -> Column:
+    n = _columns(row, limit)[1]
+    return F.struct(row.cast("long").alias("row"), F.pmod(F.floor((lon + 180) * n / 360) + by, n).cast("long").alias("column"))
+
+
+def cell(lat: Column, lon: Column, limit: float) -> Column:
+    """The cell of a grid whose cells are at least `limit` metres high and wide that holds a place; the columns meet at 180 degrees."""
+    return _cell(F.floor(lat / _columns(lat, limit)[0]), lon, 0, limit)
+
+
+def cells_around(lat: Column, lon: Column, limit: float) -> Column:
+    """The cells that hold whatever is up to `limit` metres from a place: its own and its neighbours, each once."""
+    row = F.floor(lat / _columns(lat, limit)[0])
+    return F.array_distinct(F.array(*[_cell(row + r, lon, c, limit) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
+
+
 def confidence(metres: Column) -> Column:
     """Tier of a street-pair match; null beyond 1,500 m."""
     return F.when(metres <= 150, "high").when(metres <= 500, "medium").when(metres <= 1500, "low")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .line import Line, free_name
 
 #: Fixed value: how sites without a large step are named in results.
 STEADY = "No large shift"
@@ -53,9 +54,14 @@ def periods(panel: DataFrame, pre: tuple[str, str], post: tuple[str, str], value
     return panel.groupBy("site").agg(F.median(a).alias("pre_median"), F.count(a).alias("pre_months"), F.median(b).alias("post_median"), F.count(b).alias("post_months"))
 
 
-def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Rank from the largest, ties sharing the best place; a null value has no rank."""
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(Window.orderBy(F.col(value).desc_nulls_last()))))
+def ranked(df: DataFrame, value: str, name: str, key: str = "site") -> DataFrame:
+    """Rank from the largest, ties sharing the best place; a null value has no rank. Rows that share a value are told apart by key
+    while they are dealt out, so that many of them don't meet in one task: a rank is the number of the first of them."""
+    line = Line(df, [F.col(value).desc_nulls_last(), F.col(key)])
+    n, was = F.col(line.n), free_name(line.rows, "was")
+    line.rows = line.with_near(1, 0, {was: lambda w: F.first(value).over(w)})
+    first = F.when((n == 1) | ~F.col(was).eqNullSafe(F.col(value)), n)
+    return line.with_last({name: first}).withColumn(name, F.when(F.col(value).isNotNull(), F.col(name).cast("int"))).drop(line.n, was)
 
 
 def extremes(df: DataFrame, value: str, key: str, low: int, high: int) -> DataFrame:

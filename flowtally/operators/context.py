@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .line import Line, free_name
 
 
 def spine(spark: SparkSession, start: str, end: str, step: str = "DAY") -> DataFrame:
@@ -47,10 +48,12 @@ def event_days(days: DataFrame, events: DataFrame) -> DataFrame:
 
 def filled(days: DataFrame, cumulative: DataFrame, value: str) -> DataFrame:
     """days ⟕ a cumulative series: availability, the last known value, and its first difference (null is 0)."""
-    by = Window.orderBy("date")
     d = days.join(cumulative.select("date", value).withColumn("available", F.lit(1)), "date", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    d = d.withColumn(value, F.last(value, True).over(by))
-    return d.withColumn(f"new_{value}", F.coalesce(F.col(value) - F.lag(value).over(by), F.lit(0)))
+    line = Line(d, [F.col("date")])
+    line.rows = line.with_last({value: F.col(value)})
+    was = free_name(line.rows, "was")
+    d = line.with_near(1, 0, {was: lambda w: F.when(F.count("*").over(w) == 2, F.first(value).over(w))})
+    return d.withColumn(f"new_{value}", F.coalesce(F.col(value) - F.col(was), F.lit(0))).drop(line.n, was)
 
 
 def daily_index(city: DataFrame, value: str, year: int) -> DataFrame:
@@ -59,8 +62,8 @@ def daily_index(city: DataFrame, value: str, year: int) -> DataFrame:
     c = city.withColumn("m", F.month("date")).withColumn("w", F.weekday("date"))
     base = c.where(F.year("date") == year).groupBy("m", "w").agg(F.median(value).alias("baseline"))
     d = c.join(F.broadcast(base), ["m", "w"], "left").withColumn("day_index", 100 * F.col(value) / F.when(F.col("baseline") != 0, F.col("baseline")))
-    w = Window.orderBy("date").rowsBetween(-6, 0)
-    return d.withColumn("rolling_index", F.when(F.count("day_index").over(w) >= 4, F.expr("percentile(day_index, 0.5)").over(w))).drop("m", "w")
+    line = Line(d.drop("m", "w"), [F.col("date")])
+    return line.with_near(6, 0, {"rolling_index": lambda w: F.when(F.count("day_index").over(w) >= 4, F.expr("percentile(day_index, 0.5)").over(w))}).drop(line.n)
 
 
 def adjusted(city: DataFrame, value: str) -> DataFrame:

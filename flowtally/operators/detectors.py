@@ -16,6 +16,12 @@ def box_counts(boxes: DataFrame) -> DataFrame:
     return b.groupBy("site").agg(F.count("*").alias("detector_boxes"), *[F.count_if(F.col("side") == s).alias(f"{s}_boxes") for s in ORDER])
 
 
+def diagram_counts(diagrams: DataFrame) -> DataFrame:
+    """Diagrams (site, boxes: an array of (x, y)) as counts per side; a diagram without boxes has zeros."""
+    side = lambda s: F.size(F.filter("boxes", lambda b: S.approach(b["x"], b["y"]) == s)).cast("long")
+    return diagrams.select("site", F.size("boxes").cast("long").alias("detector_boxes"), *[side(s).alias(f"{s}_boxes") for s in ORDER])
+
+
 def registry(profile: DataFrame, counts: DataFrame, operational: int = 100, overrides: DataFrame | None = None) -> DataFrame:
     """(site, channel, approach, configured, operational, verification, source_note) of each site's k best channels, k its boxes.
 
@@ -50,12 +56,15 @@ def inventory(observed: DataFrame, registered: DataFrame, drawn: DataFrame) -> D
 def street_pairs(wanted: DataFrame, candidates: DataFrame, limit: float = 1500.0) -> DataFrame:
     """Per junction (site, a, b) the closest two of its streets' candidates (query, rank, lat, lon): midpoint, distance, tier.
 
-    The first of equally close pairs wins, by rank; pairs beyond the limit are no match.
+    The first of equally close pairs wins, by rank; pairs beyond the limit are no match. Candidates meet where they lie in
+    the same or in neighbouring cells of a grid, so that far ones make no pair.
     """
     def of(k: str) -> DataFrame:
-        return candidates.select(F.col("query").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("rank", "lat", "lon")])
+        return wanted.select("site", k).join(candidates.select(F.col("query").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("rank", "lat", "lon")]), k).drop(k)
 
-    j = wanted.join(of("a"), "a").join(of("b"), "b").withColumn("d", S.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("d") <= limit)
+    a = of("a").withColumn("cell", F.explode(S.cells_around(F.col("a_lat"), F.col("a_lon"), limit)))
+    b = of("b").withColumn("cell", S.cell(F.col("b_lat"), F.col("b_lon"), limit))
+    j = a.join(b, ["site", "cell"]).withColumn("d", S.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("d") <= limit)
     mid = F.struct(((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat"), ((F.col("a_lon") + F.col("b_lon")) / 2).alias("lon"))
     g = j.groupBy("site").agg(F.min("d").alias("distance_m"), F.min_by(mid, F.struct("d", "a_rank", "b_rank")).alias("m"))
     return g.select("site", "distance_m", F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"), S.confidence(F.col("distance_m")).alias("confidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .line import free_name
 
 
 def channels(readings: DataFrame, operational: int = 100) -> DataFrame:
@@ -58,7 +59,12 @@ def missing(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def require_unique(df: DataFrame, *key: str) -> DataFrame:
-    """df, or an error before any result if its key repeats: the check that a join meets each row once."""
-    if not df.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").isEmpty():
-        raise ValueError(f"repeated key {key}")
-    return df
+    """df, with an error when it is run if a key repeats: the check that a join meets each row once.
+
+    The check is part of the plan: rows come together by their key, as the join needs them anyway, and are counted on the way;
+    there is no job of its own."""
+    rest = [c for c in df.columns if c not in key]
+    k, row = free_name(df, "k"), free_name(df, "row")
+    g = df.groupBy(*key).agg(F.count("*").alias(k), F.first(F.struct(*rest) if rest else F.lit(None)).alias(row))
+    once = F.when(F.col(k) == 1, True).otherwise(F.raise_error(F.concat(F.lit(f"repeated key {key}: "), F.to_json(F.struct(*key)))).cast("boolean"))
+    return g.where(once).select(*[F.col(c) if c in key else F.col(row)[c].alias(c) for c in df.columns])

@@ -6,15 +6,20 @@ number. In a query's column list, ~ marks numbers that both engines round to six
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import changes, context, detectors, external, graph, normalize, panels, profiles, quality, shape
+from ..operators import asof, changes, context, detectors, external, graph, intervals, normalize, panels, profiles, quality, quantiles, shape
+from ..operators.line import Line
 from ..config import Periods, Settings
-from ..sources import records, tables
+from ..session import shared_folder
+from ..sources import diagrams, records, tables
 from . import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,13 +355,37 @@ g AS (SELECT ts::DATE AS date, count(*) AS n FROM events GROUP BY 1), c AS (SELE
 s AS (SELECT * FROM c WHERE day(date) % 4 <> 2), j AS (SELECT d.date, (s.date IS NOT NULL)::INT AS available, last_value(s.cases IGNORE NULLS) OVER (ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cases FROM d LEFT JOIN s USING (date)),
 r AS (SELECT *, coalesce(cases - lag(cases) OVER (ORDER BY date), 0) AS new_cases FROM j)""")
 def ffill_diff(spark, d):
-    from pyspark.sql import Window
-
-    g = table(spark, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
-    c = g.select("date", F.sum("n").over(Window.orderBy("date")).cast("long").alias("cases")).where("day(date) % 4 <> 2")
+    g = table(spark, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("seen"))
+    c = Line(g, [F.col("date")]).with_sums({"cases": F.col("seen")}).select("date", "cases").where("day(date) % 4 <> 2")
     return context.filled(context.spine(spark, "2023-12-28", "2024-02-03"), c, "cases")
 
 
+@query("p_partkey orders ~total ~first_price", """p AS (SELECT p_partkey, p_partkey % 25 AS lane, DATE '1995-01-01' + (p_partkey * 37 % 2400)::INT AS a, DATE '1995-01-01' + (p_partkey * 37 % 2400)::INT + CASE WHEN p_partkey % 100 = 0 THEN 3650 ELSE p_partkey % 5 END::INT AS z FROM part),
+r AS (SELECT p_partkey, count(*) AS orders, sum(o_totalprice) AS total, arg_min(o_totalprice, row(o_orderdate, o_orderkey)) AS first_price FROM p JOIN orders ON o_custkey % 25 = lane AND o_orderdate::DATE BETWEEN a AND z GROUP BY 1)""")
+def orders_in_windows(spark, d):
+    """Every part as an offer of some days, or of ten years, to a twenty-fifth of the customers: what was ordered in it."""
+    k, day = F.col("p_partkey"), F.unix_date(F.lit("1995-01-01").cast("date"))
+    spans = table(spark, d, "part").select("p_partkey", (k % 25).alias("lane"), (day + k * 37 % 2400).cast("long").alias("a")).withColumn("z", F.col("a") + F.when(k % 100 == 0, 3650).otherwise(k % 5))
+    points = table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("lane"), F.unix_date(F.to_date("o_orderdate")).cast("long").alias("day"), "o_orderkey", "o_totalprice")
+    g = intervals.inside(points, spans, "day", "a", "z", ["lane"]).groupBy("p_partkey")
+    return g.agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"), F.min_by("o_totalprice", F.struct("day", "o_orderkey")).alias("first_price"))
+
+
+@query("event_id before_order ~before_s after_order ~after_s", """o AS (SELECT o_custkey AS user_id, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + o_orderkey * 7919 % 2592000 * 1000000 AS t, o_orderkey FROM orders),
+e AS (SELECT event_id, user_id, epoch_us(ts::TIMESTAMP) AS t FROM events),
+b AS (SELECT event_id, o_orderkey AS before_order, (e.t - o.t) / 1000000.0 AS before_s FROM e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.t >= o.t),
+a AS (SELECT event_id, o_orderkey AS after_order, (o.t - e.t) / 1000000.0 AS after_s FROM e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.t <= o.t),
+r AS (SELECT * FROM b JOIN a USING (event_id))""")
+def nearest_orders(spark, d):
+    """For each event its user's orders next to it in time, before and after, with order times put into the month of the events."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    e = table(spark, d, "events").select("event_id", "user_id", micros(F.col("ts")).alias("t"))
+    start = micros(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), (start + F.col("o_orderkey") * 7919 % 2592000 * 1000000).alias("t"), "o_orderkey")
+    n = asof.nearest(e, o, ["user_id"], "t", ["o_orderkey"])
+    return n.select("event_id", F.col("before.o_orderkey").alias("before_order"), ((F.col("t") - F.col("before.at")) / 1e6).alias("before_s"), F.col("after.o_orderkey").alias("after_order"), ((F.col("after.at") - F.col("t")) / 1e6).alias("after_s"))
+
+
 def city(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").cast("double").alias("value"))
 
@@ -402,20 +431,36 @@ def monthly_context(spark, d):
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
-@query("ts site_id channel reading", """b AS (SELECT DISTINCT date_trunc('minute', ts) AS ts, user_id::INT AS site_id FROM events),
+LOGS = """b AS (SELECT DISTINCT date_trunc('minute', ts) AS ts, user_id::INT AS site_id FROM events),
 v AS (SELECT b.ts, b.site_id, c.c AS channel, (b.site_id * 7 + c.c * 680 + hour(b.ts) * 13 + minute(b.ts)) % 2048 AS x FROM b, (SELECT unnest([1, 2, 3]) AS c) c),
-r AS (SELECT ts, site_id, channel::INT AS channel, CASE WHEN x NOT IN (2046, 2047) THEN x END::INT AS reading FROM v)""")
-def parse_records(spark, d):
-    """Log text written from the events, one file per day, and parsed back."""
+r AS (SELECT ts, site_id, channel::INT AS channel, CASE WHEN x NOT IN (2046, 2047) THEN x END::INT AS reading FROM v)"""
+
+
+def logs(spark: SparkSession, d: str) -> DataFrame:
+    """(ts, value): log text made of the events, one row a minute."""
     b = table(spark, d, "events").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").cast("int").alias("site_id")).distinct()
     v = lambda c: (F.col("site_id") * 7 + F.lit(c * 680) + F.hour("ts") * 13 + F.minute("ts")) % 2048
     block = F.concat(F.format_string("Int %d    1=%d  2= %d", "site_id", v(1), v(2)), F.lit("\n   "), F.format_string("3 =%d", v(3)))
     at = b.groupBy("ts").agg(F.array_join(F.array_sort(F.collect_list(block)), "\r\n").alias("body"))
-    part = F.concat(F.date_format("ts", "EEEE dd MMMM yyyy HH:mm"), F.lit("\n"), F.col("body"), F.lit("\n\n"))
-    files = at.groupBy(F.to_date("ts").cast("string").alias("source_file")).agg(F.concat(F.lit("stray text\nInt 5 1=2\n"), F.array_join(F.array_sort(F.collect_list(part)), ""), F.lit("End of File\n")).alias("value"))
+    return at.select("ts", F.concat(F.date_format("ts", "EEEE dd MMMM yyyy HH:mm"), F.lit("\n"), F.col("body"), F.lit("\n\n")).alias("value"))
+
+
+@query("ts site_id channel reading", LOGS)
+def parse_records(spark, d):
+    """Log text written from the events, one file per day, and parsed back."""
+    files = logs(spark, d).groupBy(F.to_date("ts").cast("string").alias("source_file")).agg(F.concat(F.lit("stray text\nInt 5 1=2\n"), F.array_join(F.array_sort(F.collect_list("value")), ""), F.lit("End of File\n")).alias("value"))
     return records.parse(files).select("ts", "site_id", F.explode("channels").alias("channel", "reading"))
 
 
+@query("ts site_id channel reading", LOGS)
+def split_records(spark, d):
+    """The same logs as text files in the shared folder, read in Spark's splits."""
+    path = f"{shared_folder(spark)}/flowtally/logs-{uuid.uuid4().hex}"
+    logs(spark, d).select("value").write.text(path)
+    got = records.read(spark, path, name_pattern=".")
+    return got.select("ts", "site_id", F.explode("channels").alias("channel", "reading"))
+
+
 @query("event_id time k ~half", """x AS (SELECT event_id, (props::JSON->>'k')::DOUBLE AS k FROM events),
 r AS (SELECT event_id, 't' || i AS time, CASE WHEN i = 1 THEN k END AS k, CASE WHEN i = 1 THEN k / 2 ELSE k END AS half FROM x, (SELECT unnest([0, 1]) AS i))""")
 def json_columns_to_rows(spark, d):
@@ -441,6 +486,44 @@ def box_classify(spark, d):
     return detectors.box_counts(boxes(spark, d))
 
 
+DRAWN = """b AS (SELECT p_partkey // 7 AS site, p_partkey % 10 AS kind, 380 + 40 * (p_partkey % 7) + p_partkey % 5 AS x, 20 + 50 * (p_partkey * 3 % 7) + p_partkey % 3 AS y, 24 + p_partkey % 8 AS w, 24 + p_partkey // 3 % 8 AS h FROM part),
+c AS (SELECT site, x + w / 2.0 AS x, y + h / 2.0 AS y FROM b WHERE kind NOT IN (5, 7, 9)),
+"""
+
+
+def drawn(spark: SparkSession, d: str) -> DataFrame:
+    """(site, content): a diagram as a PNG file for every seven parts. A part is a blue or green box: a frame (kind 3) or full, with a
+    white mark in some (kind 1); or what isn't to be counted: something too small (5), red (7) or in the legend (9)."""
+    k = F.col("p_partkey")
+    parts = table(spark, d, "part").select(F.floor(k / 7).alias("site"), (k % 10).alias("kind"), (k % 2 == 0).alias("blue"), (380 + 40 * (k % 7) + k % 5).alias("x"), (20 + 50 * (k * 3 % 7) + k % 3).alias("y"), (24 + k % 8).alias("w"), (24 + F.floor(k / 3) % 8).alias("h"))
+
+    def draw(t: pa.Table) -> pa.Table:
+        page = np.full((400, 700, 3), 255, np.uint8)
+        page[::50, ::3] = 0
+        for r in t.to_pylist():
+            x, y, w, h = (r["x"] - 370 if r["kind"] == 9 else r["x"]), r["y"], *((12, 12) if r["kind"] == 5 else (r["w"], r["h"]))
+            page[y : y + h, x : x + w] = (255, 0, 0) if r["kind"] == 7 else (0, 0, 255) if r["blue"] else (0, 255, 0)
+            edge = {1: 9, 3: 3}.get(r["kind"])
+            if edge:
+                page[y + edge : y + h - edge, x + edge : x + w - edge] = 255
+        return pa.table({"site": t["site"].slice(0, 1).cast(pa.int64()), "content": pa.array([diagrams.png_file(page)], pa.binary())})
+
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "site")  # rows are few, but images take time
+    return parts.groupBy("site").applyInArrow(draw, "site long, content binary")
+
+
+@query("site ~x ~y", DRAWN + "r AS (SELECT * FROM c)")
+def diagram_boxes(spark, d):
+    """The boxes found in diagrams that were drawn of the parts."""
+    return diagrams.each(diagrams.boxes(drawn(spark, d)))
+
+
+@query("site detector_boxes south_boxes west_boxes north_boxes east_boxes", DRAWN + """s AS (SELECT site, CASE WHEN abs(x - 690) > abs(y - 347) THEN CASE WHEN x < 690 THEN 'west' ELSE 'east' END ELSE CASE WHEN y < 347 THEN 'north' ELSE 'south' END END AS side FROM c),
+r AS (SELECT b.site, count(side) AS detector_boxes, """ + ", ".join(f"count(*) FILTER (side = '{x}') AS {x}_boxes" for x in SIDE) + """ FROM (SELECT DISTINCT site FROM b) b LEFT JOIN s USING (site) GROUP BY 1)""")
+def diagram_inventory(spark, d):
+    return detectors.diagram_counts(diagrams.boxes(drawn(spark, d)))
+
+
 @query("site channel approach configured operational verification", CHANNELS + BOXES + """
 j AS (SELECT c.*, n.* EXCLUDE (site), row_number() OVER (PARTITION BY c.site ORDER BY positive DESC, finite DESC, channel) AS rk FROM c LEFT JOIN n ON n.site = c.site),
 t AS (SELECT * FROM j WHERE CASE WHEN detector_boxes IS NOT NULL THEN rk <= detector_boxes ELSE positive >= 80 END),
@@ -459,7 +542,7 @@ def site_inventory(spark, d):
     return detectors.inventory(fact(spark, d), table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("site")), boxes(spark, d))
 
 
-@query("site ~distance_m ~lat ~lon confidence", """c AS (SELECT 'q' || (s_suppkey % 40) AS query, (s_suppkey // 40)::INT AS rank, 32.6 + (s_suppkey * 7 % 100) / 10000.0 AS lat, 51.6 + (s_suppkey * 13 % 100) / 10000.0 AS lon FROM supplier WHERE s_suppkey <= 200),
+@query("site ~distance_m ~lat ~lon confidence", """c AS (SELECT 'q' || (s_suppkey % 40) AS query, (s_suppkey // 40)::INT AS rank, 32.6 + (s_suppkey * 7 % 100) / 10000.0 AS lat, 51.6 + (s_suppkey * 13 % 100) / 10000.0 AS lon FROM supplier),
 w AS (SELECT DISTINCT n_nationkey AS site, 'q' || n_nationkey AS a, 'q' || ((n_nationkey + 7) % 40) AS b FROM nation),
 j AS (SELECT w.site, x.rank AS ra, y.rank AS rb, x.lat AS la, y.lat AS lb, x.lon AS oa, y.lon AS ob, 2 * 6371000 * asin(sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))) AS m FROM w JOIN c x ON x.query = w.a JOIN c y ON y.query = w.b),
 t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY m, ra, rb) AS k FROM j WHERE m <= 1500),
@@ -591,6 +674,21 @@ def dtw_clusters(spark, d):
 # --- summaries -------------------------------------------------------------------------------------------------------
 
 
+_QUARTERS = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
+_QUARTERS_SQL = ", ".join(f"quantile_cont(l_extendedprice, {p}) AS {k}" for k, p in _QUARTERS.items())
+
+
+@query("n ~p25 ~median ~p75 ~p99", f"r AS (SELECT count(l_extendedprice) AS n, {_QUARTERS_SQL} FROM lineitem)")
+def price_quantiles(spark, d):
+    """Exact quantiles of all prices, without all prices in one task."""
+    return quantiles.exact(table(spark, d, "lineitem"), [], "l_extendedprice", _QUARTERS)
+
+
+@query("l_returnflag l_linestatus n ~p25 ~median ~p75 ~p99", f"r AS (SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, {_QUARTERS_SQL} FROM lineitem GROUP BY 1, 2)")
+def price_quantiles_by_status(spark, d):
+    return quantiles.exact(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", _QUARTERS)
+
+
 @query("~pearson ~spearman", FACT + """g AS (SELECT site, count(*)::DOUBLE AS n, sum(value)::DOUBLE AS v FROM fact GROUP BY 1),
 k AS (SELECT *, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS rn, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rv FROM g),
 r AS (SELECT corr(n, v) AS pearson, corr(rn::DOUBLE, rv::DOUBLE) AS spearman FROM k)""")

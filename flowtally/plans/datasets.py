@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Periods, Settings
 from ..functions import scalars as S
 from ..operators import changes, context, panels, profiles, quality
+from ..operators.line import Line
 
 VALUE = "mean_volume"
 
@@ -157,7 +158,8 @@ def peak_cell(heatmap: DataFrame, base: int = 4) -> DataFrame:
 
 def placed(df: DataFrame, by: str, site: str = "site") -> DataFrame:
     """df with `place` from 1 by falling values, ties by site: a position, so equal values don't share one; nulls come last."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).desc_nulls_last(), site)))  # a row for each site
+    line = Line(df, [F.col(by).desc_nulls_last(), F.col(site)])
+    return line.rows.withColumn("place", F.col(line.n).cast("int")).drop(line.n)
 
 
 def insights(sets: dict[str, DataFrame], p: Periods = Periods()) -> DataFrame:

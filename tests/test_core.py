@@ -175,8 +175,8 @@ def test_small_functions(spark):
 def test_sources_and_quality(spark):
     d = spark.createDataFrame([('{"h":{"time":["a","b"],"x":[1.5,null]}}',)], "doc string")
     assert [(r.time, r.x) for r in tables.json_columns(d, "doc", "h", ["x"]).collect()] == [("a", 1.5), ("b", None)]
-    with pytest.raises(ValueError):
-        quality.require_unique(spark.createDataFrame([(1,), (1,)], "a int"), "a")
+    with pytest.raises(Exception, match="repeated key"):
+        quality.require_unique(spark.createDataFrame([(1,), (1,)], "a int"), "a").collect()
     s = detectors.located(spark.createDataFrame([(1,), (2,), (3,)], "site int"), spark.createDataFrame([(1, 1.0, 2.0)], "site int, lat double, lon double"), spark.createDataFrame([(1, 9.0, 9.0), (2, 3.0, 4.0)], "site int, lat double, lon double"))
     assert {r.site: (r.method, r.lat) for r in s.collect()} == {1: ("direct_name", 1.0), 2: ("street_pair", 3.0), 3: ("unmatched", None)}
 

@@ -76,8 +76,8 @@ def test_empty_sources(spark, inputs):
     days = context.spine(spark, "2020-03-18", "2020-03-19")
     none = tables.read_policy(spark, str(inputs / "policy.csv"), external.POLICY, "ZZZ")
     assert [(r.covid_data_available, r.covid_new_cases_derived, r.covid_stay_home_level) for r in external.policy_days(days, none).collect()] == [(0, 0.0, None)] * 2
-    with pytest.raises(ValueError, match="repeated key"):
-        external.daily(days, days.union(days))
+    with pytest.raises(Exception, match="repeated key"):
+        external.daily(days, days.union(days).withColumn("v", F.col("date"))).collect()
     (inputs / "bad.json").write_text(json.dumps({"hourly": {"time": ["2020-01-01T00:00"]} | {f: [1.0] for f in tables.WEATHER[1:]}}))
     with pytest.raises(ValueError, match="temperature_2m"):
         tables.read_weather(spark, str(inputs / "bad.json"))
