@@ -635,8 +635,8 @@ def strongest_nodes(spark, d):
 
 
 def hour_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """24-hour shapes of groups of users, by the remainder of their number by 40; constant ones are zeros."""
-    g = readings(spark, d).where("value IS NOT NULL").groupBy((F.col("site") % 40).cast("long").alias("site"), F.hour("ts").alias("bin")).agg(F.avg("value").alias("value"))
+    """24-hour shapes of users; constant ones are zeros."""
+    g = readings(spark, d).where("value IS NOT NULL").groupBy(F.col("site").cast("long").alias("site"), F.hour("ts").alias("bin")).agg(F.avg("value").alias("value"))
     return graph.standardized(g, 20, constant=True)
 
 
@@ -652,7 +652,7 @@ def _warping(band: int = 3) -> str:
 
 
 _FIRST = ", ".join(f"{0 if k == 3 else chr(39) + 'Infinity' + chr(39)}::DOUBLE AS c{k}" for k in range(7))
-WARPED = "RECURSIVE " + EVENTS + f"""g AS (SELECT (site % 40)::BIGINT AS site, hour(ts) AS bin, avg(value) AS value FROM e WHERE value IS NOT NULL GROUP BY 1, 2),
+WARPED = "RECURSIVE " + EVENTS + f"""g AS (SELECT site::BIGINT AS site, hour(ts) AS bin, avg(value) AS value FROM e WHERE value IS NOT NULL GROUP BY 1, 2),
 o AS (SELECT site, median(value) AS med FROM g GROUP BY 1 HAVING count(*) >= 20),
 f AS (SELECT o.site, h.bin, coalesce(g.value, o.med) AS v FROM o CROSS JOIN (SELECT DISTINCT bin FROM g) h LEFT JOIN g ON g.site = o.site AND g.bin = h.bin),
 s AS (SELECT site, avg(v) AS m, stddev_pop(v) AS sd FROM f GROUP BY 1),
