@@ -17,13 +17,15 @@ def spine(spark: SparkSession, start: str, end: str, step: str = "DAY") -> DataF
 def calendar(days: DataFrame, holidays: DataFrame, windows: list[tuple[str, str]] = ()) -> DataFrame:
     """days (date) with weekday parts, Solar Hijri date, flags, and days to the nearest holiday (either way).
 
-    holidays: (date). The nearest is found by two running windows over the days; null if there is none. One row a day:
-    the table is small whatever the traffic's size.
+    holidays: (date). The nearest is the last one carried forwards or the next one carried backwards along the days; null if
+    there is none. The days before and after are the next rows.
     """
     d = days.join(F.broadcast(holidays.select("date").distinct().withColumn("h", F.lit(1))), "date", "left").withColumn("holiday", F.coalesce("h", F.lit(0))).drop("h")
-    by = Window.orderBy("date")
-    last = F.last(F.when(F.col("holiday") == 1, F.col("date")), True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.first(F.when(F.col("holiday") == 1, F.col("date")), True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    line = Line(d, [F.col("date")])
+    n, last, coming = F.col(line.n), free_name(line.rows, "last"), free_name(line.rows, "coming")
+    line.rows = line.with_last({last: F.when(F.col("holiday") == 1, F.col("date"))})
+    line.rows = line.with_last({coming: F.when(F.col("holiday") == 1, F.col("date"))}, back=True)
+    d = line.with_near(1, 1, {"day_before_holiday": lambda w: F.when(n < line.total, F.last("holiday").over(w)).otherwise(0), "day_after_holiday": lambda w: F.when(n > 1, F.first("holiday").over(w)).otherwise(0)})
     j = S.jalali(F.col("date"))
     friday, thursday = F.weekday("date") == 4, F.weekday("date") == 3
     inside: Column = F.lit(False)
@@ -32,9 +34,8 @@ def calendar(days: DataFrame, holidays: DataFrame, windows: list[tuple[str, str]
     return d.withColumns({
         "weekday": F.weekday("date"), "weekday_name": F.date_format("date", "EEEE"), "is_friday": S.flag(friday), "is_thursday": S.flag(thursday),
         "jalali_year": j["year"], "jalali_month": j["month"], "jalali_day": j["day"], "is_nowruz": S.flag((j["month"] == 1) & (j["day"] <= 13)), "is_nowruz_official": S.flag((j["month"] == 1) & (j["day"] <= 4)),
-        "in_window": S.flag(inside), "days_to_holiday": F.least(F.datediff("date", last), F.datediff(coming, F.col("date"))),
-        "day_before_holiday": F.lead("holiday", 1, 0).over(by), "day_after_holiday": F.lag("holiday", 1, 0).over(by), "is_nonworking": S.flag(friday | (F.col("holiday") == 1)),
-    })
+        "in_window": S.flag(inside), "days_to_holiday": F.least(F.datediff("date", last), F.datediff(coming, F.col("date"))), "is_nonworking": S.flag(friday | (F.col("holiday") == 1)),
+    }).drop(line.n, last, coming)
 
 
 def event_days(days: DataFrame, events: DataFrame) -> DataFrame:

@@ -323,7 +323,7 @@ def holidays(spark: SparkSession) -> DataFrame:
 DATES = f"d AS (SELECT unnest(generate_series(DATE '{SPAN[0]}', DATE '{SPAN[1]}', INTERVAL 1 DAY))::DATE AS date),\n"
 
 
-@query("date weekday weekday_name is_friday is_thursday holiday jalali_year jalali_month jalali_day is_nowruz is_nowruz_official in_window days_to_holiday day_before_holiday day_after_holiday is_nonworking", DATES + """
+@query("date weekday weekday_name is_friday is_thursday holiday jalali_year jalali_month jalali_day is_nowruz is_nowruz_official in_window days_to_holiday day_before_holiday day_after_holiday is_nonworking", """d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders),
 h AS (SELECT date, (day(date) IN (1, 17) AND month(date) % 3 = 0)::INT AS holiday, date - DATE '1997-03-21' AS n FROM d),
 j1 AS (SELECT *, floor(n / 12053.0)::BIGINT AS c, n - 12053 * floor(n / 12053.0)::BIGINT AS r0 FROM h),
 j2 AS (SELECT *, least(r0 // 1461, 7) AS f FROM j1), j3 AS (SELECT *, least((r0 - f * 1461) // 365, CASE WHEN f = 7 THEN 4 ELSE 3 END) AS k FROM j2),
@@ -335,7 +335,9 @@ r AS (SELECT date, (isodow(date) - 1)::INT AS weekday, dayname(date) AS weekday_
   (jalali_month = 1 AND jalali_day <= 13)::INT AS is_nowruz, (jalali_month = 1 AND jalali_day <= 4)::INT AS is_nowruz_official, (date BETWEEN DATE '1997-01-10' AND DATE '1997-02-08')::INT AS in_window,
   least(date - a, z - date)::INT AS days_to_holiday, day_before_holiday, day_after_holiday, (isodow(date) = 5 OR holiday = 1)::INT AS is_nonworking FROM w)""")
 def calendar_context(spark, d):
-    return context.calendar(days(spark), holidays(spark), [("1997-01-10", "1997-02-08")])
+    """The calendar of the dates on which something was ordered."""
+    dates = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return context.calendar(dates, dates.where("day(date) IN (1, 17) AND month(date) % 3 = 0"), [("1997-01-10", "1997-02-08")])
 
 
 @query("date event_count event_types event_names max_confidence has_event", DATES + """
@@ -781,17 +783,17 @@ s AS (SELECT unnest(generate_series(DATE '1991-06-01', DATE '1999-06-01', INTERV
 r AS (SELECT strftime(date, '%Y-%m') AS year_month, CASE WHEN k >= 0.8 * day(last_day(date)) THEN median_volume END AS y FROM s LEFT JOIN g ON g.year_month = strftime(date, '%Y-%m') LEFT JOIN v ON v.year_month = strftime(date, '%Y-%m'))""")
 def explorer_monthly(spark, d):
     """The explorer's monthly line: missing and partial months are gaps."""
-    return datasets.explorer(report_sets(spark, d)).where("chart = 'monthly'").select(F.substring("x", 1, 7).alias("year_month"), "y")
+    return datasets.explorer(report_sets(spark, d), "monthly").select(F.substring("x", 1, 7).alias("year_month"), "y")
 
 
-def report_sets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def report_sets(spark: SparkSession, d: str, temporal: float = TEMPORAL, detector: float = DETECTOR) -> datasets.Sets:
     """The result sets of a report over the driver's tables, for a site graph of suppliers."""
     f, none = fact(spark, d), spark.createDataFrame([], "site long, lat double, lon double, confidence string")
     sources = quality.source_months(f, 1, "1991-06-01", "1999-06-01")
     factors = context_associations(spark, d).select("factor", F.col("mean_difference"))
     edges = spark.createDataFrame([], "src long, dst long, weight double")
     x = datasets.Inputs(monthly(spark, d), named(spark, d), city_days(spark, d), profiles.hour_of_week(readings(spark, d)), profiles.approaches(sides(spark, d)), nodes(spark, d), edges, sources, factors, none, quality.channels(f, 80))
-    return datasets.datasets(x, Settings(trusted_temporal_coverage=TEMPORAL, trusted_detector_coverage=DETECTOR, baseline_year=YEAR), Periods(**{**vars(PERIODS), "focus_site": 1}))
+    return datasets.datasets(x, Settings(trusted_temporal_coverage=temporal, trusted_detector_coverage=detector, baseline_year=YEAR), Periods(**{**vars(PERIODS), "focus_site": 1}))
 
 
 @query("sites_declining shock_change_sites sites_rising recovery_change_sites review_sites ~shock_recovery_correlation peak_weekday peak_hour focus_volume_place", CHANGES + HOURS + """

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,46 +105,66 @@ class Inputs:
     channels: DataFrame
 
 
-def datasets(x: Inputs, settings: Settings = Settings(), p: Periods = Periods()) -> dict[str, DataFrame]:
+class Sets(Mapping):
+    """Result sets by name, each made when it is first asked for."""
+
+    def __init__(self, made: dict[str, Callable[[], DataFrame]]) -> None:
+        self.made = {k: cache(f) for k, f in made.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.made[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.made)
+
+    def __len__(self) -> int:
+        return len(self.made)
+
+
+def datasets(x: Inputs, settings: Settings = Settings(), p: Periods = Periods()) -> Sets:
     """All result sets by name; nothing runs until one of them is asked for."""
     panel = panels.trusted(quality.require_unique(x.monthly, "year_month", "site"), settings.trusted_temporal_coverage, settings.trusted_detector_coverage)
     labels = site_labels(x.named)
     change = site_changes(panel, p)
-    summary = site_summary(x.nodes, labels, change)
-    trend = daily_trend(x.days, settings.baseline_year)
+    summary = cache(lambda: site_summary(x.nodes, labels, change))
+    trend = cache(lambda: daily_trend(x.days, settings.baseline_year))
     named = change.join(labels, "site", "left")
     common = panels.common(panel, settings.baseline_year)
-    points = map_points(summary, x.located)
+    points = cache(lambda: map_points(summary(), x.located))
     both = named.where("shock_change IS NOT NULL AND recovery_change IS NOT NULL").join(x.nodes.select("site", "community", F.col(VALUE), "trusted_months"), "site", "left")
     month_name = F.date_format(F.make_date(F.lit(2000), F.col("month"), F.lit(1)), "MMM")
-    one = change.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("shock_change", "recovery_change", "latest_change") for f, n in ((F.median, "median"), (F.count, "sites"))])
-    rate = x.channels.agg((F.sum("invalid") / F.sum("observations")).alias("invalid_rate"))
-    counts = [x.days.agg(F.count("value").alias("observed_days"), F.count("*").alias("calendar_days")), panel.agg(F.count("*").alias("trusted_site_months")), x.nodes.agg(F.count("*").alias("graph_nodes"), F.count_distinct("community").alias("communities")), x.edges.agg(F.count("*").alias("graph_edges")), points.agg(F.count("*").alias("mapped_sites"))]
-    headline = one.join(rate)
-    for c in counts:
-        headline = headline.join(c)  # one row each
-    return {
-        "headline": headline.withColumn("map_coverage", F.try_divide("mapped_sites", "graph_nodes")),
-        "city_monthly": city_months(panel, x.sources),
-        "paired_changes": changes.summarized(changes.adjacent(panel)).withColumn("period_label", F.concat_ws(" → ", "previous_month", "year_month")).withColumn("month_date", F.concat("year_month", F.lit("-01"))),
+
+    def headline() -> DataFrame:
+        one = change.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("shock_change", "recovery_change", "latest_change") for f, n in ((F.median, "median"), (F.count, "sites"))])
+        rate = x.channels.agg((F.sum("invalid") / F.sum("observations")).alias("invalid_rate"))
+        counts = [x.days.agg(F.count("value").alias("observed_days"), F.count("*").alias("calendar_days")), panel.agg(F.count("*").alias("trusted_site_months")), x.nodes.agg(F.count("*").alias("graph_nodes"), F.count_distinct("community").alias("communities")), x.edges.agg(F.count("*").alias("graph_edges")), map_points(x.nodes, x.located).agg(F.count("*").alias("mapped_sites"))]
+        out = one.join(rate)
+        for c in counts:
+            out = out.join(c)  # one row each
+        return out.withColumn("map_coverage", F.try_divide("mapped_sites", "graph_nodes"))
+
+    return Sets({
+        "headline": headline,
+        "city_monthly": lambda: city_months(panel, x.sources),
+        "paired_changes": lambda: changes.summarized(changes.adjacent(panel)).withColumn("period_label", F.concat_ws(" → ", "previous_month", "year_month")).withColumn("month_date", F.concat("year_month", F.lit("-01"))),
         "daily_trend": trend,
-        "context_effects": x.factors.where(F.col("factor") != p.unadjusted_factor).withColumn("factor_label", S.title(F.col("factor"))),
-        "seasonality": panels.month_of_year(common).withColumn("month_name", month_name).join(common.agg(F.count_distinct("site").alias("common_panel_sites"))),
-        "shock_recovery": both.withColumn("community_label", F.concat(F.lit("Community "), F.col("community").cast("string"))),
-        "shock_rank": named.where("shock_change IS NOT NULL").orderBy("shock_change", "site").limit(12),
-        "latest_extremes": changes.extremes(named, "latest_change", "site", 8, 8),
-        "month_heatmap": panels.site_baseline(panel, settings.baseline_year).where(F.col("year_month").between(f"{settings.baseline_year}-01", p.heatmap_end)),
-        "hour_week_heatmap": profiles.heatmap(x.hours).withColumn("weekday_name", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("weekday")), "E")),
-        "site_approaches": x.sides.where(F.col("site") == p.focus_site).withColumn("approach", F.initcap("approach")),
-        "approach_shares": profiles.approach_shares(x.sides, ["south", "west", "north", "east"], settings.trusted_detector_coverage).join(labels, "site", "left"),
-        "community_nodes": summary.select(*x.nodes.columns, "name", "label", "community_label"),
-        "community_summary": community_summary(x.nodes, labels),
+        "context_effects": lambda: x.factors.where(F.col("factor") != p.unadjusted_factor).withColumn("factor_label", S.title(F.col("factor"))),
+        "seasonality": lambda: panels.month_of_year(common).withColumn("month_name", month_name).join(common.agg(F.count_distinct("site").alias("common_panel_sites"))),
+        "shock_recovery": lambda: both.withColumn("community_label", F.concat(F.lit("Community "), F.col("community").cast("string"))),
+        "shock_rank": lambda: named.where("shock_change IS NOT NULL").orderBy("shock_change", "site").limit(12),
+        "latest_extremes": lambda: changes.extremes(named, "latest_change", "site", 8, 8),
+        "month_heatmap": lambda: panels.site_baseline(panel, settings.baseline_year).where(F.col("year_month").between(f"{settings.baseline_year}-01", p.heatmap_end)),
+        "hour_week_heatmap": lambda: profiles.heatmap(x.hours).withColumn("weekday_name", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("weekday")), "E")),
+        "site_approaches": lambda: x.sides.where(F.col("site") == p.focus_site).withColumn("approach", F.initcap("approach")),
+        "approach_shares": lambda: profiles.approach_shares(x.sides, ["south", "west", "north", "east"], settings.trusted_detector_coverage).join(labels, "site", "left"),
+        "community_nodes": lambda: summary().select(*x.nodes.columns, "name", "label", "community_label"),
+        "community_summary": lambda: community_summary(x.nodes, labels),
         "map_points": points,
-        "source_quality": x.sources.withColumn("month_date", F.concat("year_month", F.lit("-01"))),
-        "trusted_months": x.nodes.select("site", "trusted_months"),
+        "source_quality": lambda: x.sources.withColumn("month_date", F.concat("year_month", F.lit("-01"))),
+        "trusted_months": lambda: x.nodes.select("site", "trusted_months"),
         "site_summary": summary,
-        "anomaly_dates": anomaly_days(trend),
-    }
+        "anomaly_dates": lambda: anomaly_days(trend()),
+    })
 
 
 def peak_cell(heatmap: DataFrame, base: int = 4) -> DataFrame:
@@ -162,7 +183,7 @@ def placed(df: DataFrame, by: str, site: str = "site") -> DataFrame:
     return line.rows.withColumn("place", F.col(line.n).cast("int")).drop(line.n)
 
 
-def insights(sets: dict[str, DataFrame], p: Periods = Periods()) -> DataFrame:
+def insights(sets: Mapping[str, DataFrame], p: Periods = Periods()) -> DataFrame:
     """One row of findings: sites that fell and rose, correlations, the peak of the week, effects of three factors, and the
     places, peak side and corridor share of the focus site."""
     summary, nodes, sides = sets["site_summary"], sets["community_nodes"], sets["site_approaches"]
@@ -211,8 +232,8 @@ def run_summary(x: Inputs, settings: Settings = Settings()) -> DataFrame:
 SECTIONS = {"city": ("monthly", "changes"), "patterns": ("weekly", "seasonality"), "sites": ("shock_recovery", "approaches", "groups"), "quality": ("coverage",)}
 
 
-def explorer(sets: dict[str, DataFrame]) -> DataFrame:
-    """The explorer's eight charts in long form: (section, chart, trace, x, y, label), x as text.
+def explorer(sets: Mapping[str, DataFrame], only: str | None = None) -> DataFrame:
+    """The explorer's eight charts (or one of them) in long form: (section, chart, trace, x, y, label), x as text.
 
     Series by month are on the spine of source months, so that a month without data is a row without a value and no line
     bridges it. Months that are partly there give no value to a line either: they are traces of their own.
@@ -226,23 +247,32 @@ def explorer(sets: dict[str, DataFrame]) -> DataFrame:
         return df.select(F.lit(section[name]).alias("section"), F.lit(name).alias("chart"), as_text(trace).alias("trace"), as_text(x).alias("x"), y.cast("double").alias("y"), as_text(label).alias("label"))
 
     at, one = F.concat("year_month", F.lit("-01")), F.lit("all")
-    city = spine.join(sets["city_monthly"].select("year_month", "median_volume", "sites"), "year_month", "left")
-    steps = spine.join(sets["paired_changes"].select("year_month", "median_change", "period_label"), "year_month", "left")
-    cells = sets["hour_week_heatmap"].select("weekday_name", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"h{h:02d}").alias("v")) for h in range(24)])).alias("c"))
-    sides = spine.join(sets["site_approaches"].select("year_month", "approach", VALUE, F.col("coverage").alias("detectors")), "year_month", "left")
-    names = sets["site_approaches"].select("approach").distinct()
-    every = spine.select("year_month", "status").join(names).join(sides.select("year_month", "approach", VALUE), ["year_month", "approach"], "left")  # months and four sides
-    charts = [
-        chart("monthly", city, one, at, F.when(whole, F.col("median_volume")), F.col("sites")), chart("changes", steps, one, at, F.col("median_change"), F.col("period_label")),
-        chart("weekly", cells, F.col("weekday_name"), F.col("c.h"), F.col("c.v")), chart("seasonality", sets["seasonality"], one, F.col("month_name"), F.col("month_median"), F.col("common_panel_sites")),
-        chart("shock_recovery", sets["shock_recovery"], F.col("site"), F.col("shock_change"), F.col("recovery_change"), F.col("label")), chart("approaches", every, F.col("approach"), at, F.when(whole, F.col(VALUE))),
-        chart("approaches", every.where(part), F.concat("approach", F.lit(" (partial)")), at, F.col(VALUE)), chart("groups", sets["community_nodes"], F.col("site"), F.col(VALUE), F.col("weighted_degree"), F.col("label")),
-        chart("coverage", spine, F.col("status"), at, F.coalesce("coverage", F.lit(0.0))),
-    ]
-    return reduce(DataFrame.unionByName, charts)
+    by_month = lambda name, *columns: spine.join(sets[name].select("year_month", *columns), "year_month", "left")
+
+    def weekly() -> list[DataFrame]:
+        cells = sets["hour_week_heatmap"].select("weekday_name", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"h{h:02d}").alias("v")) for h in range(24)])).alias("c"))
+        return [chart("weekly", cells, F.col("weekday_name"), F.col("c.h"), F.col("c.v"))]
+
+    def approaches() -> list[DataFrame]:
+        sides = by_month("site_approaches", "approach", VALUE, F.col("coverage").alias("detectors"))
+        names = sets["site_approaches"].select("approach").distinct()
+        every = spine.select("year_month", "status").join(names).join(sides.select("year_month", "approach", VALUE), ["year_month", "approach"], "left")  # months and four sides
+        return [chart("approaches", every, F.col("approach"), at, F.when(whole, F.col(VALUE))), chart("approaches", every.where(part), F.concat("approach", F.lit(" (partial)")), at, F.col(VALUE))]
+
+    charts = {
+        "monthly": lambda: [chart("monthly", by_month("city_monthly", "median_volume", "sites"), one, at, F.when(whole, F.col("median_volume")), F.col("sites"))],
+        "changes": lambda: [chart("changes", by_month("paired_changes", "median_change", "period_label"), one, at, F.col("median_change"), F.col("period_label"))],
+        "weekly": weekly,
+        "seasonality": lambda: [chart("seasonality", sets["seasonality"], one, F.col("month_name"), F.col("month_median"), F.col("common_panel_sites"))],
+        "shock_recovery": lambda: [chart("shock_recovery", sets["shock_recovery"], F.col("site"), F.col("shock_change"), F.col("recovery_change"), F.col("label"))],
+        "approaches": approaches,
+        "groups": lambda: [chart("groups", sets["community_nodes"], F.col("site"), F.col(VALUE), F.col("weighted_degree"), F.col("label"))],
+        "coverage": lambda: [chart("coverage", spine, F.col("status"), at, F.coalesce("coverage", F.lit(0.0)))],
+    }
+    return reduce(DataFrame.unionByName, [d for name, made in charts.items() if only in (None, name) for d in made()])
 
 
-def explorer_payload(sets: dict[str, DataFrame], most: int = 20_000) -> str:
+def explorer_payload(sets: Mapping[str, DataFrame], most: int = 20_000) -> str:
     """The explorer as one JSON text: sections, charts by trace in order of x, and the sizes of the result sets."""
     rows = explorer(sets).orderBy("chart", "trace", F.col("x").try_cast("double"), "x").limit(most + 1).collect()
     if len(rows) > most:
@@ -270,7 +300,7 @@ def checks(x: Inputs, settings: Settings = Settings(), p: Periods = Periods(), l
     return one.withColumn("passed", ok)
 
 
-def artifact(sets: dict[str, DataFrame], most: int = 20_000) -> str:
+def artifact(sets: Mapping[str, DataFrame], most: int = 20_000) -> str:
     """The result sets as one JSON text, for a page: rows by name. Each set is checked to be small (`most` rows)."""
     out = {}
     for name, df in sets.items():
