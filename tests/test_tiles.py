@@ -58,3 +58,19 @@ def test_blocks_are_bounded(spark, monkeypatch):
     sizes = [r.n for r in blocks.by_blocks(table(spark, z), look, "n long").collect()]
     assert max(sizes) <= 30 and len(sizes) >= 40
     assert graph.correlations(table(spark, z)).count() == 90 * 89 // 2
+
+
+def test_eigenvector_in_rounds(spark, monkeypatch):
+    """The rounds on the cluster end where those on the driver do; a hub, a site without edges, two parts."""
+    r = np.random.default_rng(5)
+    pairs = {(0, k) for k in range(1, 25)} | {tuple(sorted(p)) for p in r.integers(0, 25, (40, 2)).tolist() if p[0] != p[1]} | {(30, 31), (31, 32)}
+    e = spark.createDataFrame([(a, b, float(r.uniform(0.2, 1)), 1.0) for a, b in sorted(pairs)], "src long, dst long, weight double, distance double").repartition(3)
+    n = spark.createDataFrame([(k,) for k in [*range(25), 30, 31, 32, 40]], "site long")
+    want = {x.site: x.eigenvector for x in graph.eigenvector(n, e).collect()}
+    got = {x.site: x.eigenvector for x in graph.eigenvector_in_rounds(n, e).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9 and want[0] > want[1]
+    assert {x.eigenvector for x in graph.eigenvector_in_rounds(n, e, rounds=1).collect()} == {None}
+    assert graph.eigenvector_in_rounds(n.limit(0), e.limit(0)).count() == 0
+    monkeypatch.setattr(graph, "MOST_NODES", 3)
+    large = {x.site: x.eigenvector for x in graph.eigenvector(n, e).collect()}
+    assert large.keys() == want.keys() and max(abs(large[k] - want[k]) for k in large) < 1e-9
