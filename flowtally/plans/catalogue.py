@@ -18,7 +18,7 @@ from ..functions import scalars as S
 from ..operators import asof, changes, context, detectors, external, graph, intervals, normalize, panels, profiles, quality, quantiles, shape
 from ..operators.line import Line
 from ..config import Periods, Settings
-from ..session import shared_folder
+from ..session import lineage_cut, shared_folder
 from ..sources import diagrams, records, tables
 from . import datasets
 
@@ -613,7 +613,12 @@ def graph_betweenness(spark, d):
     return graph.betweenness(*profile_graph(spark, d))
 
 
-@query("site ~eigenvector")
+@query("site ~eigenvector", "RECURSIVE " + GRAPH + """n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM z),
+u AS MATERIALIZED (SELECT src AS a, dst AS b, weight FROM e UNION ALL SELECT dst, src, weight FROM e UNION ALL SELECT site, site, 1.0 FROM z),
+y AS (SELECT 0 AS step, site, 1 / n AS x, n AS gap FROM z, n UNION ALL
+  SELECT step, site, v / norm, sum(abs(v / norm - was)) OVER () FROM (SELECT *, sqrt(sum(v * v) OVER ()) AS norm FROM
+    (SELECT step + 1 AS step, u.a AS site, sum(u.weight * y.x) AS v, sum(CASE WHEN u.a = u.b THEN y.x END) AS was FROM y JOIN u ON u.b = y.site, n WHERE gap >= n * 1e-6 AND step < 2000 GROUP BY step, u.a))),
+r AS (SELECT site, x AS eigenvector FROM y WHERE step = (SELECT max(step) FROM y))""")
 def graph_eigenvector(spark, d):
     return graph.eigenvector(*profile_graph(spark, d))
 
@@ -623,6 +628,18 @@ def graph_communities(spark, d):
     return graph.communities(*profile_graph(spark, d))
 
 
+@query("nodes edges components largest", "RECURSIVE " + GRAPH + """u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+q AS (SELECT site, site AS other FROM z UNION SELECT q.site, u.b FROM q JOIN u ON u.a = q.other),
+p AS (SELECT site, min(other) AS component FROM q GROUP BY 1), kk AS (SELECT component, count(*) AS k FROM p GROUP BY 1),
+r AS (SELECT (SELECT count(*) FROM z) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM kk) AS components, (SELECT max(k) FROM kk) AS largest)""")
+def graph_size(spark, d):
+    """Counts of the graph: nodes, edges, components and the largest of these."""
+    z, e = profile_graph(spark, d)
+    e = lineage_cut(e)
+    parts = graph.connected(z, e).groupBy("component").agg(F.count("*").alias("k")).agg(F.count("*").alias("components"), F.max("k").alias("largest"))
+    return z.agg(F.count("*").alias("nodes")).join(e.agg(F.count("*").alias("edges"))).join(parts)  # one row each
+
+
 @query("nodes edges communities components")
 def graph_metadata(spark, d):
     z, e = profile_graph(spark, d)
