@@ -9,6 +9,7 @@ report: what the others wrote. What an input leaves out is taken from earlier st
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .config import Periods, Settings
 from .functions import scalars as S
 from .operators import changes, context, detectors, external, graph, normalize, panels, profiles, quality, shape
-from .plans import datasets
+from .plans import datasets, manifest
 from .session import lineage_cut, session
 from .sources import diagrams, records, tables, workbook
 from .streaming import ingest as incremental
@@ -146,7 +147,8 @@ def add_context(spark: SparkSession, weather: str, policy: str, holidays: str, e
 
 def report(spark: SparkSession, out: str, s: Settings, periods: Periods = Periods()) -> None:
     """The report's result sets, their checks, insights, the run's summary and the explorer, of what is under {out}; all as
-    {out}/report/*, with the texts report.json, about.json and explorer.json. Steps that were left out leave their sets empty."""
+    {out}/report/*, with the texts report.json (the sets), manifest.json (how they are shown), short.json (the short report: its sets
+    and manifest), about.json, explorer.json and developer.json. Steps that were left out leave their sets empty."""
 
     def of(name: str, schema: str, **renamed: str) -> DataFrame:
         path = f"{out}/{name}"
@@ -165,7 +167,12 @@ def report(spark: SparkSession, out: str, s: Settings, periods: Periods = Period
     about = {n: _put(d, f"{out}/report/{n}") for n, d in about.items()}
     _put(datasets.explorer(sets), f"{out}/report/explorer")
     _put(datasets.map_sites(sets["site_summary"], located), f"{out}/report/map_sites")
-    for name, text in (("report", datasets.artifact(sets)), ("about", datasets.artifact(about)), ("explorer", datasets.explorer_payload(sets))):
+    whole = manifest.manifest(sets)
+    texts = {
+        "report": datasets.artifact(sets), "about": datasets.artifact(about), "explorer": datasets.explorer_payload(sets), "manifest": manifest.text(whole), "short": manifest.text({**manifest.report_manifest(whole), **json.loads(datasets.artifact({n: sets[n] for n in manifest.REPORT["sets"]}))}),
+        "developer": manifest.text(manifest.developer_view(sets, about["checks"], s)),
+    }
+    for name, text in texts.items():
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report/{name}.json")
 
 

@@ -39,6 +39,17 @@ def test_command_line(spark, tmp_path, monkeypatch):
     about = json.loads("".join(r.value for r in spark.read.text(f"{out}/report/about.json").collect()))["datasets"]
     assert {k: len(v) for k, v in about.items()} == {"checks": 1, "insights": 1, "summary": 1} and about["summary"][0]["site_months"] == 3
     assert spark.read.parquet(f"{out}/report/summary").first().operational_invalid_rate > 0 and spark.read.parquet(f"{out}/tables/graph_metadata").first().nodes == 3
+    read = lambda n: json.loads("".join(r.value for r in spark.read.text(f"{out}/report/{n}.json").collect()))
+    shown, short, developer = read("manifest"), read("short"), read("developer")
+    assert len(shown["charts"]) == 17 and len(shown["cards"]) == 7 and len(shown["tables"]) == 3 and set(shown["datasets"]) <= set(got)
+    for c in shown["charts"]:
+        named = [*c["encodings"].values(), *c["tooltip"], *c.get("wide", [])]
+        assert all(x["field"] in got[c["dataset"]][0] for x in named if got[c["dataset"]]), c
+    assert {c["id"]: c["encodings"]["y"]["format"] for c in shown["charts"] if c["id"] in ("changes", "months")} == {"changes": "percent", "months": "number"}
+    assert {c["id"]: c["encodings"]["x"]["type"] for c in shown["charts"] if c["id"] in ("months", "groups", "links")} == {"months": "temporal", "groups": "nominal", "links": "quantitative"}
+    assert len(short["charts"]) == 3 == len(short["tables"]) and len(short["datasets"]) == 8 and short["datasets"]["headline"] == got["headline"]
+    assert {d["id"]: d["count"] for d in developer["datasets"]} == {k: len(v) for k, v in got.items()} and {"name": "dtw_window", "value": 3} in developer["rules"]
+    assert next(f for d in developer["datasets"] if d["id"] == "site_summary" for f in d["fields"] if f["field"] == "site")["known"] == 3 and developer["checks"]["monthly_repeats"] == 0
     before = spark.read.parquet(f"{out}/fact").count()
     cli.main(["ingest", "--raw", str(raw), "--detectors", str(detectors), "--out", out])
     assert spark.read.parquet(f"{out}/fact").count() == before == 3 * (96 * 31 + 1)
