@@ -165,8 +165,9 @@ def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return rows.join(low, ["band", "k", "key"]).where("id <> y").groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("c")).where(F.col("c") >= AGREE).select("x", "y")
 
 
-def candidates(prefix: DataFrame, percent: int) -> DataFrame:
-    """(x, y) that may be similar and are in different components so far; prefix: (id, n, level, tokens, c).
+def candidates(prefix: DataFrame, percent: int, path: str) -> DataFrame:
+    """(x, y) that may be similar and are in different components so far; prefix: (id, n, level, tokens, c), the table at path, which
+    goes as soon as what is live in it has been written.
 
     A shingle that one component alone has in its prefixes is dropped; a document with more of these than a partner may
     lack, or whose other shingles all come after so many, has no partner outside its component and goes too. With fewer,
@@ -217,6 +218,9 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     source = prefix.select("id", "n", "level", "c", "tokens")
     rows = source.mapInArrow(by_shingle, "id long, n long, level int, c long, token long, top long, k long, head array<long>")
     rows, at_rows = common.write_table(rows.join(spread, "token", "left_semi"), "postings")
+    whole, at_whole = common.write_table(source.mapInArrow(by_document, "id long, n long, level int, live array<long>, places array<long>"), "live")
+    common.drop_table(spark, path)
+    common.drop_table(spark, at_spread)
     per = rows.groupBy("token", "c").agg(F.count("*").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("top").alias("top"))
     names = ("c", "d", "lo", "hi", "top")
     a, b = (per.select("token", *[F.col(v).alias(f"{v}{j}") for v in names]) for j in (1, 2))
@@ -236,7 +240,7 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     m = met.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"]).where(fits & once & enough).select(F.greatest("id1", "id2").alias("x"), F.least("id1", "id2").alias("y")).distinct()
     m, at_met = common.write_table(m, "met")
     common.drop_table(spark, at_per)
-    whole, at_whole = common.write_table(source.mapInArrow(by_document, "id long, n long, level int, live array<long>, places array<long>"), "live")
+    common.drop_table(spark, at_rows)
     of = lambda v, j: whole.select(F.col("id").alias(v), *[F.col(w).alias(f"{w}{j}") for w in ("n", "level", "live", "places")])
     by_x, by_y = common.hot_keys(m, ["x"]), common.hot_keys(m, ["y"])
     m = common.dealt(common.dealt(m, by_x, ["x"], "px", ["y"]), by_y, ["y"], "py", ["x"])
@@ -247,8 +251,6 @@ def candidates(prefix: DataFrame, percent: int) -> DataFrame:
     got = both.withColumn("shared", shared).where(F.size("shared") >= need)
     got = got.where((100 + percent) * (F.size("shared") - 1 + F.least(left(1), left(2))) >= percent * (F.col("n1") + F.col("n2"))).select("x", "y")
     out, _ = common.write_table(got.distinct(), "candidates")
-    common.drop_table(spark, at_spread)
-    common.drop_table(spark, at_rows)
     common.drop_table(spark, at_met)
     common.drop_table(spark, at_whole)
     return out
@@ -282,9 +284,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     known = low.join(hop, "c", "left").select("id", F.coalesce("c_next", "c").alias("c"))
     prefix = prefixes(docs, id_col, text, n, percent, counts).join(only, "id", "left_semi").join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
     prefix, at_prefix = common.write_table(prefix, "prefixes")
-    found = candidates(prefix, percent)
-    common.drop_table(spark, at_prefix)
     common.drop_table(spark, at_pairs)
+    found = candidates(prefix, percent, at_prefix)
     links = stars.unionByName(verified(docs, id_col, text, n, percent, found)).distinct()
     links, _ = common.write_table(links, "links")
     return members, links

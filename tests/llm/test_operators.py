@@ -555,7 +555,7 @@ def test_bitmap(spark):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
