@@ -99,7 +99,7 @@ def analyze(spark: SparkSession, out: str, s: Settings) -> None:
     # Shapes of days pool the weekdays.
     pooled = hours.groupBy("site", F.col("hour").alias("bin")).agg((F.sum("volume_sum") / F.sum("observations")).alias("value"))
     cluster = shape.clusters(graph.standardized(pooled, 20, constant=True), s.dtw_window)
-    volume = panel.groupBy("site").agg(F.avg("mean_volume").alias("mean_volume"), F.count("*").alias("trusted_months"))
+    volume = panel.groupBy("site").agg(S.mean_in_order(F.col("mean_volume"), F.col("year_month")).alias("mean_volume"), F.count("*").alias("trusted_months"))
     j = graph.degrees(nodes, edges)
     for more in (graph.betweenness(nodes, edges), graph.eigenvector(nodes, edges), graph.communities(nodes, edges), cluster.withColumnRenamed("cluster", "dtw_cluster").drop("silhouette"), volume):
         j = j.join(more, "site", "left")

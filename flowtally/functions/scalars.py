@@ -111,3 +111,10 @@ def approach(x: Column, y: Column, cx: float = 690, cy: float = 347) -> Column:
 def inside(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
     """(south, west, north, east), borders included."""
     return lat.between(box[0], box[2]) & lon.between(box[1], box[3])
+
+
+def mean_in_order(value: Column, order: Column) -> Column:
+    """The mean of a group's known values, added up in this order: groups with the same values have the same mean to the last bit,
+    however their rows were dealt out. For groups of a bounded size."""
+    rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.cast("double").alias("v")))))
+    return F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["v"]) / F.nullif(F.count(value), F.lit(0))

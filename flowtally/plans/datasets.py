@@ -32,7 +32,7 @@ def site_changes(panel: DataFrame, p: Periods, limit: float = 0.5) -> DataFrame:
     at = lambda m: F.max(F.when(F.col("year_month") == m, v))
     inside = lambda span: F.when(F.col("year_month").between(*span), v)
     g = changes.consecutive(panel, VALUE).groupBy("site").agg(
-        F.count("*").alias("months"), F.avg(v).alias("site_mean"), F.stddev_samp(v).alias("site_std"), F.max(F.abs("change")).alias("max_abs_change"),
+        F.count("*").alias("months"), S.mean_in_order(v, F.col("year_month")).alias("site_mean"), F.stddev_samp(v).alias("site_std"), F.max(F.abs("change")).alias("max_abs_change"),
         F.median(inside(p.before)).alias("before_median"), F.count(inside(p.before)).alias("before_months"), F.median(inside(p.after)).alias("after_median"), F.count(inside(p.after)).alias("after_months"),
         S.ratio(at(p.shock[1]), at(p.shock[0])).alias("shock_change"), S.ratio(at(p.recovery[1]), at(p.recovery[0])).alias("recovery_change"), S.ratio(at(p.latest[1]), at(p.latest[0])).alias("latest_change"),
     )

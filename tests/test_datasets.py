@@ -101,3 +101,17 @@ def test_insights_and_explorer(inputs, spark):
         assert set(values) == {"2020-12"} if "partial" in t else values["2020-12"] is None is values["2020-11"]
     found = datasets.map_sites(sets["site_summary"].select("site"), spark.createDataFrame([(1, 1.0, 1.0, "low", "direct_name"), (2, 1.0, 1.0, "medium", "street_pair"), (3, 1.0, 1.0, "high", "street_pair")], "site long, lat double, lon double, confidence string, method string"))
     assert {r.site: r.reliable for r in found.collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_means_of_copies_are_equal(spark, monkeypatch):
+    import random
+
+    from flowtally.plans import catalogue
+
+    months = [(f"1995-{m:02d}", 10.0**k + 0.1) for m, k in zip(range(1, 11), (9, 0, -3, 7, 2, -1, 8, 1, 5, -2), strict=True)]
+    rows = [(s, m, v) for s in range(1, 9) for m, v in random.Random(s).sample(months, len(months))]
+    random.Random(0).shuffle(rows)
+    monkeypatch.setattr(catalogue, "panel", lambda spark, d: spark.createDataFrame(rows, "site long, year_month string, mean_volume double").repartition(7))
+    suppliers = spark.createDataFrame([(s, 1, 1.0) for s in range(1, 9)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    monkeypatch.setattr(catalogue, "table", lambda spark, d, name: suppliers)
+    assert len({r.mean_volume for r in catalogue.nodes(spark, "").collect()}) == 1  # so that they share a rank
