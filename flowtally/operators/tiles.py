@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,10 @@ from ..session import lineage_cut
 #: Pivots, the sample (rows with the least hashes) they are chosen from, and rows of a tile at most.
 PIVOTS, SAMPLE, ROWS = 64, 2048, 1024
 
-Look = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], dict[str, np.ndarray]]
+#: Tiles of a group at most: what is sent grows with the square of the rows over this.
+GROUP = 64
+
+Look = Callable[[dict[int, tuple[np.ndarray, np.ndarray]], list[tuple[int, int]]], dict[str, np.ndarray]]
 
 
 def spread(x: np.ndarray, k: int) -> np.ndarray:
@@ -38,7 +42,7 @@ class Tiles:
 
     reach(x) gives, for the rows of a tile, a distance within which everything lies that any row of the table needs from
     it or it needs from others, as far as the tile itself tells: the farthest is the tile's. Rows are dealt out in ranges of
-    (pivot, distance, site), so a pivot that most rows are near to has many tiles. A task holds one tile, or two.
+    (pivot, distance, site), so a pivot that most rows are near to has many tiles. A task holds one tile, or two groups of them.
     """
 
     def __init__(self, z: DataFrame, reach: Callable[[np.ndarray], np.ndarray], pivots: int = PIVOTS, rows: int = ROWS) -> None:
@@ -84,18 +88,29 @@ class Tiles:
         return j.where(least <= F.greatest("reach_a", "reach_b") + slack).select("a", "b")
 
     def looked(self, look: Look, schema: str) -> DataFrame:
-        """Rows that look(sites, matrix, sites, matrix, same) gives for the pairs of tiles."""
-        dims = self.dims
+        """Rows that look(tiles, pairs) gives: tiles are (sites, matrix) by their numbers, pairs those of them to compare.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = lambda sites, x: (sites.values.to_numpy(), np.frombuffer(x.as_py(), np.float64).reshape(-1, dims))
-            for b in batches:
-                for p, q, s, x, t, y in zip(*[b[c] for c in ("a", "b", "s", "x", "t", "y")], strict=True):
-                    yield pa.RecordBatch.from_pydict(look(*of(s, x), *of(t, y), p == q))
-
-        left, right = self.tiles.selectExpr("tile AS a", "sites AS s", "x"), self.tiles.selectExpr("tile AS b", "sites AS t", "x AS y")
+        Tiles are put to groups, as many that there are pairs of groups for all tasks, or as many more as it takes for groups of
+        GROUP tiles: a task holds two groups at a time. A tile is sent once for each group that it has a partner in, not for each
+        partner, and look() can put together what it finds for a row in all tiles of a group."""
+        dims = self.dims
         tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return self.pairs().join(left, "a").join(right, "b").repartition(tasks, "a", "b").select("a", "b", "s", "x", "t", "y").mapInArrow(run, schema)
+        m = max(1, math.isqrt(2 * tasks))
+        size = min(GROUP, max(1, -(-self.tiles.count() // m)))
+        group = lambda c: (F.shiftright(c, 33) * (1 << 32) + F.floor(F.col(c).bitwiseAND(F.lit((1 << 33) - 1)) / size)).cast("long")
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("tile")
+            of, pairs = {}, []
+            for k, partners, sites, x in zip(t["tile"].to_pylist(), t["partners"].to_pylist(), t["sites"], t["x"], strict=True):
+                of[k] = sites.values.to_numpy(), np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dims)
+                pairs += [(k, j) for j in sorted(partners or ())]
+            return pa.Table.from_pydict(look(of, pairs))
+
+        p = self.pairs().select(group("a").alias("i"), group("b").alias("j"), "a", "b")
+        own = p.groupBy("i", "j", F.col("a").alias("tile")).agg(F.collect_list("b").alias("partners"))
+        needed = own.unionByName(p.select("i", "j", F.col("b").alias("tile"), F.lit(None).cast("array<long>").alias("partners"))).groupBy("i", "j", "tile").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+        return needed.join(self.tiles.select("tile", "sites", "x"), "tile").repartition(max(tasks, m * (m + 1) // 2), "i", "j").groupBy("i", "j").applyInArrow(run, schema)
 
 
 _TILE = pa.schema([("pivot", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("reach", pa.float64()), ("sites", pa.list_(pa.int64())), ("x", pa.binary())])

@@ -74,3 +74,11 @@ def test_eigenvector_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_NODES", 3)
     large = {x.site: x.eigenvector for x in graph.eigenvector(n, e).collect()}
     assert large.keys() == want.keys() and max(abs(large[k] - want[k]) for k in large) < 1e-9
+
+
+def test_tiles_are_sent_by_groups(spark, monkeypatch):
+    """A tile is sent once for each group of tiles, not once for each tile that it is compared with."""
+    monkeypatch.setattr(tiles.Tiles.__init__, "__defaults__", (8, 16))
+    t = graph.tiled(table(spark, standard(np.random.default_rng(4).normal(size=(600, 24)))), 4, 0.05)
+    calls = t.looked(lambda of, pairs: {"sent": np.array([len(of)]), "pairs": np.array([len(pairs)])}, "sent long, pairs long").collect()
+    assert sum(c.pairs for c in calls) == t.pairs().count() > 4 * sum(c.sent for c in calls)
