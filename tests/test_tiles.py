@@ -82,3 +82,16 @@ def test_tiles_are_sent_by_groups(spark, monkeypatch):
     t = graph.tiled(table(spark, standard(np.random.default_rng(4).normal(size=(600, 24)))), 4, 0.05)
     calls = t.looked(lambda of, pairs: {"sent": np.array([len(of)]), "pairs": np.array([len(pairs)])}, "sent long, pairs long").collect()
     assert sum(c.pairs for c in calls) == t.pairs().count() > 4 * sum(c.sent for c in calls)
+
+
+def test_communities_of_large_graphs(spark, monkeypatch):
+    """A graph that the driver doesn't take is merged by components, with the same communities."""
+    r = np.random.default_rng(9)
+    pairs = {tuple(sorted(p)) for k in range(4) for p in (r.integers(0, 20, (45, 2)) + 20 * k).tolist() if p[0] != p[1]}
+    e = spark.createDataFrame([(a, b, float(w), 1.0) for (a, b), w in zip(sorted(pairs), r.uniform(0.2, 1, len(pairs)), strict=True)], "src long, dst long, weight double, distance double").repartition(3)
+    n = spark.createDataFrame([(k,) for k in range(85)], "site long")
+    for term in ("unit", "weight"):
+        want = {x.site: x.community for x in graph.communities(n, e, term).collect()}
+        with monkeypatch.context() as small:
+            small.setattr(graph, "MOST_NODES", 3)
+            assert {x.site: x.community for x in graph.communities(n, e, term).collect()} == want and len(want) == 85
