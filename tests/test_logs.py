@@ -295,3 +295,17 @@ def test_metadata_from_diagrams(spark, tmp_path, monkeypatch):
     d = {(r.site, r.channel): r.approach for r in spark.read.parquet(f"{out}/detectors").collect()}
     assert d == {(5, 1): "south", (5, 2): "south", (5, 3): "west", (6, 7): "unknown"}
     assert {r.site: r.has_diagram for r in spark.read.parquet(f"{out}/inventory").collect()} == {5: True, 6: False, 8: True}
+
+
+def test_holes_of_a_winding_shape():
+    """Holes are found in time in proportion to the image, however long the way from outside is."""
+    import time
+
+    wall = np.zeros((401, 401), bool)
+    wall[::2] = True
+    wall[1::4, 0] = wall[3::4, -1] = True  # what is free winds through the rows
+    wall[100, 199:202] = wall[102, 199:202] = wall[101, [199, 201]] = True
+    wall[101, 300:303] = [True, False, True]
+    begun = time.perf_counter()
+    filled = diagrams._filled(wall)
+    assert time.perf_counter() - begun < 2 and filled[101, 301] and filled[101, 200] and not filled[1, 200]
