@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from flowtally.operators import blocks, graph, tiles
+from flowtally.operators import blocks, graph, shape, tiles
 
 
 def standard(x):
@@ -95,3 +95,34 @@ def test_communities_of_large_graphs(spark, monkeypatch):
         with monkeypatch.context() as small:
             small.setattr(graph, "MOST_NODES", 3)
             assert {x.site: x.community for x in graph.communities(n, e, term).collect()} == want and len(want) == 85
+
+
+def test_clusters_of_many_sites(spark, monkeypatch):
+    """More sites than the driver takes are merged in rounds, with the clusters and the silhouette of the driver: groups, copies, and
+    two far ones that merge early and yet are a cluster of their own."""
+    r = np.random.default_rng(11)
+    for kind in (1, 2):
+        x = r.normal(size=(4, 8))[r.integers(0, 4, 60)] * 2 + r.normal(scale=0.3, size=(60, 8))
+        x = np.concatenate([x, np.tile(x[:1], (25, 1)), np.full((1, 8), 30.0), np.full((1, 8), 30.5)])
+        x = x if kind == 1 else np.concatenate([x, r.normal(size=(60, 8)), np.array([[9.0] * 4 + [-9.0] * 4])])
+        d = table(spark, x)
+        want = {e.site: (e.cluster, e.silhouette) for e in shape.clusters(d).collect()}
+        with monkeypatch.context() as small:
+            small.setattr(shape, "MOST_SITES", 30)
+            small.setattr(blocks, "ROWS", 40)
+            got = {e.site: (e.cluster, e.silhouette) for e in shape.clusters(d).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    monkeypatch.setattr(shape, "MOST_SITES", 3)
+    same = table(spark, np.ones((5, 8)))
+    assert {(e.site, e.cluster, e.silhouette) for e in shape.clusters(same).collect()} == {(k, 1 + (k == 4), 0.0) for k in range(5)}
+    two = table(spark, np.array([[0.0] * 8] * 4 + [[1.0] * 8] * 3))
+    assert {(e.site, e.cluster, e.silhouette) for e in shape.clusters(two).collect()} == {(k, 1 + (k > 3), 1.0) for k in range(7)}
+
+
+def test_warping_all_pairs():
+    """All rows of two blocks at once cost what they cost one to one, whatever is warped together."""
+    r = np.random.default_rng(12)
+    x, y = r.normal(size=(37, 24)), r.normal(size=(53, 24))
+    i, j = np.divmod(np.arange(37 * 53), 53)
+    assert (shape.every(x, y, 3).ravel() == shape.warped(x[i], y[j], 3)).all()
+    assert (shape.every(x, x, 3, same=True) == np.triu(shape.every(x, x, 3), 1)).all()
