@@ -45,9 +45,10 @@ class Tiles:
     (pivot, distance, site), so a pivot that most rows are near to has many tiles. A task holds one tile, or two groups of them.
     """
 
-    def __init__(self, z: DataFrame, reach: Callable[[np.ndarray], np.ndarray], pivots: int = PIVOTS, rows: int = ROWS) -> None:
+    def __init__(self, z: DataFrame, reach: Callable[[np.ndarray], np.ndarray], pivots: int = PIVOTS, rows: int = ROWS, *, held: bool = False) -> None:
         self.spark = z.sparkSession
-        z = lineage_cut(z.select(F.col("site").cast("long").alias("site"), "z"))
+        z = z.select(F.col("site").cast("long").alias("site"), "z")
+        z = z if held else lineage_cut(z)
         self.n, dims = z.agg(F.count("*"), F.max(F.size("z"))).first()
         self.dims = dims = dims or 0
         some = z.orderBy(F.xxhash64("site"), "site").limit(SAMPLE).select("z").toArrow()["z"].combine_chunks()

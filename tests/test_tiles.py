@@ -126,3 +126,25 @@ def test_warping_all_pairs():
     i, j = np.divmod(np.arange(37 * 53), 53)
     assert (shape.every(x, y, 3).ravel() == shape.warped(x[i], y[j], 3)).all()
     assert (shape.every(x, x, 3, same=True) == np.triu(shape.every(x, x, 3), 1)).all()
+
+
+def test_shuffles_go_with_their_checkpoint(spark):
+    """What was shuffled for a checkpointed table doesn't stay on the disk of executors."""
+    from flowtally.session import lineage_cut
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: {f for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = held()
+    d = lineage_cut(spark.range(1000).groupBy("id").count())
+    assert not [f for f in held() - before if f.endswith(".data")] and d.count() == 1000
+
+
+def test_standardized_profiles(spark):
+    """Gaps take the site's median; short and level sites go, whatever a mean's rounding."""
+    rows = [(1, 0, 1.0), (1, 1, 4.0), (1, 3, 2.0), (1, 2, None), (2, 0, 5.0), (3, 0, 0.1), (3, 1, 0.1), (3, 2, 0.1), (3, 3, 0.1)]
+    d = spark.createDataFrame(rows, "site long, bin int, value double").repartition(3)
+    x = np.array([1.0, 4.0, 2.0, 2.0])
+    got = {r.site: r.z for r in graph.standardized(d, 3).collect()}
+    assert got.keys() == {1} and np.allclose(got[1], (x - x.mean()) / x.std(), atol=1e-14)
+    assert {r.site: r.z for r in graph.standardized(d, 3, constant=True).collect()}[3] == [0.0] * 4
+    assert graph.standardized(d.limit(0), 3).count() == 0
