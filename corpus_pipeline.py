@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each but the last written to the shared folder."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        with common.dropping() as kept:  # what operators wrote meanwhile
+        with common.small_batches(spark), common.dropping() as kept:  # what operators wrote meanwhile
             docs, at = common.write_table(stage(spark, docs, sf_dir), "stage")
             kept.append(at)
         if last:

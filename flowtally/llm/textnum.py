@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are looked at together; a row longer than this is cut only between its words.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -49,7 +49,7 @@ class Words:
         if fold:
             self.byte[65:91] = self.byte[97:123]
 
-    def blocks(self, texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def blocks(self, texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, words of each row, 64-bit hashes of all words) for runs of rows.
 
         A null text has no words. Rows are grouped to about `most` bytes; every text is read whole.

@@ -37,3 +37,44 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_of_stages_are_small(spark, tmp_path, monkeypatch):
+    """Stages send texts to Python by a thousand at most, and the session's own bound is back afterwards."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.range(2500).selectExpr("id AS doc_id", "'x' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(spark, docs, sf_dir):
+        return docs.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes), ("as it is", lambda spark, docs, sf_dir: docs)])
+    got = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(got) == 2500 and max(got) <= 1000 and spark.conf.get(key) == before
+
+
+def test_gathered_features_are_copied_once():
+    """What the driver fits on takes eight bytes an entry beside the rows it got, in the order of their hashes."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from flowtally.llm import quality
+
+    r = np.random.default_rng(2)
+    n = 40_000
+    many = lambda kind: [r.integers(0, 9, n).astype(kind).tobytes() for _ in range(50)]
+    h = r.permutation(50)
+    rows = pa.concat_tables([pa.table({"h": h[a:b], "k": h[a:b] + 1, "code": h[a:b] * 3, "i": pa.array(i, pa.binary()), "v": pa.array(v, pa.binary())}) for a, b, i, v in [(0, 20, many(np.int32)[:20], many(np.float32)[:20]), (20, 50, many(np.int32)[:30], many(np.float32)[:30])]])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    index, value, per, code, times = quality._in_order(rows)
+    peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert peak < 1.1 * 8 * 50 * n
+    s = rows.sort_by("h")
+    assert (index == np.frombuffer(b"".join(s["i"].to_pylist()), np.int32)).all() and (value == np.frombuffer(b"".join(s["v"].to_pylist()), np.float32)).all()
+    assert (per == n).all() and code.tolist() == list(range(0, 150, 3)) and times.tolist() == list(range(1, 51))
