@@ -148,3 +148,49 @@ def test_standardized_profiles(spark):
     assert got.keys() == {1} and np.allclose(got[1], (x - x.mean()) / x.std(), atol=1e-14)
     assert {r.site: r.z for r in graph.standardized(d, 3, constant=True).collect()}[3] == [0.0] * 4
     assert graph.standardized(d.limit(0), 3).count() == 0
+
+
+def between(sites, edges):
+    """Betweenness from all shortest paths between two sites, listed one by one."""
+    near = {s: {} for s in sites}
+    for a, b, _, x in edges:
+        near[a][b] = near[b][a] = x
+    total = dict.fromkeys(sites, 0.0)
+    for s in sites:
+        best, paths, todo = {s: 0.0}, {s: [[s]]}, [[s]]
+        while todo:
+            p = todo.pop()
+            for v, x in near[p[-1]].items():
+                d = sum(near[a][b] for a, b in zip(p, p[1:], strict=False)) + x
+                if v not in p and d <= best.get(v, d):
+                    paths[v] = [q for q in paths.get(v, []) if d == best[v]] + [[*p, v]]
+                    best[v] = d
+                    todo.append([*p, v])
+        for t, all_of in paths.items():
+            mine = {tuple(q) for q in all_of if sum(near[a][b] for a, b in zip(q, q[1:], strict=False)) == best[t]}
+            for q in mine:
+                for v in q[1:-1]:
+                    total[v] += 1 / len(mine)
+    k = len(sites)
+    return {v: x / ((k - 1) * (k - 2)) for v, x in total.items()}
+
+
+def test_betweenness_of_large_graphs(spark, monkeypatch):
+    """Graphs that the driver doesn't take are not refused: packed for the tasks, or in rounds on the cluster. Ties, a hub, a site
+    without edges, two parts."""
+    r = np.random.default_rng(13)
+    pairs = {(0, k) for k in range(1, 9)} | {tuple(sorted(p)) for p in r.integers(0, 14, (16, 2)).tolist() if p[0] != p[1]} | {(20, 21), (21, 22)}
+    sites = [*range(14), 20, 21, 22, 30]
+    n = spark.createDataFrame([(k,) for k in sites], "site long")
+    kind = "src long, dst long, weight double, distance double"
+    monkeypatch.setattr(graph, "MOST_NODES", 3)
+    for step in (1, 64):
+        rows = [(a, b, 1.0, int(x) / step) for (a, b), x in zip(sorted(pairs), r.integers(1, 3 if step == 1 else 200, len(pairs)), strict=True)]
+        e, want = spark.createDataFrame(rows, kind).repartition(3), between(sites, rows)
+        got = {x.site: x.betweenness for x in graph.betweenness(n, e).collect()}
+        assert got == pytest.approx(want, abs=1e-12) and want[0] > 0 == want[30]
+    with monkeypatch.context() as small:
+        small.setattr(graph, "HELD_NODES", 3)
+        assert {x.site: x.betweenness for x in graph.betweenness(n, e).collect()} == pytest.approx(want, abs=1e-12)
+    assert {x.site: x.betweenness for x in graph.betweenness_in_rounds(n, spark.createDataFrame([(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.0)], kind), rows=100).collect()}[1] == pytest.approx(2 / (17 * 16))
+    assert [x.betweenness for x in graph.betweenness(n, e.limit(0)).collect()] == [0.0] * 18 and graph.betweenness(n.limit(0), e.limit(0)).count() == 0
