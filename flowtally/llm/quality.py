@@ -268,7 +268,9 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> Qualit
                 )
 
     sample = docs.select(h.alias("h"), whole.alias("t")).where(F.col("h") <= bound).groupBy("h").agg(F.first("t").alias("t"), F.count("*").alias("k"))
-    rows = sample.select("h", "t", "k").mapInArrow(gather, "h long, k long, code long, i binary, v binary").toArrow()
+    found, at = common.write_table(sample.select("h", "t", "k").mapInArrow(gather, "h long, k long, code long, i binary, v binary"), "fit")
+    rows = common.fetched(found, pa.schema([("h", pa.int64()), ("k", pa.int64()), ("code", pa.int64()), ("i", pa.binary()), ("v", pa.binary())]))
+    common.drop_table(docs.sparkSession, at)
     if not rows.num_rows:
         return QualityModel(labels, np.zeros(1 << WEIGHT_BITS), 0.0)
     index, value, per, code, times = _in_order(rows)

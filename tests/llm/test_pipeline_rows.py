@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from flowtally.llm import common
+from flowtally.llm import common, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, part int, uid string, base string, copy int, h int"
 
@@ -78,3 +78,27 @@ def test_gathered_features_are_copied_once():
     s = rows.sort_by("h")
     assert (index == np.frombuffer(b"".join(s["i"].to_pylist()), np.int32)).all() and (value == np.frombuffer(b"".join(s["v"].to_pylist()), np.float32)).all()
     assert (per == n).all() and code.tolist() == list(range(0, 150, 3)) and times.tolist() == list(range(1, 51))
+
+
+def test_the_fit_comes_by_partitions(spark, monkeypatch):
+    """The sample for the quality scorer doesn't pass the driver's JVM as one result, and the model is that of the sample in one piece."""
+    d = spark.createDataFrame([(f"the word {k} of it is {'good. ' * (k % 7)}{'#$% ' * (k % 3)}",) for k in range(300)], "text string").repartition(5)
+    kind, seen = type(d), []
+    monkeypatch.setattr(kind, "toArrow", lambda self, f=kind.toArrow: seen.append(self.columns) or f(self))
+    model = quality.fit(d)
+    assert seen == [["code", "n"]]
+    monkeypatch.setattr(common, "fetched", lambda df, schema: df.toArrow().cast(schema))
+    whole = quality.fit(d)
+    assert model.bias == whole.bias and (model.weights == whole.weights).all() and model.weights.any()
+    assert quality.fit(d.limit(0)).bias == 0.0
+
+
+def test_the_heap_is_given_back():
+    """The driver's garbage is collected only once the heap is more than half of what it may be."""
+    from types import SimpleNamespace as Of
+
+    calls = []
+    for total in (40, 50, 51, 100):
+        heap = Of(totalMemory=lambda total=total: total, maxMemory=lambda: 100)
+        common.give_back(Of(sparkContext=Of(_jvm=Of(java=Of(lang=Of(Runtime=Of(getRuntime=lambda heap=heap: heap), System=Of(gc=lambda total=total: calls.append(total))))))))
+    assert calls == [51, 100]
