@@ -17,15 +17,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier, fitted on these documents, doesn't reject.
 
     Ids play no part. Null and empty texts are rejected where there are others to learn from; rows that repeat are judged
-    alike."""
-    return quality.scored(docs, quality.fit(docs)).where("quality_keep").select(*docs.columns)
+    alike. The result is a written table, as its scoring sends whole texts to Python."""
+    with common.small_batches(spark):
+        return common.write_table(quality.scored(docs, quality.fit(docs)).where("quality_keep").select(*docs.columns), "quality")[0]
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8.
 
     Documents without an id or without words stay; of rows that repeat an id with words one stays."""
-    return ngram_join.deduplicated(docs)
+    with common.small_batches(spark):
+        return ngram_join.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null texts stay; without an id a document is judged by its text; rows of one id go together."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontamination.clean(docs, items)
+    with common.small_batches(spark):
+        return decontamination.clean(docs, items)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

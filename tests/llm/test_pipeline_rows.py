@@ -102,3 +102,20 @@ def test_the_heap_is_given_back():
         heap = Of(totalMemory=lambda total=total: total, maxMemory=lambda: 100)
         common.give_back(Of(sparkContext=Of(_jvm=Of(java=Of(lang=Of(Runtime=Of(getRuntime=lambda heap=heap: heap), System=Of(gc=lambda total=total: calls.append(total))))))))
     assert calls == [51, 100]
+
+
+def test_stages_on_their_own_send_small_batches(spark, tmp_path, monkeypatch):
+    """A stage sends texts to Python by a thousand at most also where run() doesn't call it, and what it returns needs no Python any more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    docs = spark.createDataFrame([(k, f"the word {k % 9} of it is {'good. ' * (k % 7)}", "en", "s", 9) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "of it is good")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(common, "write_table", lambda df, *a, f=common.write_table: seen.append(int(spark.conf.get(key))) or f(df, *a))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name not in ("PII", "mixing sources"):
+            assert seen and max(seen) <= 1000, name
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan, name
+        assert spark.conf.get(key) == before
+        seen.clear()
