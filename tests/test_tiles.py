@@ -119,6 +119,23 @@ def test_clusters_of_many_sites(spark, monkeypatch):
     assert {(e.site, e.cluster, e.silhouette) for e in shape.clusters(two).collect()} == {(k, 1 + (k > 3), 1.0) for k in range(7)}
 
 
+def test_blocks_go_through_one_shuffle(spark, monkeypatch):
+    """Rows are sent once for each block, in one shuffle, whatever is looked at together; a site's rows stay together."""
+    monkeypatch.setattr(blocks, "ROWS", 10)
+    sites = [5] * 25 + list(range(10, 75))
+    z = spark.createDataFrame([(k, [float(i), 1.0]) for i, k in enumerate(sites)], "site long, z array<double>").repartition(5)
+
+    def look(s, x, t, y, same):
+        return {"a": [s.tolist()], "b": [t.tolist()], "pairs": [sum(p != q for p in x[:, 0] for q in y[:, 0]) // (1 + same)]}
+
+    d = blocks.by_blocks(z, look, "a array<long>, b array<long>, pairs long")
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = d.collect()
+    assert sum(r.pairs for r in got) == 90 * 89 // 2
+    for x in (r[c] for r in got for c in ("a", "b")):
+        assert len(x) <= 10 and 5 not in x or x.count(5) == 25
+
+
 def test_warping_all_pairs():
     """All rows of two blocks at once cost what they cost one to one, whatever is warped together."""
     r = np.random.default_rng(12)
