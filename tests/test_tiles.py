@@ -1,9 +1,13 @@
 """Nearest profiles by tiles: the edges of all pairs, from fewer pairs of tiles."""
 
+import math
+from datetime import datetime
+
 import numpy as np
 import pytest
 
 from flowtally.operators import blocks, graph, shape, tiles
+from flowtally.plans import catalogue
 
 
 def standard(x):
@@ -136,6 +140,18 @@ def test_blocks_go_through_one_shuffle(spark, monkeypatch):
         assert len(x) <= 10 and 5 not in x or x.count(5) == 25
 
 
+def test_shapes_of_equal_readings_are_equal(spark, tmp_path):
+    """Whatever order its readings come in, a user has the same shape, to the last bit, so that copies are one from the start."""
+    r = np.random.default_rng(13)
+    hours, v = np.repeat(np.arange(24), 30), np.concatenate([r.lognormal(3, 2, 700), [1e9 + 0.1, 3e13, -0.7, 0.1, 0.2, 0.3] * 3, [1e-9, 0.0]])
+    rows = [(u, datetime(2024, 1, 1 + int(i) % 28, int(hours[i])), float(v[i])) for u in range(6) for i in (r.permutation(720) if u else range(720))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    z = [e.z for e in catalogue.hour_shapes(spark, str(tmp_path)).collect()]
+    assert len(z) == 6 and all(x == z[0] for x in z)
+    m = np.array([math.fsum(v[hours == h]) / 30 for h in range(24)])
+    assert np.allclose(z[0], (m - m.mean()) / m.std(), rtol=1e-12, atol=1e-12)
+
+
 def test_warping_all_pairs():
     """All rows of two blocks at once cost what they cost one to one, whatever is warped together."""
     r = np.random.default_rng(12)
